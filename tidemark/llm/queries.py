@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, quality
+from tidemark.llm import bpe, pii, quality, secrets, warc
 from tidemark.llm._spark import table
+from tidemark.llm.cross_polytope import near_vectors
+from tidemark.llm.decontaminate import leaks
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.url_filter import url_filter
 
@@ -27,10 +30,37 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.fit(docs)), pii.KINDS)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(secrets.find(docs, secrets.fit(docs)), secrets.KINDS[:3])
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.round_trip(table(spark, sf_dir, "pages"))
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -68,6 +98,17 @@ j AS (SELECT page_id, host, path, CASE
   WHEN dotted LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
   WHEN dotted LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/' END AS rule FROM r)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM j""",
+    "op6_decontaminate": rf"""
+WITH b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM benchmark),
+bs AS (SELECT item_id, len(w) AS n, array_to_string(w[i:i + 4], ' ') AS s FROM b, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
+item AS (SELECT item_id, n, s, count(*) AS c FROM bs GROUP BY ALL),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM documents),
+ds AS (SELECT doc_id, len(w) AS m, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
+hit AS (SELECT doc_id, item_id, m, n, c, s, p FROM ds JOIN item USING (s)),
+win AS (SELECT doc_id, item_id, n, c, s, start FROM hit, unnest(range(greatest(0, p - n + 5), least(p, m - n) + 1)) AS r(start)),
+per AS (SELECT doc_id, item_id, n, start, s, least(count(*), any_value(c)) AS k FROM win GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, sum(k)::DOUBLE / (2 * (n - 4) - sum(k)) AS similarity FROM per GROUP BY doc_id, item_id, n, start)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, min_by(start, (-similarity, start))::BIGINT AS start, round(max(similarity), 6) AS similarity FROM sim WHERE similarity >= 0.8 - 1e-12 GROUP BY doc_id, item_id""",
 }
 
 
