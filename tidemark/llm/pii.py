@@ -135,7 +135,7 @@ def graph(column: pa.Array) -> Graph:
         key = "".join(filter(str.isalnum, w)).lower()
         if len(key) >= 4:
             j = seen.get((d, key))
-            if j is not None and j != k - 1:
+            if j is not None:
                 skip.append((j, k))
             seen[d, key] = k
     return Graph(doc, start, end, slots, given, np.column_stack([near, near + 1]), np.array(skip, np.int64).reshape(-1, 2), base)
