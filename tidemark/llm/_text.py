@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 U = np.uint64
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -33,7 +33,7 @@ def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) <= n:
         out = []
         for b in (_BASE[lane], pow(_BASE[lane], -1, 1 << 64)):
-            a = np.full(n + 1 + n // 2, b, U)
+            a = np.full(n + 1 + n // 8, b, U)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
         have = _powers[lane] = (out[0], out[1])

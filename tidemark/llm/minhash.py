@@ -63,6 +63,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, coords: int) -> Iterator[pa.RecordBatch]:
     rng = np.random.Generator(np.random.PCG64(coords))
     xor, times = rng.integers(0, 1 << 63, coords, dtype=np.uint64) * U(2), rng.integers(0, 1 << 63, coords, dtype=np.uint64) * U(2) + U(1)
+    step = np.arange(coords, dtype=U) * U(0x9E3779B97F4A7C15)
     for batch in batches:
         for b in pieces(batch, "_text"):
             sets = shingle_sets(b.column(2), k)
@@ -77,7 +78,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, coords: int) -> Iterator[
                 c2[some] = mix(np.add.reduceat(mix(every ^ U(0x5851F42D4C957F2D)), at))
                 for j in range(coords):
                     low = np.minimum.reduceat((every ^ xor[j]) * times[j], at)
-                    tokens[:, j] = mix(low + U(j) * U(0x9E3779B97F4A7C15))
+                    tokens[:, j] = mix(low + step[j])
             lists = [None] * len(n)
             for row, i in enumerate(some.tolist()):
                 lists[i] = tokens[row].view(np.int64)
@@ -164,7 +165,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sets = shingle_sets(b.column(b.schema.get_field_index("_text")), shingle)
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in ("root", "blocks", "c")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "blocks", "c", "set"])
 
-    texts = keyed.join(members, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("root", "blocks", "c", "_text")
+    # Always by shuffle: the cluster members grow with the documents, and the plan shall be alike at every size.
+    texts = keyed.join(members.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("root", "blocks", "c", "_text")
     sets = texts.mapInArrow(full, "root long, blocks int, c long, set binary")
     mine = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("mine")))
