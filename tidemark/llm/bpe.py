@@ -2,7 +2,7 @@
 
 A rolling hash over 16 bytes cuts each text where its content says so, so passages that
 documents share fall into equal chunks.  The whole words inside a chunk are encoded
-once per worker and kept in a bounded cache; a cut may fall inside a word.
+once per task and kept in a bounded cache; a cut may fall inside a word.
 Joins are then repaired: the text around a cut is encoded anew, widened to the nearest white space on both sides, where
 the encodings of both sides agree exactly, since the tokenizer drops white space before its merges.
 A tokenizer without that property is recognised (``drops_space``) and encodes whole texts.
@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm._spark import trim
 from tidemark.llm._text import Words, mix, pieces, powers
 
 CHUNK_BITS = 8
-MAX_WORDS, MAX_CHUNKS, MAX_CHUNK_BYTES = 400_000, 40_000, 4096
+MAX_WORDS, MAX_CHUNKS, MAX_CHUNK_BYTES = 250_000, 15_000, 4096
+#: Bytes of text encoded at a time; working arrays are about 60 times as large.
+PART = 1 << 20
 U = np.uint64
 
 
@@ -97,6 +100,11 @@ class Encoder:
         first = np.searchsorted(bounds, w.first)
         return [b"".join(ids[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
+    def forget(self) -> None:
+        """At a task's end: workers outlive it, and other operators' tasks need the memory."""
+        self.words, self.chunks = {}, {}
+        trim()
+
     def decode(self, ids: bytes) -> str:
         if self.t.decoder is not None:
             return self.t.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
@@ -127,9 +135,10 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for batch in batches:
-            for b in pieces(batch, text_col):
+            for b in pieces(batch, text_col, PART):
                 ids = e.encode(b.column(b.schema.get_field_index(text_col)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*b.schema.names, "n_tokens", "ids"])
+        e.forget()
 
     return _with(docs, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], rows)
 
@@ -142,6 +151,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
         for batch in batches:
             for b in pieces(batch, ids_col, 1 << 20):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([e.decode(x.as_py() or b"") for x in b.column(b.schema.get_field_index(ids_col))], pa.string())], names=[*b.schema.names, "decoded"])
+        e.forget()
 
     return _with(encoded, [T.StructField("decoded", T.StringType())], rows)
 
