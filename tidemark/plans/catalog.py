@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions import stats
-from tidemark.operators import anomaly, intervals, segments
+from tidemark.functions import packets, stats
+from tidemark.operators import anomaly, flows, intervals, segments
+from tidemark.plans.session import shared_dir
 from tidemark.plans.store import IndexGroup, Store, fold, lookup_join, multi_index_count
+from tidemark.sources import archive
+from tidemark.streaming import intervals as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -343,3 +347,65 @@ def flow_key(spark, sf_dir):
     zero = F.lit(0)
     low, high = segments.flow_key(F.col("l_suppkey"), zero, F.col("l_partkey"), zero)
     return t(spark, sf_dir, "lineitem").select(low.alias("a"), high.alias("b")).groupBy(F.col("a.addr").alias("low"), F.col("b.addr").alias("high")).agg(F.count("*").alias("n"))
+
+
+def _hex(c, width: int):
+    return F.lpad(F.hex(c.cast("long")), width, "0")
+
+
+def _packets(spark, sf_dir):
+    """A TCP packet for each line: supplier and part as addresses, the order's name as payload."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    body = F.concat(F.lit("order "), o.cast("string"))
+    size = F.octet_length(body)
+    ip = F.concat(F.lit("4500"), _hex(size + 40, 4), F.lit("0000000040060000"), _hex(F.col("l_suppkey"), 8), _hex(F.col("l_partkey"), 8))
+    tcp = F.concat(_hex(F.lit(1024) + n, 4), F.lit("0050"), _hex(o, 8), _hex(n, 8), F.lit("5018FFFF00000000"))
+    packet = F.unhex(F.concat(F.lit("0200000000010200000000020800"), ip, tcp, F.hex(body)))
+    return t(spark, sf_dir, "lineitem").select(o.alias("l_orderkey"), n.alias("l_linenumber"), packet.alias("packet"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS BIGINT) AS src, CAST(l_partkey AS BIGINT) AS dst, 1024 + l_linenumber AS sport, 80 AS dport, l_orderkey AS seq, 24 AS flags, 'order ' || l_orderkey AS payload FROM lineitem")
+def packet_fields(spark, sf_dir):
+    s = _packets(spark, sf_dir).withColumn("sig", packets.parse()("packet"))
+    number = lambda c: F.conv(F.hex(f"sig.{c}"), 16, 10).cast("long").alias(c)
+    return s.select("l_orderkey", "l_linenumber", number("src"), number("dst"), "sig.sport", "sig.dport", "sig.seq", "sig.flags", F.decode("sig.rest", "UTF-8").alias("payload"))
+
+
+@query("SELECT lpad(upper(to_hex(least(l_suppkey, l_partkey))), 8, '0') AS low, count(*) AS n FROM lineitem GROUP BY 1")
+def packet_flows(spark, sf_dir):
+    s = _packets(spark, sf_dir).select(F.lit(0).alias("ts_us"), F.col("l_linenumber").alias("record"), packets.parse(4)("packet").alias("sig"))
+    return flows.keyed(s).groupBy(F.substring("conversation", 1, 8).alias("low")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT props, count(*) AS n FROM events WHERE props IS NOT NULL AND NOT coalesce(value < 5, false) GROUP BY props")
+def archive_round_trip(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    archive.write(t(spark, sf_dir, "events").select("props", "value"), "props", folder, skip=F.col("value") < 5)
+    return archive.read(spark, folder).groupBy(F.decode("payload", "UTF-8").alias("props")).agg(F.count("*").alias("n"))
+
+
+def _live(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    df = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a stream takes a table that is one file by a glob only
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+#: Append mode gives what the watermark has closed: intervals that end no later than the last event less the delay.
+CLOSED = "(SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000 - 600000000"
+
+
+@query(f"SELECT start_us, CAST(sum(c) AS BIGINT) AS total, count(*) AS unique_keys, {ENT} AS entropy FROM (SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, user_id, count(*) AS c FROM events GROUP BY ALL) WHERE start_us + 3600000000 <= {CLOSED} GROUP BY start_us")
+def stream_entropy(spark, sf_dir):
+    return live.drain(live.entropy(_live(spark, sf_dir), "ts", "user_id", 3600, "10 minutes"), shared_dir(spark))
+
+
+@query(f"""WITH a AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 3600000000 THEN 1 ELSE 0 END AS new FROM events),
+b AS (SELECT user_id, us, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a)
+SELECT user_id, min(us) AS first_us, max(us) + 3600000000 AS end_us, count(*) AS n_events FROM b GROUP BY user_id, s HAVING max(us) + 3600000000 <= {CLOSED}""")
+def stream_sessions(spark, sf_dir):
+    return live.drain(live.sessions(_live(spark, sf_dir), "ts", "user_id", 3600, "10 minutes"), shared_dir(spark))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_of_key(spark, sf_dir):
+    return live.drain(live.first_of_key(_live(spark, sf_dir), "ts", ["user_id", "event_type"], "40 days").select("user_id", "event_type"), shared_dir(spark))
