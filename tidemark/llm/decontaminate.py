@@ -39,12 +39,26 @@ def shingles(w: Column, k: int) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """Bit b is set if more shingles have it set than not."""
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("long"),
-        lambda f, b: f.bitwiseOR(F.when(F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.expr("1L").bitwiseAND(F.call_function("shiftright", h, b)) == 1, 1).otherwise(-1)) > 0, F.call_function("shiftleft", F.expr("1L"), b)).otherwise(F.lit(0).cast("long"))),
-    )
+    """Bit b is set if more shingles have it set than not.
+
+    Four bits, 16 apart, are counted in the lanes of one long.  Up to 32,767 shingles, no lane's count
+    can reach the next lane or the sign; longer windows are counted bit by bit."""
+    one, zero, n = F.lit(1).cast("long"), F.lit(0).cast("long"), F.size(hashes)
+    lanes = F.lit(0x0001000100010001)
+
+    def lane_sums(k: int) -> Column:
+        return F.aggregate(hashes, zero, lambda s, h: s + F.shiftrightunsigned(h, k).bitwiseAND(lanes))
+
+    def set_bits(s: Column, k: Column) -> Column:
+        out = zero
+        for low in (0, 16, 32, 48):
+            out = out.bitwiseOR(F.when(F.shiftrightunsigned(s, low).bitwiseAND(F.lit(0xFFFF)) * 2 > n, F.call_function("shiftleft", F.lit(1 << low).cast("long"), k)).otherwise(zero))
+        return out
+
+    packed = F.aggregate(F.transform(F.array(*map(lane_sums, range(16))), set_bits), zero, lambda f, x: f.bitwiseOR(x))
+    bit_count = lambda b: F.aggregate(hashes, zero, lambda s, h: s + one.bitwiseAND(F.call_function("shiftright", h, b)))
+    single = F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda f, b: f.bitwiseOR(F.when(bit_count(b) * 2 > n, F.call_function("shiftleft", one, b)).otherwise(zero)))
+    return F.when(n <= 32767, packed).otherwise(single)
 
 
 def blocks(fingerprint: Column, n: int) -> Column:
