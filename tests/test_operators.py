@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import stats
 from tidemark.operators import anomaly, intervals, segments
 from tidemark.plans.store import IndexGroup, Store
+from tidemark.sources import interval_files
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +92,26 @@ def test_restart_interval(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate((0, 5, 10, 11, 30, 41))], "id int, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = [(r.start_us // 10**6, r.n_events) for r in intervals.restart_at_event(df, "ts", "id", 10).orderBy("interval").collect()]
     assert got == [(0, 3), (11, 1), (30, 1), (41, 1)]
+
+
+def test_single_step_interval(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate((0, 10, 11, 50, 51, 52, 53, 60, 61, 95, None))], "id int, s long").withColumns({"ts": F.timestamp_seconds("s"), "k": F.lit("a")})
+    got = [(r.interval, r.start_us // 10**6, r.n_events) for r in intervals.single_step(df, "ts", "id", 10, "k").orderBy("interval").collect()]
+    want, start, n = [], 0, 0
+    for s in (0, 10, 11, 50, 51, 52, 53, 60, 61, 95):
+        if s - start > 10 and n:
+            want.append((start // 10, start, n))
+            start, n = start + 10, 0
+        n += 1
+    assert got == [*want, (start // 10, start, n)]
+    assert intervals.single_step(df.limit(0), "ts", "id", 10, "k").count() == 0
+
+
+def test_interval_files(spark, tmp_path):
+    df = spark.createDataFrame([(i % 3, f"d{i}", i) for i in range(30)], "interval long, name string, n int")
+    at = str(tmp_path / "s")
+    interval_files.write(df, at, "name")
+    interval_files.write(df.where("interval = 1 AND n < 9"), at, "name")
+    got = interval_files.read(spark, at, df.schema)
+    assert sorted(map(tuple, got.select("interval", "name", "n").collect())) == sorted((i % 3, f"d{i}", i) for i in range(30) if i % 3 != 1 or i < 9)
+    assert interval_files.read(spark, at, df.schema, [2]).count() == 10

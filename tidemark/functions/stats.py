@@ -25,6 +25,12 @@ def entropy(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     return n.groupBy(*by).agg(F.sum("_c").alias("total"), F.count("*").alias("unique_keys"), F.round(entropy_of("_c"), 6).alias("entropy"))
 
 
+def entropies(df: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``entropy`` of several keys in one pass: (*by, feature, total, unique_keys, entropy)."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).cast("string").alias("_value")) for k in keys]))
+    return entropy(df.select(*by, each.alias("_x")).select(*by, "_x.feature", "_x._value"), [*by, "feature"], "_value")
+
+
 def ratio(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     n = df.groupBy(*by, key).agg(F.count("*").alias("_c"))
     return n.groupBy(*by).agg(F.sum("_c").alias("total"), F.count("*").alias("unique_keys"), F.round(F.sum("_c") / F.count("*"), 6).alias("ratio"))

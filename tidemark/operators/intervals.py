@@ -48,6 +48,21 @@ def restart_at_event(df: DataFrame, ts: str, order: str, seconds: int, key: str
     return df.select(by.alias("k"), micros(ts).alias("us"), F.col(order).alias("o")).groupBy("k").applyInPandas(run, "key string, interval long, start_us long, n_events long")
 
 
+def single_step(df: DataFrame, ts: str, order: str, seconds: int, key: str) -> DataFrame:
+    """(key, interval, start_us, n_events): an event more than ``seconds`` after its interval's start closes it, and the start
+    moves on by ``seconds`` once.  After a gap, events have intervals of their own until the start has caught up.
+
+    Event i is in interval k(i) = min(k(i-1) + 1, c(i)), c(i) being the whole steps between it and the first event.
+    Written out, k(i) = i + min over j <= i of c(j) - j: a running minimum.  Events without a time are left out."""
+    step = seconds * 1_000_000
+    w = Window.partitionBy("key").orderBy("us", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = df.select(F.col(key).cast("string").alias("key"), micros(ts).alias("us"), F.col(order).alias("_o")).where("us IS NOT NULL")
+    t = t.withColumns({"_i": F.count("*").over(w) - 1, "_t0": F.min("us").over(w)})
+    t = t.withColumn("_c", F.expr(f"greatest(us - _t0 - 1, 0) div {step}"))
+    t = t.withColumn("interval", (F.col("_i") + F.min(F.col("_c") - F.col("_i")).over(w)).cast("long"))
+    return t.groupBy("key", "interval").agg((F.min("_t0") + F.col("interval") * step).alias("start_us"), F.count("*").alias("n_events"))
+
+
 def rebase(df: DataFrame, file: str, ts: str, order: str, gap_seconds: int = 1) -> DataFrame:
     """Concatenate captures: times become offsets, each file begins ``gap_seconds`` after the end of the one before it."""
     spans = df.groupBy(file).agg(F.min(micros(ts)).alias("_lo"), F.max(micros(ts)).alias("_hi"))

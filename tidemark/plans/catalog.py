@@ -13,7 +13,7 @@ from tidemark.functions import packets, stats
 from tidemark.operators import anomaly, flows, intervals, segments
 from tidemark.plans.session import shared_dir
 from tidemark.plans.store import IndexGroup, Store, fold, lookup_join, multi_index_count
-from tidemark.sources import archive
+from tidemark.sources import archive, interval_files
 from tidemark.streaming import intervals as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +226,20 @@ def interval_restart(spark, sf_dir):
     return intervals.restart_at_event(t(spark, sf_dir, "events"), "ts", "event_id", 86_400, "user_id")
 
 
+@query("""WITH RECURSIVE u AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS t0 FROM events),
+r AS (SELECT key, rn, us, t0, CAST(0 AS BIGINT) AS k FROM u WHERE rn = 1 UNION ALL SELECT u.key, u.rn, u.us, u.t0, r.k + CASE WHEN u.us - u.t0 > (r.k + 1) * 21600000000 THEN 1 ELSE 0 END FROM r JOIN u ON u.key = r.key AND u.rn = r.rn + 1)
+SELECT key, k AS interval, CAST(min(t0) + k * 21600000000 AS BIGINT) AS start_us, count(*) AS n_events FROM r GROUP BY key, k""")
+def interval_single_step(spark, sf_dir):
+    return intervals.single_step(t(spark, sf_dir, "events"), "ts", "event_id", 21_600, "user_id")
+
+
+@query(f"""SELECT bucket, feature, CAST(sum(c) AS BIGINT) AS total, count(*) AS unique_keys, {ENT} AS entropy FROM (
+SELECT {BUCKET} AS bucket, 'user_id' AS feature, CAST(user_id AS VARCHAR) AS v, count(*) AS c FROM events GROUP BY ALL
+UNION ALL SELECT {BUCKET} AS bucket, 'event_type' AS feature, event_type AS v, count(*) AS c FROM events GROUP BY ALL) GROUP BY bucket, feature""")
+def interval_entropies(spark, sf_dir):
+    return stats.entropies(intervals.aligned(t(spark, sf_dir, "events"), "ts", 3600), ["bucket"], ["user_id", "event_type"])
+
+
 @query("""WITH a AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600000000 THEN 1 ELSE 0 END AS new FROM events),
 b AS (SELECT user_id, us, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM a)
 SELECT user_id, session, count(*) AS n_events, min(us) AS first_us, max(us) AS last_us FROM b GROUP BY ALL""")
@@ -266,6 +280,15 @@ def interval_domain_entropy(spark, sf_dir):
     return stats.interval_domain_entropy(stats.domain_stats(p, "host", ["part"]), ["part"])
 
 
+@query(f"WITH {STATS} SELECT part AS interval, domain, CAST(sum(c) AS BIGINT) AS total_queries, count(*) AS subdomains, {ENT} AS entropy, {WEIGHTED} AS weighted_entropy FROM n GROUP BY part, domain")
+def interval_file_round_trip(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/intervals-{uuid.uuid4().hex}"
+    p = t(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("interval"), stats.host("url").alias("host"))
+    found = stats.domain_stats(p, "host", ["interval"])
+    interval_files.write(found, folder, "domain")
+    return interval_files.read(spark, folder, found.schema).select("interval", "domain", "total_queries", "subdomains", "entropy", "weighted_entropy")
+
+
 @query(f"WITH n AS (SELECT source, md5(text) AS h, any_value(n_chars) AS len, count(*) AS c FROM documents GROUP BY source, md5(text)) SELECT source, CAST(sum(c) AS BIGINT) AS total, count(*) AS unique_keys, {ENT} AS entropy, {WEIGHTED} AS weighted_entropy FROM n GROUP BY source")
 def payload_entropy(spark, sf_dir):
     n = t(spark, sf_dir, "documents").groupBy("source", F.md5("text").alias("h")).agg(F.first("n_chars").alias("len"), F.count("*").alias("c"))
