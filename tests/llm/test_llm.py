@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, pii, quality, queries, secrets, warc
+from tidemark.llm._candidates import Piece
 from tidemark.llm._spark import components
 from tidemark.llm.cross_polytope import near_vectors
 from tidemark.llm.decontaminate import leaks
@@ -94,6 +95,16 @@ def test_spans(docs, empty):
     assert texts == ["call [PHONE] or (988) 555-2485 please"] or texts == ["call [PHONE] or [PHONE] please"]
 
 
+def test_needles_over_borders():
+    parts = ["x pass", "with", "to", "ken", "", "A", "KIA", "pas", "s", "w", "Password", "token, pass", "with AKIA"]
+    rng = random.Random(4)
+    for texts in (["x pass", "with"], parts, *(rng.choices(parts, k=9) for _ in range(200))):
+        p = Piece(pa.array(texts))
+        assert p.docs_with(b"passw", b"token", fold=True) == {d for d, t in enumerate(texts) if "passw" in t.lower() or "token" in t.lower()}
+        assert p.docs_with(b"AKIA") == {d for d, t in enumerate(texts) if "AKIA" in t}
+    assert secrets.chains(pa.array(["x pass", "with", "password=abcdef123"])).base == {2: [("assign", 0, 18)]}
+
+
 def test_skip_edges_spread_labels():
     g = pii.graph(pa.array(["call +1 (988) 555-2485 now. later call 555-2485 again"]))
     f = pii.Field.blank()

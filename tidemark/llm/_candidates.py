@@ -42,8 +42,10 @@ class Piece:
             at = raw.find(x)
             while at >= 0:
                 d = int(self.docs_of(np.array([at]))[0])
-                found.add(d)
-                at = raw.find(x, int(self.words.offs[d + 1]) - len(x) + 1)
+                border = int(self.words.offs[d + 1])
+                if at + len(x) <= border:  # else it runs over the border, and so does any later one in d
+                    found.add(d)
+                at = raw.find(x, border)
         return found
 
     def docs_with_run(self, table: np.ndarray, least: int) -> set[int]:
