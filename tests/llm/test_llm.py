@@ -113,6 +113,31 @@ def test_skip_edges_spread_labels():
     assert pii.added(g, f)[0] == [("phone", 39, 47)]
 
 
+def test_skip_edges_reach_every_repeat():
+    f = pii.Field.blank()
+    f.skip = 20.0
+    repeats = "later call 555-2485 again and " * 50
+    for t in ("call +1 (988) 555-2485 now. " + repeats, repeats + "call +1 (988) 555-2485 now", repeats + "+1 (988) 555-2485 " + repeats):
+        want = [("phone", *m.span()) for m in re.finditer("(?<!988[)] )555-2485", t)]
+        g = pii.graph(pa.array(["other 555-2485", t]))
+        assert dict(pii.added(g, f)) == {1: want} and len(want) in (50, 100)
+
+
+def test_messages_settle():
+    rng = np.random.default_rng(3)
+    f = pii.Field(np.zeros((pii.SLOTS * pii.BUCKETS, 5)), rng.normal(size=(5, 5)), 1.0)
+    f.chain += 4 * np.eye(5)
+    g = pii.graph(pa.array([" ".join(["+1 (988) 555-2485", *(f"{i}x" for i in range(10, 70))])]))
+    local = np.where(g.given[:, None] < 0, 0.0, np.where(g.given[:, None] == np.arange(5), 50.0, -50.0))
+    a, b = local.copy(), np.zeros_like(local)  # no word comes twice: forward and backward sums are exact
+    for i in range(1, len(a)):
+        a[i] += np.logaddexp.reduce(a[i - 1][:, None] + f.chain, 0)
+    for i in range(len(a) - 2, -1, -1):
+        b[i] = np.logaddexp.reduce(f.chain + local[i + 1] + b[i + 1], 1)
+    exact = np.exp(a + b - np.logaddexp.reduce(a + b, 1)[:, None])
+    assert np.abs(f.marginals(g) - exact).max() < 0.01
+
+
 def test_urls(spark, docs):
     urls = [None, "nothing", "http://", "HTTP://A.Example.COM/en/x?q=1", "http://www.example.com/en/", "http://example.com/en", "http://com/", "http://notexample.com/en/", "x://b.net/es/1#f", "x://net/fr/", "http://a.com?x=/en/", "http://EXAMPLE.com:80/en/", "http://.com/"]
     df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)] + [(3, urls[3], "c")], "page_id long, url string, host string")
