@@ -191,6 +191,22 @@ def test_leaks(spark, docs, empty):
     assert leaks(empty, bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_documents(spark):
+    item = [f"q{i}" for i in range(40)]
+    cuts = [(10 * n, " ".join(item[:n])) for n in range(0, 41)] + [(10 * n + 1, " ".join(item[-n:])) for n in range(30, 40)]
+    cuts += [(1000, " ".join(item[1:39])), (1001, " ".join([*item[:20], "odd", *item[21:38]])), (1002, "a b c d e"), (1003, "a b c d e f g h"), (380, " ".join(item[:38]))]
+    bench = [(1, " ".join(item)), (2, " ".join([*item[:39], "end"])), (3, "a b c d e f g h i"), (4, " ".join(item))]
+    want = {}
+    for d, t in cuts:
+        for i, x in bench:
+            bag = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split(), x.split())]
+            if len(t.split()) <= len(x.split()) and (s := (bag[0] & bag[1]).total() / (bag[0] | bag[1]).total()) >= 0.8 - 1e-12:
+                want[d, i] = (1, 0, round(s, 6))
+    got = leaks(spark.createDataFrame(cuts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.start, r.similarity) for r in got} == want and len(got) == len(want)
+    assert want[380, 1] == (1, 0, round(34 / 36, 6)) and (1003, 3) in want and (1000, 1) in want
+
+
 def root_of(n, links):
     p = list(range(n))
 

@@ -2,10 +2,11 @@
 
 Words are those of the lower-cased text between white space; shingles are five words.  A document leaks an item
 if some window of exactly as many words as the item has a weighted shingle similarity of ``least`` or more with it: the
-sum of the smaller counts over the sum of the larger ones.
+sum of the smaller counts over the sum of the larger ones.  A document with fewer words than the item is one window as a whole.
 
 1. Windows: a window that is similar enough holds at least ceil(2 * least / (1 + least) * n) of an item's n
-   shingles, so positions of item shingles in a document give every window worth a fingerprint, and no other.
+   shingles, so positions of item shingles in a document give every window worth a fingerprint, and no other.  A document of
+   m < n shingles must hold least / (1 + least) * (m + n) of them; it is few pairs, which go to the proof without a fingerprint.
 2. Fingerprints: 64-bit SimHash, each shingle weighted by its count, of these windows and of all items.
 3. Index: a fingerprint is cut into ``radius`` + 1 blocks.  Two fingerprints within ``radius`` bits agree in a whole block (pigeonhole), so
    joining blocks of equal size finds all of them; the Hamming distance is then checked.
@@ -82,27 +83,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bound = F.broadcast if small else (lambda df: df)
     keyed = docs.select(F.col(id_col).alias("_id"), F.hash(F.col(text_col)).alias("_g"), F.col(text_col).alias("_text"))
     # The words are a column of their own: inside the lambda of shingles() the split would run for each word.
-    every = keyed.select("_id", "_g", words("_text").alias("w")).select("_id", "_g", F.posexplode(shingles(F.col("w"), shingle)).alias("pos", "h"))
-    hits = every.join(bound(known), "h").select("_id", "_g", "pos", F.explode("of").alias("o"))
-    near = hits.groupBy("_id", "_g", F.col("o.item").alias("item"), F.col("o.size").alias("size")).agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    every = keyed.select("_id", "_g", words("_text").alias("w")).select("_id", "_g", F.greatest(F.size("w") - shingle + 1, F.lit(0)).alias("m"), F.posexplode(shingles(F.col("w"), shingle)).alias("pos", "h"))
+    hits = every.join(bound(known), "h").select("_id", "_g", "m", "pos", F.explode("of").alias("o"))
+    near = hits.groupBy("_id", "_g", "m", F.col("o.item").alias("item"), F.col("o.size").alias("size")).agg(F.array_sort(F.collect_set("pos")).alias("at"))
     n = F.col("size") - shingle + 1
-    enough = F.ceil(F.lit(2 * least / (1 + least)) * n - 1e-9).cast("int")
+    short = F.col("m") < n
+    enough = F.ceil(F.lit(least / (1 + least)) * (F.least("m", n) + n) - 1e-9).cast("int")
     firsts = F.filter(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("enough")), lambda i: F.struct((F.get("at", i + F.col("enough") - 1) - n + 1).alias("lo"), F.get("at", i).alias("hi"))), lambda r: r["lo"] <= r["hi"])
-    begin = F.flatten(F.transform(firsts, lambda r: F.sequence(F.greatest(r["lo"], F.lit(0)), r["hi"])))
-    wanted = near.withColumn("enough", enough).where(F.size("at") >= F.col("enough")).select("_id", "_g", F.explode(F.transform(begin, lambda s: F.struct(F.col("size").alias("size"), s.alias("start")))).alias("x"))
+    begin = F.when(short, F.array(F.lit(0))).otherwise(F.flatten(F.transform(firsts, lambda r: F.sequence(F.greatest(r["lo"], F.lit(0)), r["hi"]))))
+    only = F.when(short, F.xxhash64("item"))  # the item that a short document is a window for
+    wanted = near.withColumn("enough", enough).where(F.size("at") >= F.col("enough")).select("_id", "_g", F.explode(F.transform(begin, lambda s: F.struct(F.col("size").alias("size"), s.alias("start"), only.alias("only")))).alias("x"))
     wanted = wanted.groupBy(F.col("_id").alias("_i"), F.col("_g").alias("_j")).agg(F.collect_set("x").alias("windows"))
     # One of several equal rows is enough.
     again = keyed.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_g") == F.col("_j"))).select("_id", "_g", "windows", words("_text").alias("w")).select("_id", "_g", "windows", shingles(F.col("w"), shingle).alias("hs"))
-    windows = again.select("_id", "_g", "hs", F.explode("windows").alias("x")).select("_id", "_g", F.col("x.size").alias("size"), F.col("x.start").alias("start"), F.slice("hs", F.col("x.start") + 1, F.col("x.size") - shingle + 1).alias("win"))
-    windows = windows.where(F.size("win") == F.col("size") - shingle + 1).withColumn("f", simhash(F.col("win")))
-    posted = windows.withColumn("b", F.explode(blocks(F.col("f"), radius + 1)))
-    listed = items.withColumn("g", simhash(F.col("has"))).withColumn("b", F.explode(blocks(F.col("g"), radius + 1))).select("item", F.col("size").alias("_s"), "has", "g", F.col("b").alias("_b"))
+    windows = again.select("_id", "_g", "hs", F.explode("windows").alias("x")).select("_id", "_g", F.col("x.size").alias("size"), F.col("x.start").alias("start"), F.col("x.only").alias("only"), F.slice("hs", F.col("x.start") + 1, F.col("x.size") - shingle + 1).alias("win"))
+    windows = windows.where((F.size("win") == F.col("size") - shingle + 1) | F.col("only").isNotNull()).withColumn("f", simhash(F.col("win")))
+    # Short documents and items meet in a block of their own, number -1.
+    alone = lambda h: F.array(F.struct(F.lit(-1).alias("block"), h.alias("bits")))
+    posted = windows.withColumn("b", F.explode(F.when(F.col("only").isNotNull(), alone(F.col("only"))).otherwise(blocks(F.col("f"), radius + 1))))
+    listed = items.withColumn("g", simhash(F.col("has"))).withColumn("b", F.explode(F.concat(alone(F.xxhash64("item")), blocks(F.col("g"), radius + 1)))).select("item", F.col("size").alias("_s"), "has", "g", F.col("b").alias("_b"))
     pairs = posted.join(bound(listed), (F.col("size") == F.col("_s")) & (F.col("b.block") == F.col("_b.block")) & (F.col("b.bits") == F.col("_b.bits")))
     # A pair that agrees in several blocks is kept in the first of them.
     differ = F.col("f").bitwiseXOR(F.col("g"))
     cut = [64 * i // (radius + 1) for i in range(radius + 2)]
     first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
-    pairs = pairs.where((F.bit_count(differ) <= radius) & (first == F.col("b.block")))
+    pairs = pairs.where((F.col("b.block") == -1) | ((F.bit_count(differ) <= radius) & (first == F.col("b.block"))))
     both = _overlap(F.col("win"), F.col("has"))
     proved = pairs.select("_id", "item", "start", (both / (F.size("win") + F.size("has") - both)).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
     best = proved.groupBy("_id", "item").agg(F.countDistinct("start").alias("n_windows"), F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
