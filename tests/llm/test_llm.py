@@ -105,6 +105,17 @@ def test_needles_over_borders():
     assert secrets.chains(pa.array(["x pass", "with", "password=abcdef123"])).base == {2: [("assign", 0, 18)]}
 
 
+def test_secret_without_digit(spark):
+    rng = random.Random(7)
+    key = lambda: "".join(rng.choices("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ", k=24))
+    prose = lambda: " ".join(rng.choices(VOCABULARY, k=5))
+    rows = [(i, f"{prose()} password= {key()} {prose()}") for i in range(300)]
+    model = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    cut = f"the password= is {(k := key())} {prose()}"
+    got = secrets.find(spark.createDataFrame([(1, cut)], "doc_id long, text string"), model).first().spans
+    assert any(s.kind == "chain" and s.start <= cut.index(k) and s.end >= cut.index(k) + len(k) for s in got), got
+
+
 def test_skip_edges_spread_labels():
     g = pii.graph(pa.array(["call +1 (988) 555-2485 now. later call 555-2485 again"]))
     f = pii.Field.blank()

@@ -3,9 +3,8 @@
 Base spans come from three patterns (assignments, access keys, long hexadecimal runs), each leftmost and without overlap.
 
 The chain tags words as begin, inside or outside of a secret.  Its features are the word's shape, length, variety of
-characters, the neighbouring words, and the file: how much of it looks like code or settings.  Words of six bytes or more
-with a digit are candidates; a chain covers a run of candidates and the word on either side,
-and all other words are outside.  Training maximises the conditional likelihood of the base spans on at most
+characters, the neighbouring words, and the file: how much of it looks like code or settings.  All words of a document are one
+chain, cut to ``LONGEST_CHAIN`` words.  Training maximises the conditional likelihood of the base spans on at most
 ``sample_chains`` chains (the base spans are the only labels there are; the chains with the smallest hashed ids are taken), with the patterns themselves left out of the
 features.  Words tagged as secret that touch no base span add spans of kind ``chain``.
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._candidates import DIGIT, HEX, Piece
+from tidemark.llm._candidates import HEX, Piece
 from tidemark.llm._text import pieces
 from tidemark.llm.pii import _ARROW, SPANS
 
@@ -57,19 +56,32 @@ def _variety(w: str) -> int:
     return int(2 * -sum(c / n * log2(c / n) for c in (w.count(x) for x in set(w)))) if n else 0
 
 
-def _slots(w: str, before: str, after: str, code: int) -> list[int]:
+def _slot(i: int, x: str) -> int:
+    return i * BUCKETS + crc32(x.encode()) % BUCKETS
+
+
+def _core(w: str) -> list[int]:
+    """Slots 0 to 4, which follow from the word alone."""
     core = w.split("=")[-1].strip("\"',.;:()")
     digits = sum("0" <= c <= "9" for c in core[:64])
     kinds = "".join(k for k, test in (("d", str.isdigit), ("u", str.isupper), ("l", str.islower)) if any(map(test, core[:64])))
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(core[:40], core[1:40], strict=False))
     odd = "".join(sorted({c for c in core[:64] if not c.isalnum()}))[:4]
-    says = (f"{kinds}{odd}", f"{min(len(core) // 2, 20)}", f"{_variety(core)}", f"{min(10 * digits // max(len(core[:64]), 1), 10)}", f"{min(changes, 12)}", f"{bool(_HINT.search(before[-40:]))}{before[-1:] if not before[-1:].isalnum() else 'x'}", f"{after[:1].isupper()}{any(c.isdigit() for c in after[:20])}", f"{code}")
-    return [i * BUCKETS + crc32(x.encode()) % BUCKETS for i, x in enumerate(says)]
+    says = (f"{kinds}{odd}", f"{min(len(core) // 2, 20)}", f"{_variety(core)}", f"{min(10 * digits // max(len(core[:64]), 1), 10)}", f"{min(changes, 12)}")
+    return [_slot(i, x) for i, x in enumerate(says)]
+
+
+def _as_before(w: str) -> int:
+    return _slot(5, f"{bool(_HINT.search(w[-40:]))}{w[-1:] if not w[-1:].isalnum() else 'x'}")
+
+
+def _as_after(w: str) -> int:
+    return _slot(6, f"{w[:1].isupper()}{any(c.isdigit() for c in w[:20])}")
 
 
 @dataclass
 class Chains:
-    """Words in chains, one after the other; ``first``: where each chain starts; tags: from base spans; own: candidates."""
+    """Words in chains, one after the other; ``first``: where each chain starts; tags: from base spans."""
 
     doc: np.ndarray
     start: np.ndarray
@@ -77,44 +89,45 @@ class Chains:
     slots: np.ndarray
     tags: np.ndarray
     first: np.ndarray
-    own: np.ndarray
     base: dict[int, list[tuple[str, int, int]]]
 
+    def cut(self) -> np.ndarray:
+        """Where chains of at most ``LONGEST_CHAIN`` words start."""
+        at = np.arange(len(self.doc))
+        return np.flatnonzero((at - np.repeat(self.first, np.diff(np.r_[self.first, len(at)]))) % LONGEST_CHAIN == 0)
 
-def chains(column: pa.Array) -> Chains:
+
+def chains(column: pa.Array, features: bool = True) -> Chains:
     p = Piece(column)
     w = p.words
     assign = p.docs_with(b"passw", b"secret", b"token", b"apikey", b"api_key", fold=True)
     access, hexa = p.docs_with(b"AKIA"), p.docs_with_run(HEX, 24)
     base = {d: s for d in sorted(assign | access | hexa) if (s := base_spans(p.text(d), d in assign, d in access, d in hexa))}
-    seed = p.words_with(DIGIT, 6)
-    home = p.doc_of_word(seed)
-    around = np.unique(np.concatenate([seed, *(x[ok] for x, ok in ((seed - 1, seed - 1 >= w.first[home]), (seed + 1, seed + 1 < w.first[home + 1])))])) if len(seed) else seed
-    doc = p.doc_of_word(around)
-    start, end = p.spans(around, doc)
-    n = len(around)
-    new = np.ones(n, bool)
-    new[1:] = (around[1:] != around[:-1] + 1) | (doc[1:] != doc[:-1])
-    at = np.arange(n)
-    since = at - np.maximum.accumulate(np.where(new, at, 0)) if n else at
-    first = np.flatnonzero(since % LONGEST_CHAIN == 0)
-    dense = np.zeros(len(w.data) + 1, np.int64)
-    np.cumsum(_CODE[w.data], out=dense[1:])
-    size = np.maximum(np.diff(w.offs), 1)
-    code = np.minimum((200 * np.diff(dense[w.offs]) // size), 12)
-    names = [p.word(i) for i in around.tolist()]
-    hi = w.first[doc + 1] if n else around
-    lo = w.first[doc] if n else around
-    slots = np.array([_slots(x, p.word(i - 1) if i > a else "", p.word(i + 1) if i + 1 < b else "", c) for x, i, a, b, c in zip(names, around.tolist(), lo.tolist(), hi.tolist(), code[doc].tolist() if n else [], strict=True)], np.int64).reshape(n, SLOTS)
+    n = len(w.start)
+    doc = np.repeat(np.arange(p.n), np.diff(w.first))
+    start, end = p.spans(np.arange(n), doc)
+    first = w.first[:-1][np.diff(w.first) > 0]
+    slots = np.zeros((n, SLOTS), np.int16)
+    if features and n:
+        # Each distinct word is looked at once.
+        _, pick, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        names = [p.word(i) for i in pick.tolist()]
+        slots[:, :5] = np.array([_core(x) for x in names], np.int16)[which]
+        slots[1:, 5] = np.array([_as_before(x) for x in names], np.int16)[which[:-1]]
+        slots[:-1, 6] = np.array([_as_after(x) for x in names], np.int16)[which[1:]]
+        slots[first, 5], slots[np.r_[first[1:], n] - 1, 6] = _as_before(""), _as_after("")
+        dense = np.zeros(len(w.data) + 1, np.int64)
+        np.cumsum(_CODE[w.data], out=dense[1:])
+        code = np.minimum(200 * np.diff(dense[w.offs]) // np.maximum(np.diff(w.offs), 1), 12)
+        slots[:, 7] = np.array([_slot(7, f"{c}") for c in range(13)], np.int16)[code][doc]
     tags = np.zeros(n, np.int64)
-    bounds = np.searchsorted(doc, np.arange(p.n + 1))
     for d, spans in base.items():
-        a, b = bounds[d], bounds[d + 1]
+        a, b = w.first[d], w.first[d + 1]
         for _, s, e in spans:
             i, j = a + np.searchsorted(end[a:b], s, side="right"), a + np.searchsorted(start[a:b], e)
             tags[i:j] = INSIDE
             tags[i : min(i + 1, j)] = BEGIN
-    return Chains(doc, start, end, slots, tags, first, np.isin(around, seed), base)
+    return Chains(doc, start, end, slots, tags, first, base)
 
 
 @dataclass
@@ -132,11 +145,11 @@ class Chain:
         n = len(c.tags)
         if not n:
             return c.tags
-        score = self.unary[c.slots].sum(1)
-        score[~c.own, 1:] = -1e6  # words that are only there as neighbours stay outside
-        length = np.diff(np.r_[c.first, n])
+        score = sum(self.unary[c.slots[:, j]] for j in range(SLOTS))
+        cut = c.cut()
+        length = np.diff(np.r_[cut, n])
         order = np.argsort(-length, kind="stable")
-        first, length = c.first[order], length[order]
+        first, length = cut[order], length[order]
         from_ = np.zeros((n, 3), np.int8)
         best = score[first].copy()
         best[:, INSIDE] = -1e9
@@ -164,13 +177,14 @@ def _fit(slots: np.ndarray, tags: np.ndarray, rounds: int = 120) -> Chain:
     w = [np.zeros((SLOTS * BUCKETS, 3)), np.zeros((3, 3))]
     w[1][OUT, INSIDE] = -4.0
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in w]
+    flat = slots.ravel()
     hot = np.eye(3)[tags] * real[:, :, None]
     pairs = real[:, 1:] & real[:, :-1]
     gold = np.zeros((3, 3))
     np.add.at(gold, (tags[:, :-1][pairs], tags[:, 1:][pairs]), 1)
     lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
     for t in range(1, rounds + 1):
-        u = w[0][slots].sum(2) * real[:, :, None]
+        u = sum(w[0][slots[:, :, j]] for j in range(SLOTS)) * real[:, :, None]
         a, b = np.zeros((n, length, 3)), np.zeros((n, length, 3))
         a[:, 0] = u[:, 0]
         for i in range(1, length):
@@ -180,9 +194,7 @@ def _fit(slots: np.ndarray, tags: np.ndarray, rounds: int = 120) -> Chain:
         z = lse(a[:, -1], 1)
         p = np.exp(a + b - z[:, None, None]) * real[:, :, None]
         d = (hot - p) / n
-        g0 = np.zeros_like(w[0])
-        for j in range(SLOTS):
-            np.add.at(g0, slots[:, :, j].ravel(), d.reshape(-1, 3))
+        g0 = np.column_stack([np.bincount(flat, np.repeat(d[:, :, k].ravel(), SLOTS), SLOTS * BUCKETS) for k in range(3)])
         if length > 1:
             e = a[:, :-1, :, None] + w[1] + (u + b)[:, 1:, None, :] - z[:, None, None, None]
             g1 = (gold - (np.exp(np.minimum(e, 0)) * pairs[:, :, None, None]).sum((0, 1))) / n
@@ -197,23 +209,41 @@ def _fit(slots: np.ndarray, tags: np.ndarray, rounds: int = 120) -> Chain:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_chains: int = 6_000) -> Chain:
-    """Chains have at most ``LONGEST_CHAIN`` words, so the sample is bounded."""
+    """Chains have at most ``LONGEST_CHAIN`` words, so the sample is bounded.  A first pass counts chains, to know which documents the sample needs."""
+
+    def parts(b: pa.RecordBatch, features: bool) -> tuple[Chains, np.ndarray, np.ndarray]:
+        c = chains(b.column(1), features)
+        cut = c.cut()
+        return c, cut, np.maximum.reduceat(c.tags, cut) > 0 if len(cut) else np.zeros(0, bool)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, "_text"):
+                c, cut, some = parts(b, False)
+                for kind in (True, False):
+                    docs_, n = np.unique(c.doc[cut[some == kind]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs_)), pa.array(np.full(len(n), kind)), pa.array(n, pa.int64())], names=["h", "some", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, "_text"):
-                c = chains(b.column(1))
-                cut = np.r_[c.first, len(c.tags)]
-                x = [np.column_stack([c.slots[i:j], c.tags[i:j]]).ravel().astype(np.int32) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c.doc[c.first])), pa.array([bool(c.tags[i:j].any()) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.bool_()), pa.array(x, pa.list_(pa.int32()))], names=["h", "some", "x"])
+                c, cut, some = parts(b, True)
+                x = np.column_stack([c.slots, c.tags]).astype(np.int32).ravel()
+                edge = np.r_[cut, len(c.tags)].astype(np.int32) * (SLOTS + 1)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c.doc[cut])), pa.array(some), pa.ListArray.from_arrays(pa.array(edge), pa.array(x))], names=["h", "some", "x"])
 
-    found = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("_text")).mapInArrow(rows, "h long, some boolean, x array<int>")
+    texts = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("_text"))
     # Chains without a base span come behind those with one at the same hash: about one in eight of them is taken.
-    key = F.when(F.col("some"), F.col("h").cast("double") / 2.0**64 + 0.5).otherwise((F.col("h").cast("double") / 2.0**64 + 0.5) * 8)
-    got = found.orderBy(key, F.hash("x")).limit(sample_chains).select("x").toArrow()["x"].to_pylist()
-    if not got:
+    place = F.col("h").cast("double") / 2.0**64 + 0.5
+    key = F.when(F.col("some"), place).otherwise(place * 8)
+    ahead = texts.mapInArrow(counts, "h long, some boolean, n long").select(key.alias("key"), "n").orderBy("key").limit(sample_chains).collect()
+    if not ahead:
         return Chain.blank()
-    part = [np.array(x, np.int64).reshape(-1, SLOTS + 1) for x in got]
+    reach = int(np.searchsorted(np.cumsum([r["n"] for r in ahead]), sample_chains))
+    most = ahead[min(reach, len(ahead) - 1)]["key"]
+    found = texts.where(place <= most).mapInArrow(rows, "h long, some boolean, x array<int>").where(key <= most)
+    got = found.orderBy(key, F.hash("x")).limit(sample_chains).select("x").toArrow()["x"]
+    part = [x.values.to_numpy().reshape(-1, SLOTS + 1) for x in got]
     full = np.full((len(part), max(map(len, part)), SLOTS + 1), -1)
     for i, x in enumerate(part):
         full[i, : len(x)] = x
@@ -223,7 +253,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 def added(c: Chains, model: Chain) -> dict[int, list[tuple[str, int, int]]]:
     tags = model.viterbi(c)
     out = defaultdict(list)
-    starts = set(c.first.tolist())
+    starts = set(c.cut().tolist())
     for k in np.flatnonzero(tags).tolist():
         d, s, e = int(c.doc[k]), int(c.start[k]), int(c.end[k])
         if tags[k] == INSIDE and k not in starts and tags[k - 1] and out[d]:
