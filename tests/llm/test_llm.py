@@ -105,6 +105,31 @@ def test_needles_over_borders():
     assert secrets.chains(pa.array(["x pass", "with", "password=abcdef123"])).base == {2: [("assign", 0, 18)]}
 
 
+def test_chains_hold_all_words_and_are_decoded_whole():
+    rng = random.Random(6)
+    texts = ["the password is qXzRtBvKpLmWnYcD now", None, "", *(" ".join(rng.choices(["a1b2c3", "plain", "K9x8Z7y6", "secret", "=", "Word."], k=k)) for k in (1, 63, 64, 65, 200, 1000)), " ".join(["0a1b2c3d"] * 150)]
+    c = secrets.chains(pa.array(texts))
+    assert np.bincount(c.doc, minlength=len(texts)).tolist() == [len(words(t)) for t in texts]
+    r = np.random.default_rng(6)
+    model = secrets.Chain(r.normal(size=(secrets.SLOTS * secrets.BUCKETS, 3)), r.normal(size=(3, 3)) * 2)
+    want = []
+    for d in np.unique(c.doc):
+        score = model.unary[c.slots[c.doc == d]].sum(1)
+        score[0, secrets.INSIDE] = -1e9
+        best, back = score[0], []
+        for x in score[1:]:
+            step = best[:, None] + model.move
+            back.append(step.argmax(0))
+            best = step.max(0) + x
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        want += path[::-1]
+    assert model.viterbi(c).tolist() == want
+    inside = secrets.Chain(np.zeros_like(model.unary), np.array([[0, 0, -9], [0, 0, 9], [0, 0, 9.0]]))
+    assert secrets.added(secrets.chains(pa.array(texts[-1:])), inside) == {0: [("chain", 0, len(texts[-1]))]}
+
+
 def test_secret_without_digit(spark):
     rng = random.Random(7)
     key = lambda: "".join(rng.choices("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ", k=24))

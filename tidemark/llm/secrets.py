@@ -4,7 +4,7 @@ Base spans come from three patterns (assignments, access keys, long hexadecimal
 
 The chain tags words as begin, inside or outside of a secret.  Its features are the word's shape, length, variety of
 characters, the neighbouring words, and the file: how much of it looks like code or settings.  All words of a document are one
-chain, cut to ``LONGEST_CHAIN`` words.  Training maximises the conditional likelihood of the base spans on at most
+chain, decoded as a whole.  For training, chains are cut to ``LONGEST_CHAIN`` words.  Training maximises the conditional likelihood of the base spans on at most
 ``sample_chains`` chains (the base spans are the only labels there are; the chains with the smallest hashed ids are taken), with the patterns themselves left out of the
 features.  Words tagged as secret that touch no base span add spans of kind ``chain``.
 
@@ -142,6 +142,7 @@ class Chain:
         return cls(u, np.zeros((3, 3)))
 
     def viterbi(self, c: Chains) -> np.ndarray:
+        """The best tags of each whole chain.  Blocks of a chain are scanned side by side for each tag before them, and then joined."""
         n = len(c.tags)
         if not n:
             return c.tags
@@ -149,21 +150,43 @@ class Chain:
         cut = c.cut()
         length = np.diff(np.r_[cut, n])
         order = np.argsort(-length, kind="stable")
-        first, length = cut[order], length[order]
-        from_ = np.zeros((n, 3), np.int8)
-        best = score[first].copy()
-        best[:, INSIDE] = -1e9
-        for t in range(1, int(length[0])):
-            live = int(np.searchsorted(-length, -t, side="left"))
-            step = best[:live, :, None] + self.move
-            from_[first[:live] + t] = step.argmax(1)
-            best[:live] = step.max(1) + score[first[:live] + t]
+        at, size = cut[order], length[order]
+        from_ = np.zeros((n, 3, 3), np.int8)  # by tag before the block and tag of the word
+        best = self.move + score[at][:, None, :]
+        opens = np.isin(at, c.first)
+        best[opens] = score[at[opens]][:, None, :]
+        best[opens, :, INSIDE] = -1e9
+        lives = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]))]
+        for t, live in enumerate(lives[1:], 1):
+            step = best[:live, :, :, None] + self.move
+            from_[at[:live] + t] = step.argmax(2)
+            best[:live] = step.max(2) + score[at[:live] + t][:, None, :]
+        whole = np.empty_like(best)
+        whole[order] = best
+        # Blocks of a chain, one after the other, for all chains that have so many.
+        head = np.searchsorted(cut, c.first)
+        count = np.diff(np.r_[head, len(cut)])
+        by = np.argsort(-count, kind="stable")
+        head, count = head[by], count[by]
+        many = [int(np.searchsorted(-count, -j, side="left")) for j in range(int(count[0]))]
+        came = np.zeros((len(cut), 3), np.int8)
+        total = whole[head, 0]
+        for j, live in enumerate(many[1:], 1):
+            step = total[:live, :, None] + whole[head[:live] + j]
+            came[head[:live] + j] = step.argmax(1)
+            total[:live] = step.max(1)
+        last, before = np.zeros(len(cut), np.int64), np.zeros(len(cut), np.int64)
+        now = total.argmax(1)
+        for j in range(len(many) - 1, -1, -1):
+            k = head[: many[j]] + j
+            last[k] = now[: many[j]]
+            before[k] = now[: many[j]] = came[k, now[: many[j]]]
         tags = np.zeros(n, np.int64)
-        now = best.argmax(1)
-        for t in range(int(length[0]) - 1, -1, -1):
-            live = int(np.searchsorted(-length, -t, side="left"))
-            tags[first[:live] + t] = now[:live]
-            now[:live] = from_[first[:live] + t, now[:live]]
+        now, before = last[order], before[order]
+        for t in range(len(lives) - 1, -1, -1):
+            live = lives[t]
+            tags[at[:live] + t] = now[:live]
+            now[:live] = from_[at[:live] + t, before[:live], now[:live]]
         return tags
 
 
@@ -253,7 +276,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 def added(c: Chains, model: Chain) -> dict[int, list[tuple[str, int, int]]]:
     tags = model.viterbi(c)
     out = defaultdict(list)
-    starts = set(c.cut().tolist())
+    starts = set(c.first.tolist())
     for k in np.flatnonzero(tags).tolist():
         d, s, e = int(c.doc[k]), int(c.start[k]), int(c.end[k])
         if tags[k] == INSIDE and k not in starts and tags[k - 1] and out[d]:
