@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent.parent
+BATCH = str(8 << 20)
 _shipped: set[str] = set()
 
 
@@ -21,8 +22,12 @@ def session(name: str = "tidemark", cores: int | None = None, **conf: str) -> Sp
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's sources to the executors' Python workers, once for each application."""
+    """Send the package's sources to the executors' Python workers, once for each application.
+
+    Where the session does not say how large an Arrow batch may be, it is ``BATCH``: workers hold one or two at a time."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if app not in _shipped:
         path = Path(tempfile.mkdtemp(), "tidemark_src.zip")
         with zipfile.ZipFile(path, "w") as z:
@@ -37,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; a temporary one where it names none, as in tests."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         told = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(told)
     return told
