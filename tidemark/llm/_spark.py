@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; where it names none (tests), a temporary one."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         told = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(told)
     return told
@@ -33,6 +35,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _h, _h2, _text): a document is told from others by its id and 128 bits of its text; null texts are empty."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(t).alias("_h"), F.xxhash64(F.lit(1), t).alias("_h2"), t.alias("_text"))
+
+
+IDENTITY = ("_id", "_h", "_h2")
+
+
+def renamed(df: DataFrame, tail: str) -> DataFrame:
+    """The identity columns of ``df`` with other names, for a join."""
+    return df.withColumnsRenamed({c: c + tail for c in IDENTITY})
+
+
+def same(tail: str) -> Column:
+    """A null-safe match of the identity columns with those that ``renamed`` made."""
+    return F.col("_id").eqNullSafe(F.col("_id" + tail)) & (F.col("_h") == F.col("_h" + tail)) & (F.col("_h2") == F.col("_h2" + tail))
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], salt: list[str], how: str = "left", parts: int = 8) -> DataFrame:
+    """A join on keys of which one may hold a third of ``big``: its rows are dealt to ``parts`` tasks by ``salt``, and ``small`` goes to each."""
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return big.withColumn("_part", F.pmod(F.xxhash64(*salt), F.lit(parts)).cast("int")).join(copies, [*on, "_part"], how).drop("_part")
+
+
 def trim() -> None:
     """Give memory that a Python worker has freed back to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()

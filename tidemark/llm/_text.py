@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20
+PIECE = 1 << 19
 U = np.uint64
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -28,15 +28,17 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
+    """base**i and base**-i modulo 2**64 for i up to n.  Tables for up to two pieces are kept; those of longer texts go with them."""
     have = _powers.get(lane)
     if have is None or len(have[0]) <= n:
         out = []
         for b in (_BASE[lane], pow(_BASE[lane], -1, 1 << 64)):
-            a = np.full(n + 1 + n // 8, b, U)
+            a = np.full(max(n, PIECE) + 1, b, U)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
-        have = _powers[lane] = (out[0], out[1])
+        have = (out[0], out[1])
+        if n <= 2 * PIECE:
+            _powers[lane] = have
     return have
 
 

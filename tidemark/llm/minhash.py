@@ -1,22 +1,24 @@
 """Near-duplicate documents by a signature-coordinate inverted join, confirmed on full shingle sets.
 
-1. Sketch: each document's distinct word shingles give one minimum for each of ``coords``
-   coordinates.  Documents with equal sets become one class, so copies are never paired.
+1. Sketch: each document's distinct word shingles give one minimum for each of ``coords`` coordinates, and a signature of
+   one byte for each of ``signs`` coordinates.  Documents with equal sets become one class, so copies are never paired.
 2. Post: a class is posted under coordinate-value pairs.  Two classes that agree in at least ``need``
    coordinates also meet under the rarest pairs of both: of m pairs that anyone else has, the m - need + 1
    rarest suffice (prefix); a class with m < need meets nobody (skip).  Common passages make frequent pairs, which are thereby left out.
-3. Count: inside each posting, agreeing coordinates are counted over the rest of the signatures, and classes
-   with ``need`` or more are linked to one member of their cluster, never all pairs.  Postings over ``LARGE``
-   link all their members to one hub without a count, which only makes the next step's clusters larger.
-4. Confirm: within each cluster so found, intersections of the full sets are counted, and links with
-   100 * intersection >= percent * union are kept.  Clusters over ``BLOCK`` classes are cut into blocks and
-   every pair of blocks is one task's work, so no task holds more than two blocks and no link is lost.
+3. Count: inside each posting, signatures are compared; classes that agree in enough coordinates are candidates.
+   A posting over ``BLOCK`` classes is cut into blocks, and its first class joins every block.  Each block keeps the edges of its
+   best-agreement forest only, and each class its best edge: fewer candidates than classes.
+4. Confirm: candidates are proved on the full sets, 100 * intersection >= percent * union, and proven ones are merged into components.
+5. Rest: postings whose classes are in different components by now are gone through again, every two blocks in one
+   task, and all candidates between different components are proved too.  A posting that became one component costs nothing more.
 
-``need`` is the largest count that a pair at the threshold misses with a chance under 1e-5.
+``need`` is the largest count that a pair at the threshold misses with a chance under 1e-5, of ``coords`` in step 2 and of ``signs`` in step 3.
+What step 5 proves is pairs that look alike and are not linked yet: a family of documents that share a good part, but
+less than the threshold, is where the time goes.
 
 Defined cases: a document without words (null text too) links with nothing; one with fewer words than a shingle has
 the whole sequence as its only shingle; repeated rows are copies of each other; a null id never becomes
-a component's id unless it is alone; an empty table gives an empty result.
+a component's id unless it is alone; an empty table gives an empty result; columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import components, forest, groups, stored
-from tidemark.llm._text import Ranges, Words, mix, pieces, starts
+from tidemark.llm._spark import components, groups, identified, renamed, same, spread_join, stored, trim
+from tidemark.llm._text import Ranges, Words, mix, offsets, pieces, starts
 
-LARGE, BLOCK = 4096, 512
+BLOCK = 512
 U = np.uint64
 
 
@@ -60,120 +62,147 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return [np.array([alone[d]], U) if d in alone else np.unique(g[cut[d] : cut[d + 1]]) for d in range(len(n))]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], k: int, coords: int) -> Iterator[pa.RecordBatch]:
+def sketches(sets: list[np.ndarray], coords: int, signs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (coordinate-value pairs) and signature bytes of non-empty sets."""
     rng = np.random.Generator(np.random.PCG64(coords))
-    xor, times = rng.integers(0, 1 << 63, coords, dtype=np.uint64) * U(2), rng.integers(0, 1 << 63, coords, dtype=np.uint64) * U(2) + U(1)
-    step = np.arange(coords, dtype=U) * U(0x9E3779B97F4A7C15)
+    xor, times = rng.integers(0, 1 << 63, signs, dtype=np.uint64) * U(2), rng.integers(0, 1 << 63, signs, dtype=np.uint64) * U(2) + U(1)
+    tokens, sig = np.zeros((len(sets), coords), U), np.zeros((len(sets), signs), np.uint8)
+    if len(sets):
+        every = np.concatenate(sets)
+        size = np.array([len(s) for s in sets])
+        at = np.cumsum(size) - size
+        for j in range(signs):
+            low = mix(np.minimum.reduceat((every ^ xor[j]) * times[j], at) + U(j) * U(0x9E3779B97F4A7C15))
+            sig[:, j] = low & U(255)
+            if j < coords:
+                tokens[:, j] = low
+    return tokens, sig
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], k: int, coords: int, signs: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in pieces(batch, "_text"):
-            sets = shingle_sets(b.column(2), k)
+            sets = shingle_sets(b.column(3), k)
             n = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(n)
             c1, c2 = np.zeros(len(n), U), np.zeros(len(n), U)
-            tokens = np.zeros((len(some), coords), U)
             if len(some):
                 every = np.concatenate([sets[i] for i in some])
                 at = np.cumsum(n[some]) - n[some]
                 c1[some] = mix(np.add.reduceat(mix(every), at) + n[some].astype(U))
                 c2[some] = mix(np.add.reduceat(mix(every ^ U(0x5851F42D4C957F2D)), at))
-                for j in range(coords):
-                    low = np.minimum.reduceat((every ^ xor[j]) * times[j], at)
-                    tokens[:, j] = mix(low + step[j])
-            lists = [None] * len(n)
+            tokens, sig = sketches([sets[i] for i in some], coords, signs)
+            lists, bytes_ = [None] * len(n), [None] * len(n)
             for row, i in enumerate(some.tolist()):
-                lists[i] = tokens[row].view(np.int64)
-            sig = [None if x is None else (x & 255).astype(np.uint8).tobytes() for x in lists]
-            empty = n == 0
+                lists[i], bytes_[i] = tokens[row].view(np.int64), sig[row].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(c.view(np.int64), mask=empty) for c in (c1, c2)), pa.array(n), pa.array(lists, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                names=["_id", "_h", "c", "c2", "n", "tokens", "sig"],
+                [*b.columns[:3], *(pa.array(c.view(np.int64), mask=n == 0) for c in (c1, c2)), pa.array(n), pa.array(lists, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())],
+                names=["_id", "_h", "_h2", "c", "c2", "n", "tokens", "sig"],
             )
+    trim()
+
+
+def _signatures(t: pa.Table, signs: int) -> np.ndarray:
+    return offsets(t["sig"].combine_chunks() if isinstance(t["sig"], pa.ChunkedArray) else t["sig"])[0].reshape(-1, signs)
+
+
+def _forest(t: pa.Table, need: int, signs: int) -> pa.Table | None:
+    """(a, b, agree): edges of a block's best-agreement forest, grown from one class after the other."""
+    ids, at = np.unique(t["node"].to_numpy(), return_index=True)
+    sig = _signatures(t, signs)[at]
+    n, now, edges = len(ids), 0, []
+    best, of, out = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    out[0] = False
+    for _ in range(n - 1):
+        agree = (sig == sig[now]).sum(1)
+        better = out & (agree > best)
+        best[better], of[better] = agree[better], now
+        now = int(np.where(out, best, -1).argmax())
+        out[now] = False
+        if best[now] >= need:
+            edges.append((ids[min(now, of[now])], ids[max(now, of[now])], best[now]))
+    if not edges:
+        return None
+    a, b, agree = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+    return pa.table({"a": a, "b": b, "agree": agree})
 
 
-def _clusters(table: pa.Table, need: int) -> pa.Table | None:
-    """Link members of a posting that agree often enough to one member of their cluster."""
-    ids = table["c"].to_numpy()
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-    left = np.arange(len(ids))
+def _between(t: pa.Table, need: int, signs: int) -> pa.Table | None:
+    """(a, b): candidates of two blocks, or of one with itself, that are in different components."""
+    ids, root, mine, sig = t["node"].to_numpy(), t["root"].to_numpy(), t["mine"].to_numpy(), _signatures(t, signs)
+    cross = t["p"][0].as_py() != t["q"][0].as_py()
     a, b = [], []
-    while len(left) > 1:
-        root, frontier, left = left[0], left[:1], left[1:]
-        while len(frontier) and len(left):
-            now, frontier = frontier[:32], frontier[32:]
-            near = ((sig[now][:, None, :] == sig[left][None]).sum(2) >= need).any(0)
-            new, left = left[near], left[~near]
-            a.append(ids[new])
-            b.append(np.full(len(new), ids[root]))
-            frontier = np.concatenate([frontier, new])
-    if not a or not sum(map(len, a)):
-        return None
+    for lo in range(0, len(ids), 64):
+        part = slice(lo, lo + 64)
+        i, j = np.nonzero(((sig[part, None, :] == sig[None]).sum(2) >= need) & (ids[part, None] < ids[None]) & (root[part, None] != root[None]) & (not cross or mine[part, None] != mine[None]))
+        a.append(ids[part][i])
+        b.append(ids[j])
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def _confirm(table: pa.Table, percent: int) -> pa.Table | None:
-    """Links whose full sets are similar enough, as a forest."""
-    ids = table["c"].to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), U) for x in table["set"]]
-    size = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    doc = np.repeat(np.arange(len(sets)), size)
-    values, code, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    keep = count[code] > 1
-    doc, code = doc[keep], shared[code[keep]]
-    order = np.argsort(code, kind="stable")
-    doc, code = doc[order], code[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
-    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-        i, j = np.searchsorted(code, [lo, lo + width])
-        m = np.zeros((len(sets), width), np.float32)
-        m[doc[i:j], code[i:j] - lo] = 1
-        both += m @ m.T
-    linked = np.triu(100 * both.astype(np.float64) >= percent * (size[:, None] + size[None] - both.astype(np.float64)), 1)
-    x, y = np.nonzero(linked)
-    if not len(x):
-        return None
-    node, root = forest(ids[x], ids[y])
-    return pa.table({"a": node[node != root], "b": root[node != root]})
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, coords: int = 32) -> DataFrame:
+def _prove(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a group come with its head (node = b) first; one set is held at a time."""
+    now, head = None, None
+    for batch in batches:
+        for piece in pieces(batch, "_text"):
+            sets = shingle_sets(piece.column(3), k)
+            a, b = [], []
+            for group, part, node, mine in zip(*(piece.column(i).to_pylist() for i in range(3)), sets, strict=True):
+                if node == group:
+                    now, head = (group, part), mine
+                elif (group, part) == now:
+                    both = len(np.intersect1d(mine, head, assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(head) - both):
+                        a.append(node)
+                        b.append(group)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    trim()
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those (a, b) that are similar enough.  Pairs with the same b share a task's work, up to ``BLOCK`` of them."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    asks = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node"))
+    heads = asks.select("b", "part").distinct().select("b", "part", F.col("b").alias("node"))
+    rows = asks.union(heads).join(texts, "node").select("b", "part", "node", "_text")
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("node") != F.col("b")).mapInArrow(lambda it: _prove(it, k, percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, coords: int = 32, signs: int = 128) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row; component_id is the smallest id reachable by links."""
-    need = needed(coords, percent)
+    need, enough = needed(coords, percent), needed(signs, percent)
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("_id"), F.hash(F.col(text_col)).alias("_h"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sketch = stored(keyed.mapInArrow(lambda it: _sketch(it, shingle, coords), f"_id {kind}, _h int, c long, c2 long, n long, tokens array<long>, sig binary"), "sketch")
-    classes = sketch.where("c IS NOT NULL").groupBy("c", "c2").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig"))
-    classes = stored(classes, "classes")
-    tokens = classes.select("c", F.explode("tokens").alias("t"))
+    keyed = identified(docs, id_col, text_col)
+    sketch = stored(keyed.mapInArrow(lambda it: _sketch(it, shingle, coords, signs), f"_id {kind}, _h long, _h2 long, c long, c2 long, n long, tokens array<long>, sig binary"), "sketch")
+    classes = sketch.where("c IS NOT NULL").groupBy("c", "c2").agg(F.min(F.struct("_id", "_h", "_h2")).alias("rep"), F.min("_id").alias("low"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig"))
+    # A number for each class, drawn once: the table is written with it.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    tokens = classes.select("node", F.explode("tokens").alias("t"))
     met = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    rare = tokens.join(met, "t").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts")).where(F.size("ts") >= need)
-    prefix = rare.select("c", F.explode(F.slice("ts", 1, F.size("ts") - need + 1)).alias("p")).select("c", F.col("p.df").alias("df"), F.col("p.t").alias("t"))
-    posted = stored(prefix.join(classes.select("c", "sig"), "c"), "postings")
-    counted = groups(posted.where(F.col("df") <= LARGE).select("t", "c", "sig"), ["t"], lambda t: _clusters(t, need), "a long, b long")
-    hubs = posted.where(F.col("df") > LARGE).select(F.col("c").alias("a"), F.col("t").alias("b"))
-    coarse = components(counted.union(hubs)).join(classes.select(F.col("c").alias("node"), "rep"), "node")
-    sizes = coarse.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1")
-    members = coarse.join(sizes, "root").select("root", "blocks", F.col("node").alias("c"), F.col("rep._id").alias("_i"), F.col("rep._h").alias("_g"))
-    # Repeated rows would bring a class more than once; the distinct keeps one.
-    members = stored(members, "members")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in pieces(batch, "_text"):
-                sets = shingle_sets(b.column(b.schema.get_field_index("_text")), shingle)
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in ("root", "blocks", "c")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "blocks", "c", "set"])
-
-    # Always by shuffle: the cluster members grow with the documents, and the plan shall be alike at every size.
-    texts = keyed.join(members.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("root", "blocks", "c", "_text")
-    sets = texts.mapInArrow(full, "root long, blocks int, c long, set binary")
-    mine = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("mine")))
-    dealt = sets.withColumn("mine", mine).withColumn("j", F.explode(others)).select("root", F.least("mine", "j").alias("p"), F.greatest("mine", "j").alias("q"), "c", "set")
-    links = components(groups(dealt, ["root", "p", "q"], lambda t: _confirm(t, percent), "a long, b long"))
-    placed = sketch.select("_id", "n", "c").join(links.withColumnRenamed("node", "c"), "c", "left").select("_id", "n", "c", F.coalesce("root", "c").alias("root"))
-    low = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("_id").alias("m"))
-    out = placed.join(low, "root", "left")
+    rare = tokens.join(met, "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts")).where(F.size("ts") >= need)
+    prefix = rare.select("node", F.explode(F.slice("ts", 1, F.size("ts") - need + 1)).alias("p")).select("node", F.col("p.df").alias("df"), F.col("p.t").alias("t"))
+    posted = stored(prefix.join(classes.select("node", "sig", "rep"), "node").select("t", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"), "node", "sig", "rep"), "postings")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    first = posted.where("blocks > 1").groupBy("t", "blocks").agg(F.min(F.struct("node", "sig")).alias("x"))
+    dealt = posted.select("t", mine.alias("p"), "node", "sig").union(first.select("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), "x.node", "x.sig"))
+    forest = groups(dealt, ["t", "p"], lambda t: _forest(t, enough, signs), "a long, b long, agree long").distinct()
+    ends = forest.select(F.explode(F.array(F.struct(F.col("a").alias("u")), F.struct(F.col("b").alias("u")))).alias("x"), "a", "b", "agree")
+    tried = stored(ends.groupBy("x.u").agg(F.max(F.struct("agree", "a", "b")).alias("e")).select("e.a", "e.b").distinct(), "tried")
+    reps = renamed(posted.select("node", "rep.*").distinct(), "_r")
+    # Always by shuffle: the candidates grow with the documents, and the plan shall be alike at every size.
+    texts = stored(keyed.join(reps.hint("merge"), same("_r")).groupBy("node").agg(F.first("_text").alias("_text")), "texts")
+    sure = stored(_confirmed(tried, texts, shingle, percent), "links")
+    root = components(sure)
+    placed = posted.drop("rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    again = placed.join(open_, "t").withColumn("mine", mine).withColumn("j", others).select("t", F.least("mine", "j").alias("p"), F.greatest("mine", "j").alias("q"), "mine", "node", "root", "sig")
+    rest = groups(again, ["t", "p", "q"], lambda t: _between(t, enough, signs), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    links = components(sure.union(_confirmed(stored(rest, "rest"), texts, shingle, percent)))
+    # The smallest id of each component, for its classes and then for their documents.
+    joined = classes.select("node", "c", "c2", "low").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low = joined.groupBy("root").agg(F.min("low").alias("m"))
+    of = spread_join(joined.select("node", "c", "c2", "root"), low, ["root"], ["node"]).select("c", "c2", "m")
+    out = spread_join(sketch.select("_id", "n", "c", "c2", "_h"), of, ["c", "c2"], ["_id", "_h"])
     out = out.select("_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("_id")).otherwise(F.col("m")).alias("component_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
