@@ -110,26 +110,50 @@ def test_chains_hold_all_words_and_are_decoded_whole():
     texts = ["the password is qXzRtBvKpLmWnYcD now", None, "", *(" ".join(rng.choices(["a1b2c3", "plain", "K9x8Z7y6", "secret", "=", "Word."], k=k)) for k in (1, 63, 64, 65, 200, 1000)), " ".join(["0a1b2c3d"] * 150)]
     c = secrets.chains(pa.array(texts))
     assert np.bincount(c.doc, minlength=len(texts)).tolist() == [len(words(t)) for t in texts]
-    r = np.random.default_rng(6)
-    model = secrets.Chain(r.normal(size=(secrets.SLOTS * secrets.BUCKETS, 3)), r.normal(size=(3, 3)) * 2)
-    want = []
-    for d in np.unique(c.doc):
-        score = model.unary[c.slots[c.doc == d]].sum(1)
-        score[0, secrets.INSIDE] = -1e9
-        best, back = score[0], []
-        for x in score[1:]:
-            step = best[:, None] + model.move
-            back.append(step.argmax(0))
-            best = step.max(0) + x
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        want += path[::-1]
-    assert model.viterbi(c).tolist() == want
+    for seed, lean in ((6, 0), (7, 1), (8, 3)):  # with more lean to "outside", more words are settled before decoding
+        r = np.random.default_rng(seed)
+        model = secrets.Chain(r.normal(size=(secrets.AT[-1], 3)) + [lean, 0, 0], r.normal(size=(3, 3)) * 2)
+        want = []
+        for d in np.unique(c.doc):
+            score = model.unary[c.slots[c.doc == d]].sum(1)
+            score[0, secrets.INSIDE] = -1e9
+            best, back = score[0], []
+            for x in score[1:]:
+                step = best[:, None] + model.move
+                back.append(step.argmax(0))
+                best = step.max(0) + x
+            path = [int(best.argmax())]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            want += path[::-1]
+        assert model.viterbi(c).tolist() == want
     inside = secrets.Chain(np.zeros_like(model.unary), np.array([[0, 0, -9], [0, 0, 9], [0, 0, 9.0]]))
     assert secrets.added(secrets.chains(pa.array(texts[-1:])), inside) == {0: [("chain", 0, len(texts[-1]))]}
 
 
+def test_secrets_that_patterns_miss(spark):
+    """Shorter keys, other separators and bare keys are found; prose, numbers and dates are left alone; base spans stay."""
+    rng = random.Random(7)
+    hexa = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    mixed = lambda n: "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    prose = lambda: " ".join(rng.choices([*VOCABULARY[:20], "The", "house,", "2024-01-05", "4845168114407329", "stood.", "and", "version", "3.1"], k=20))
+    taught = [(i, f"{prose()} token = \"{rng.choice((hexa, mixed))(rng.randint(26, 40))}\" {prose()}" if i % 4 == 0 else prose()) for i in range(800)]
+    model = secrets.fit(spark.createDataFrame(taught, "doc_id long, text string"))
+    asked, keys = [], {}
+    for i in range(200):
+        k = mixed(rng.randint(22, 32)) if i % 2 else hexa(rng.randint(18, 23)) + "A"
+        keys[i] = k
+        asked.append((i, f"{prose()} {rng.choice(('the key is', 'token ->', 'and', 'was'))} {k} {prose()}"))
+    asked += [(i, prose()) for i in range(200, 600)] + [(i, f"{prose()} secret: {hexa(30)} {prose()}") for i in range(600, 620)]
+    got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    hit = sum(any(s.kind == "chain" and got[i].text[s.start : s.end] == k for s in got[i].spans) for i, k in keys.items())
+    wrong = sum(any(s.kind == "chain" for s in got[i].spans) for i in range(200, 600))
+    print("added", hit, "of 200; wrong", wrong, "of 400")
+    assert hit >= 180 and wrong <= 4
+    assert all([(s.kind, s.start, s.end) for s in r.spans if s.base] == naive(r.text, SECRETS) for r in got.values())
+    assert all(sum(s.base for s in got[i].spans) == 2 for i in range(600, 620))
+
+
 def test_secret_without_digit(spark):
     rng = random.Random(7)
     key = lambda: "".join(rng.choices("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ", k=24))

@@ -44,6 +44,13 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 IDENTITY = ("_id", "_h", "_h2")
 
 
+def sampled(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(_h, _text) of the documents with the ``n`` smallest hashed ids (more where hashes are equal); texts of others are not looked at."""
+    h = F.xxhash64(id_col)
+    last = docs.select(h.alias("_h")).orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+    return docs.where(h <= F.lit(last)).select(h.alias("_h"), F.col(text_col).alias("_text"))
+
+
 def renamed(df: DataFrame, tail: str) -> DataFrame:
     """The identity columns of ``df`` with other names, for a join."""
     return df.withColumnsRenamed({c: c + tail for c in IDENTITY})

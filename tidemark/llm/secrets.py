@@ -2,14 +2,22 @@
 
 Base spans come from three patterns (assignments, access keys, long hexadecimal runs), each leftmost and without overlap.
 
-The chain tags words as begin, inside or outside of a secret.  Its features are the word's shape, length, variety of
-characters, the neighbouring words, and the file: how much of it looks like code or settings.  All words of a document are one
-chain, decoded as a whole.  For training, chains are cut to ``LONGEST_CHAIN`` words.  Training maximises the conditional likelihood of the base spans on at most
-``sample_chains`` chains (the base spans are the only labels there are; the chains with the smallest hashed ids are taken), with the patterns themselves left out of the
-features.  Words tagged as secret that touch no base span add spans of kind ``chain``.
-
-Defined cases: null or empty text has no spans; repeated rows are scanned one by one; an empty
-table gives an empty result, and a model without a positive training word adds nothing.
+The chain tags every word of a document as begin, inside or outside of a secret's value.  Its features are the word's shape (kinds of
+characters, length, how many differ, digits, changes of kind), the words around it (how the one before ends, whether one of three before
+names a secret, how the one after begins), and the file: how much of it looks like code or settings.
+Words tagged as secret that touch no base span add spans of kind ``chain``.
+
+Training.  The only labels are base spans, so it is positive and unlabelled: the values inside base spans are secrets, and all other
+words may hold secrets that the patterns miss.  Each chain with a secret is also shown with the words around its secrets hidden, so shape
+alone must do.  After a first fit, words outside base spans that it takes for secrets more likely than not
+become unknown, and a second fit sums over their tags instead of teaching "outside".  Chains are cut to ``TAUGHT`` words for this, of
+at most ``sample_docs`` documents (those with the smallest hashed ids) and at most ``sample_chains`` chains.
+
+Decoding is over whole documents.  A word that "outside" wins by more than any two transitions can give back is outside on every best path;
+the runs of words between such ones are decoded, which gives the same tags.
+
+Defined cases: null or empty text has no spans; null ids are ordinary ids; repeated rows are scanned one by one; spans that start
+together are in the order of ``KINDS``; an empty table gives an empty result, and a model without a positive training word adds nothing.
 """
 
 from __future__ import annotations
@@ -18,8 +26,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log2
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,60 +34,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._candidates import HEX, Piece
+from tidemark.llm._spark import sampled, trim
 from tidemark.llm._text import pieces
 from tidemark.llm.pii import _ARROW, SPANS
 
 KINDS = ("assign", "access", "hex", "chain")
 OUT, BEGIN, INSIDE = range(3)
-SLOTS, BUCKETS = 8, 256
-LONGEST_CHAIN = 64
+TAUGHT = 32
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # shorter ones fail from any later start too
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_HINT = re.compile(r"pass|secret|token|key|auth|cred|pwd", re.I | re.A)
-_CODE = np.zeros(256, bool)
+_HINT = re.compile(rb"pass|secret|token|key|auth|cred|pwd")
+
+#: What a byte is: white space, digit, lower, upper, joining sign, quote, other sign, outside ASCII.
+SPACE, NUMBER, LOWER, UPPER, JOIN, QUOTE, SIGN, WIDE = range(8)
+_KIND = np.full(256, SIGN, np.uint8)
+_KIND[128:] = WIDE
+_KIND[[32, 9, 10, 11, 12, 13]] = SPACE
+_KIND[48:58], _KIND[97:123], _KIND[65:91] = NUMBER, LOWER, UPPER
+_KIND[[ord(c) for c in "+/_.=-:"]] = JOIN
+_KIND[[ord(c) for c in "\"'`"]] = QUOTE
+#: Digit, lower, upper; joining sign, other sign, outside ASCII.  Quotes around a value say nothing about it.
+_HAS, _SIGNS = (sum(np.where(_KIND == k, 1 << i, 0) for i, k in enumerate(ks)) for ks in ((NUMBER, LOWER, UPPER), (JOIN, SIGN, WIDE)))
+_COUNTED = (_KIND != SPACE) & (_KIND != QUOTE)
+_NUMBER, _CODE = _KIND == NUMBER, np.zeros(256, bool)
 _CODE[[ord(c) for c in "={}<>[]_/;#$"]] = True
-
-
-def base_spans(t: str, assign: bool = True, access: bool = True, hexa: bool = True) -> list[tuple[str, int, int]]:
-    found = [("assign", *m.span()) for m in _ASSIGN.finditer(t) if len(m[2]) >= 6] if assign else []
-    found += [("access", *m.span()) for m in _ACCESS.finditer(t)] if access else []
-    found += [("hex", *m.span()) for m in _HEX.finditer(t)] if hexa else []
+_DIFFERENT = np.where(~_COUNTED, np.uint64(0), np.uint64(1) << (np.arange(256, dtype=np.uint64) % np.uint64(64)))
+#: How a word ends: letter or digit, equals sign, colon, quote, else; and no word at all.
+_TAIL = np.full(256, 4)
+_TAIL[(_KIND >= NUMBER) & (_KIND <= UPPER) | (_KIND == WIDE)] = 0
+_TAIL[[ord("="), ord(":")]], _TAIL[_KIND == QUOTE] = (1, 2), 3
+NO_WORD = 5
+
+_LENGTH = np.array([1, 2, 3, 4, 6, 9, 13, 17, 25, 33, 49])
+#: Values of each feature: letters and digits, signs, length, different characters, share of digits, changes, before, after, code.
+WIDTHS = (8, 8, len(_LENGTH) + 1, 11, 11, 8, 12, 5, 13)
+AT = np.r_[0, np.cumsum(WIDTHS)]
+BEFORE, AFTER = 6, 7
+SLOTS = len(WIDTHS)
+
+
+def _spans(t: str, assign: bool, access: bool, hexa: bool) -> list[tuple[str, int, int, int, int]]:
+    """(kind, start, end, start and end of the value)"""
+    found = [("assign", *m.span(), *m.span(2)) for m in _ASSIGN.finditer(t) if len(m[2]) >= 6] if assign else []
+    found += [("access", *m.span(), *m.span()) for m in _ACCESS.finditer(t)] if access else []
+    found += [("hex", *m.span(), *m.span()) for m in _HEX.finditer(t)] if hexa else []
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _variety(w: str) -> int:
-    w = w[:64]
-    n = len(w)
-    return int(2 * -sum(c / n * log2(c / n) for c in (w.count(x) for x in set(w)))) if n else 0
-
-
-def _slot(i: int, x: str) -> int:
-    return i * BUCKETS + crc32(x.encode()) % BUCKETS
-
-
-def _core(w: str) -> list[int]:
-    """Slots 0 to 4, which follow from the word alone."""
-    core = w.split("=")[-1].strip("\"',.;:()")
-    digits = sum("0" <= c <= "9" for c in core[:64])
-    kinds = "".join(k for k, test in (("d", str.isdigit), ("u", str.isupper), ("l", str.islower)) if any(map(test, core[:64])))
-    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(core[:40], core[1:40], strict=False))
-    odd = "".join(sorted({c for c in core[:64] if not c.isalnum()}))[:4]
-    says = (f"{kinds}{odd}", f"{min(len(core) // 2, 20)}", f"{_variety(core)}", f"{min(10 * digits // max(len(core[:64]), 1), 10)}", f"{min(changes, 12)}")
-    return [_slot(i, x) for i, x in enumerate(says)]
-
-
-def _as_before(w: str) -> int:
-    return _slot(5, f"{bool(_HINT.search(w[-40:]))}{w[-1:] if not w[-1:].isalnum() else 'x'}")
-
-
-def _as_after(w: str) -> int:
-    return _slot(6, f"{w[:1].isupper()}{any(c.isdigit() for c in w[:20])}")
+def base_spans(t: str, assign: bool = True, access: bool = True, hexa: bool = True) -> list[tuple[str, int, int]]:
+    return [x[:3] for x in _spans(t, assign, access, hexa)]
 
 
 @dataclass
 class Chains:
-    """Words in chains, one after the other; ``first``: where each chain starts; tags: from base spans."""
+    """Words of a piece, a document after the other; ``first``: where each document starts; tags: from base spans."""
 
     doc: np.ndarray
     start: np.ndarray
@@ -91,43 +98,61 @@ class Chains:
     first: np.ndarray
     base: dict[int, list[tuple[str, int, int]]]
 
-    def cut(self) -> np.ndarray:
-        """Where chains of at most ``LONGEST_CHAIN`` words start."""
-        at = np.arange(len(self.doc))
-        return np.flatnonzero((at - np.repeat(self.first, np.diff(np.r_[self.first, len(at)]))) % LONGEST_CHAIN == 0)
-
 
-def chains(column: pa.Array, features: bool = True) -> Chains:
+def _features(p: Piece, doc: np.ndarray) -> np.ndarray:
+    """Rows of the weight table for each word, by whole-piece array steps."""
+    w, data = p.words, p.words.data
+    n, kind, counted = len(w.start), _KIND[data], _COUNTED[data]
+    per_word = lambda x: np.add.reduceat(x, w.start, dtype=np.int64)  # noqa: E731  (white space adds nothing)
+    digits, size = per_word(_NUMBER[data]), per_word(counted)
+    change = np.zeros(len(data), bool)
+    change[1:] = (kind[1:] != kind[:-1]) & counted[1:] & counted[:-1]
+    change[w.start] = False
+    different = np.bitwise_count(np.bitwise_or.reduceat(_DIFFERENT[data], w.start)).astype(np.int64)
+    slots = np.empty((n, SLOTS), np.int16)
+    slots[:, 0] = np.bitwise_or.reduceat(_HAS[data], w.start)
+    slots[:, 1] = np.bitwise_or.reduceat(_SIGNS[data], w.start)
+    slots[:, 2] = np.searchsorted(_LENGTH, size, side="right")
+    slots[:, 3] = np.minimum(different // 3, 10)
+    slots[:, 4] = 10 * digits // np.maximum(size, 1)
+    slots[:, 5] = np.minimum(per_word(change) // 2, 7)
+    hint = np.zeros(n + 3, bool)
+    where = np.searchsorted(w.start, [m.start() for m in _HINT.finditer(p.folded)], side="right") - 1
+    hint[where[where >= 0]] = True
+    place = np.arange(n) - w.first[doc]  # within the document
+    near = np.zeros(n, bool)
+    for back in (1, 2, 3):
+        near[back:] |= hint[: max(n - back, 0)] & (place[back:] >= back)
+    tail = np.full(n, NO_WORD)
+    tail[1:] = np.where(place[1:] > 0, _TAIL[data[w.end[:-1] - 1]], NO_WORD)
+    slots[:, BEFORE] = 2 * tail + near
+    after = np.full(n, 4)
+    after[:-1] = np.where(place[1:] > 0, 2 * (kind[w.start[1:]] == UPPER) + (digits[1:] > 0), 4)
+    slots[:, AFTER] = after
+    dense = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_CODE[data], out=dense[1:])
+    slots[:, 8] = np.minimum(200 * np.diff(dense[w.offs]) // np.maximum(np.diff(w.offs), 1), 12)[doc]
+    return slots + AT[:-1].astype(np.int16)
+
+
+def chains(column: pa.Array) -> Chains:
     p = Piece(column)
     w = p.words
     assign = p.docs_with(b"passw", b"secret", b"token", b"apikey", b"api_key", fold=True)
     access, hexa = p.docs_with(b"AKIA"), p.docs_with_run(HEX, 24)
-    base = {d: s for d in sorted(assign | access | hexa) if (s := base_spans(p.text(d), d in assign, d in access, d in hexa))}
+    found = {d: s for d in sorted(assign | access | hexa) if (s := _spans(p.text(d), d in assign, d in access, d in hexa))}
     n = len(w.start)
     doc = np.repeat(np.arange(p.n), np.diff(w.first))
     start, end = p.spans(np.arange(n), doc)
-    first = w.first[:-1][np.diff(w.first) > 0]
-    slots = np.zeros((n, SLOTS), np.int16)
-    if features and n:
-        # Each distinct word is looked at once.
-        _, pick, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        names = [p.word(i) for i in pick.tolist()]
-        slots[:, :5] = np.array([_core(x) for x in names], np.int16)[which]
-        slots[1:, 5] = np.array([_as_before(x) for x in names], np.int16)[which[:-1]]
-        slots[:-1, 6] = np.array([_as_after(x) for x in names], np.int16)[which[1:]]
-        slots[first, 5], slots[np.r_[first[1:], n] - 1, 6] = _as_before(""), _as_after("")
-        dense = np.zeros(len(w.data) + 1, np.int64)
-        np.cumsum(_CODE[w.data], out=dense[1:])
-        code = np.minimum(200 * np.diff(dense[w.offs]) // np.maximum(np.diff(w.offs), 1), 12)
-        slots[:, 7] = np.array([_slot(7, f"{c}") for c in range(13)], np.int16)[code][doc]
     tags = np.zeros(n, np.int64)
-    for d, spans in base.items():
+    for d, spans in found.items():
         a, b = w.first[d], w.first[d + 1]
-        for _, s, e in spans:
+        for *_, s, e in spans:
             i, j = a + np.searchsorted(end[a:b], s, side="right"), a + np.searchsorted(start[a:b], e)
             tags[i:j] = INSIDE
             tags[i : min(i + 1, j)] = BEGIN
-    return Chains(doc, start, end, slots, tags, first, base)
+    slots = _features(p, doc) if n else np.zeros((0, SLOTS), np.int16)
+    return Chains(doc, start, end, slots, tags, w.first[:-1][np.diff(w.first) > 0], {d: [x[:3] for x in s] for d, s in found.items()})
 
 
 @dataclass
@@ -137,140 +162,124 @@ class Chain:
 
     @classmethod
     def blank(cls) -> Chain:
-        u = np.zeros((SLOTS * BUCKETS, 3))
+        u = np.zeros((AT[-1], 3))
         u[:, 0] = 1
         return cls(u, np.zeros((3, 3)))
 
     def viterbi(self, c: Chains) -> np.ndarray:
-        """The best tags of each whole chain.  Blocks of a chain are scanned side by side for each tag before them, and then joined."""
-        n = len(c.tags)
+        """The best tags of each whole document."""
+        n, tags = len(c.tags), np.zeros(len(c.tags), np.int64)
         if not n:
-            return c.tags
+            return tags
         score = sum(self.unary[c.slots[:, j]] for j in range(SLOTS))
-        cut = c.cut()
-        length = np.diff(np.r_[cut, n])
-        order = np.argsort(-length, kind="stable")
-        at, size = cut[order], length[order]
-        from_ = np.zeros((n, 3, 3), np.int8)  # by tag before the block and tag of the word
-        best = self.move + score[at][:, None, :]
-        opens = np.isin(at, c.first)
-        best[opens] = score[at[opens]][:, None, :]
-        best[opens, :, INSIDE] = -1e9
-        lives = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]))]
-        for t, live in enumerate(lives[1:], 1):
-            step = best[:live, :, :, None] + self.move
-            from_[at[:live] + t] = step.argmax(2)
-            best[:live] = step.max(2) + score[at[:live] + t][:, None, :]
-        whole = np.empty_like(best)
-        whole[order] = best
-        # Blocks of a chain, one after the other, for all chains that have so many.
-        head = np.searchsorted(cut, c.first)
-        count = np.diff(np.r_[head, len(cut)])
-        by = np.argsort(-count, kind="stable")
-        head, count = head[by], count[by]
-        many = [int(np.searchsorted(-count, -j, side="left")) for j in range(int(count[0]))]
-        came = np.zeros((len(cut), 3), np.int8)
-        total = whole[head, 0]
-        for j, live in enumerate(many[1:], 1):
-            step = total[:live, :, None] + whole[head[:live] + j]
-            came[head[:live] + j] = step.argmax(1)
-            total[:live] = step.max(1)
-        last, before = np.zeros(len(cut), np.int64), np.zeros(len(cut), np.int64)
-        now = total.argmax(1)
-        for j in range(len(many) - 1, -1, -1):
-            k = head[: many[j]] + j
-            last[k] = now[: many[j]]
-            before[k] = now[: many[j]] = came[k, now[: many[j]]]
-        tags = np.zeros(n, np.int64)
-        now, before = last[order], before[order]
-        for t in range(len(lives) - 1, -1, -1):
-            live = lives[t]
-            tags[at[:live] + t] = now[:live]
-            now[:live] = from_[at[:live] + t, before[:live], now[:live]]
+        score[c.first, INSIDE] = -1e9
+        settled = score[:, OUT] - score[:, 1:].max(1) > 2 * (self.move.max() - self.move.min())
+        opens = np.zeros(n + 1, bool)
+        opens[c.first], opens[n] = True, True
+        begins = np.flatnonzero(~settled & (opens[:-1] | np.r_[True, settled[:-1]]))
+        ends = np.flatnonzero(~settled & (opens[1:] | np.r_[settled[1:], True])) + 1
+        order = np.argsort(begins - ends, kind="stable")  # longest first
+        at, size = begins[order], (ends - begins)[order]
+        if not len(at):
+            return tags
+        lives = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+        came = np.zeros((n, 3), np.int8)
+        best = score[at] + np.where(opens[at], 0.0, 1.0)[:, None] * self.move[OUT]
+        for t in range(1, int(size[0])):
+            k = at[: lives[t]] + t
+            step = best[: lives[t], :, None] + self.move
+            came[k] = step.argmax(1)
+            best[: lives[t]] = step.max(1) + score[k]
+        # A settled word after the run is outside.
+        best += np.where(opens[at + size], 0.0, 1.0)[:, None] * self.move[:, OUT]
+        now = best.argmax(1)
+        for t in range(int(size[0]) - 1, -1, -1):
+            k = at[: lives[t]] + t
+            tags[k] = now[: lives[t]]
+            now[: lives[t]] = came[k, now[: lives[t]]]
         return tags
 
 
-def _fit(slots: np.ndarray, tags: np.ndarray, rounds: int = 120) -> Chain:
-    """slots: (chains, length, SLOTS) padded with -1; likelihood by forward and backward sums."""
-    if not tags.size or tags.max() <= 0:
-        return Chain.blank()
-    real = slots[:, :, 0] >= 0
-    n, length = real.shape
-    slots, tags = np.where(slots < 0, 0, slots), np.where(real, tags, 0)
-    w = [np.zeros((SLOTS * BUCKETS, 3)), np.zeros((3, 3))]
-    w[1][OUT, INSIDE] = -4.0
+def _expected(e: np.ndarray, move: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals (chains, words, 3) and expected transitions (3, 3), from exponentials of scores."""
+    n, length, _ = e.shape
+    a, b = np.ones_like(e), np.ones_like(e)
+    a[:, 0] = e[:, 0] * (1, 1, 0)
+    for i in range(1, length):
+        a[:, i - 1] /= a[:, i - 1].sum(1, keepdims=True)
+        a[:, i] = (a[:, i - 1] @ move) * e[:, i]
+    for i in range(length - 2, -1, -1):
+        x = (e[:, i + 1] * b[:, i + 1]) @ move.T
+        b[:, i] = np.where(real[:, i + 1, None], x / x.sum(1, keepdims=True), 1.0)
+    p = a * b
+    p /= np.maximum(p.sum(2, keepdims=True), 1e-300)
+    pair = a[:, :-1, :, None] * move * (e * b)[:, 1:, None, :]
+    pair /= np.maximum(pair.sum((2, 3), keepdims=True), 1e-300)
+    return p * real[:, :, None], (pair * real[:, 1:, None, None]).sum((0, 1))
+
+
+def _climb(model: Chain, slots: np.ndarray, may: np.ndarray, real: np.ndarray, rounds: int) -> np.ndarray:
+    """Raise the likelihood of the allowed tags (may: 0 or 1 for each); returns the marginals of free tags."""
+    w, flat = (model.unary, model.move), slots.ravel()
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in w]
-    flat = slots.ravel()
-    hot = np.eye(3)[tags] * real[:, :, None]
-    pairs = real[:, 1:] & real[:, :-1]
-    gold = np.zeros((3, 3))
-    np.add.at(gold, (tags[:, :-1][pairs], tags[:, 1:][pairs]), 1)
-    lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
-    for t in range(1, rounds + 1):
-        u = sum(w[0][slots[:, :, j]] for j in range(SLOTS)) * real[:, :, None]
-        a, b = np.zeros((n, length, 3)), np.zeros((n, length, 3))
-        a[:, 0] = u[:, 0]
-        for i in range(1, length):
-            a[:, i] = np.where(real[:, i, None], lse(a[:, i - 1, :, None] + w[1], 1) + u[:, i], a[:, i - 1])
-        for i in range(length - 2, -1, -1):
-            b[:, i] = np.where(real[:, i + 1, None], lse(w[1] + (u[:, i + 1] + b[:, i + 1])[:, None, :], 2), b[:, i + 1])
-        z = lse(a[:, -1], 1)
-        p = np.exp(a + b - z[:, None, None]) * real[:, :, None]
-        d = (hot - p) / n
-        g0 = np.column_stack([np.bincount(flat, np.repeat(d[:, :, k].ravel(), SLOTS), SLOTS * BUCKETS) for k in range(3)])
-        if length > 1:
-            e = a[:, :-1, :, None] + w[1] + (u + b)[:, 1:, None, :] - z[:, None, None, None]
-            g1 = (gold - (np.exp(np.minimum(e, 0)) * pairs[:, :, None, None]).sum((0, 1))) / n
-        else:
-            g1 = np.zeros((3, 3))
-        for x, g, (m, v) in zip(w, (g0, g1), moments, strict=True):
+    for t in range(1, rounds + 2):
+        u = sum(w[0][slots[:, :, j]] for j in range(SLOTS))
+        e, m = np.exp(u - u.max(2, keepdims=True)), np.exp(w[1])
+        p, moves = _expected(e, m, real)
+        if t > rounds:
+            return p
+        q, gold = _expected(e * may + 1e-30, m, real)
+        d = (q - p) / len(slots)
+        g0 = np.column_stack([np.bincount(flat, np.repeat(d[:, :, k].ravel(), SLOTS), len(w[0])) for k in range(3)])
+        for x, g, (first, second) in zip(w, (g0, (gold - moves) / len(slots)), moments, strict=True):
             g = g - 1e-4 * x
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Chain(w[0], w[1])
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_chains: int = 6_000) -> Chain:
-    """Chains have at most ``LONGEST_CHAIN`` words, so the sample is bounded.  A first pass counts chains, to know which documents the sample needs."""
+            first += 0.1 * (g - first)
+            second += 0.01 * (g * g - second)
+            x += 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+
+
+def _fit(parts: list[np.ndarray], rounds: int = 60) -> Chain:
+    """parts: (words, SLOTS + 1) of each chain, the tags last."""
+    model = Chain.blank()
+    taught = [x for x in parts if x[:, SLOTS].any()]
+    if not taught:
+        return model
+    for x in taught:  # once more with the words around secrets hidden
+        y, secret = x.copy(), x[:, SLOTS] > 0
+        y[secret, BEFORE], y[secret, AFTER] = AT[BEFORE], AT[AFTER]
+        parts = [*parts, y]
+    full = np.full((len(parts), max(map(len, parts)), SLOTS + 1), -1)
+    for i, x in enumerate(parts):
+        full[i, : len(x)] = x
+    real, slots, tags = full[:, :, SLOTS] >= 0, np.maximum(full[:, :, :SLOTS], 0), np.maximum(full[:, :, SLOTS], 0)
+    tags[:, 0] = np.where(tags[:, 0] == INSIDE, BEGIN, tags[:, 0])
+    may = np.eye(3)[tags]
+    model.unary[:], model.move[OUT, INSIDE] = 0, -4.0
+    p = _climb(model, slots, may, real, rounds)
+    may[(tags == OUT) & (p[:, :, OUT] < 0.5)] = 1
+    _climb(model, slots, may, real, rounds)
+    return model
 
-    def parts(b: pa.RecordBatch, features: bool) -> tuple[Chains, np.ndarray, np.ndarray]:
-        c = chains(b.column(1), features)
-        cut = c.cut()
-        return c, cut, np.maximum.reduceat(c.tags, cut) > 0 if len(cut) else np.zeros(0, bool)
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in pieces(batch, "_text"):
-                c, cut, some = parts(b, False)
-                for kind in (True, False):
-                    docs_, n = np.unique(c.doc[cut[some == kind]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs_)), pa.array(np.full(len(n), kind)), pa.array(n, pa.int64())], names=["h", "some", "n"])
 
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, sample_chains: int = 2_000) -> Chain:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch, "_text"):
-                c, cut, some = parts(b, True)
+                c = chains(b.column(1))
+                n = len(c.tags)
+                place = np.arange(n) - np.repeat(c.first, np.diff(np.r_[c.first, n]))
+                cut = np.flatnonzero(place % TAUGHT == 0)
+                some = np.maximum.reduceat(c.tags, cut) > 0 if n else np.zeros(0, bool)
                 x = np.column_stack([c.slots, c.tags]).astype(np.int32).ravel()
-                edge = np.r_[cut, len(c.tags)].astype(np.int32) * (SLOTS + 1)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c.doc[cut])), pa.array(some), pa.ListArray.from_arrays(pa.array(edge), pa.array(x))], names=["h", "some", "x"])
+                edge = np.r_[cut, n].astype(np.int32) * (SLOTS + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.ListArray.from_arrays(pa.array(edge), pa.array(x))], names=["some", "x"])
+        trim()
 
-    texts = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("_text"))
+    found = sampled(docs, id_col, text_col, sample_docs).mapInArrow(rows, "some boolean, x array<int>")
     # Chains without a base span come behind those with one at the same hash: about one in eight of them is taken.
-    place = F.col("h").cast("double") / 2.0**64 + 0.5
-    key = F.when(F.col("some"), place).otherwise(place * 8)
-    ahead = texts.mapInArrow(counts, "h long, some boolean, n long").select(key.alias("key"), "n").orderBy("key").limit(sample_chains).collect()
-    if not ahead:
-        return Chain.blank()
-    reach = int(np.searchsorted(np.cumsum([r["n"] for r in ahead]), sample_chains))
-    most = ahead[min(reach, len(ahead) - 1)]["key"]
-    found = texts.where(place <= most).mapInArrow(rows, "h long, some boolean, x array<int>").where(key <= most)
-    got = found.orderBy(key, F.hash("x")).limit(sample_chains).select("x").toArrow()["x"]
-    part = [x.values.to_numpy().reshape(-1, SLOTS + 1) for x in got]
-    full = np.full((len(part), max(map(len, part)), SLOTS + 1), -1)
-    for i, x in enumerate(part):
-        full[i, : len(x)] = x
-    return _fit(full[:, :, :SLOTS], full[:, :, SLOTS])
+    place = F.xxhash64("x").cast("double") / 2.0**64 + 0.5
+    got = found.orderBy(F.when(F.col("some"), place).otherwise(place * 8), F.hash("x")).limit(sample_chains).select("x").toArrow()["x"]
+    return _fit([x.values.to_numpy().reshape(-1, SLOTS + 1) for x in got])
 
 
 def added(c: Chains, model: Chain) -> dict[int, list[tuple[str, int, int]]]:
@@ -297,5 +306,6 @@ def find(docs: DataFrame, model: Chain, text_col: str = "text", out: str = "span
                 more = added(c, model)
                 spans = [sorted([(*s, True) for s in c.base.get(d, ())] + [(*s, False) for s in more.get(d, ())], key=lambda x: (x[1], KINDS.index(x[0]))) for d in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in x] for x in spans], _ARROW)], names=[*b.schema.names, out])
+        trim()
 
     return rest.mapInArrow(rows, T.StructType([*rest.schema.fields, T.StructField(out, SPANS)]))
