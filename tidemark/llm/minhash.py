@@ -6,15 +6,16 @@
    coordinates also meet under the rarest pairs of both: of m pairs that anyone else has, the m - need + 1
    rarest suffice (prefix); a class with m < need meets nobody (skip).  Common passages make frequent pairs, which are thereby left out.
 3. Count: inside each posting, signatures are compared; classes that agree in enough coordinates are candidates.
-   A posting over ``BLOCK`` classes is cut into blocks, and its first class joins every block.  Each block keeps the edges of its
+   A posting over ``SIGNED`` classes is cut into blocks, and its first class joins every block.  Each block keeps the edges of its
    best-agreement forest only, and each class its best edge: fewer candidates than classes.
 4. Confirm: candidates are proved on the full sets, 100 * intersection >= percent * union, and proven ones are merged into components.
 5. Rest: postings whose classes are in different components by now are gone through again, every two blocks in one
-   task, and all candidates between different components are proved too.  A posting that became one component costs nothing more.
+   task; forests of candidates between components gather what may still be linked.  Each such gathering is cut
+   into blocks of ``BLOCK`` classes or ``SHINGLES`` shingles, and every two of its blocks are one task, which proves all its candidates
+   between different components.  No candidate is left out, and none of them is ever a row.  What became one component costs nothing more.
 
 ``need`` is the largest count that a pair at the threshold misses with a chance under 1e-5, of ``coords`` in step 2 and of ``signs`` in step 3.
-What step 5 proves is pairs that look alike and are not linked yet: a family of documents that share a good part, but
-less than the threshold, is where the time goes.
+In a family of very many documents that share a good part, but less than the threshold, step 5 takes time with the square of the family.
 
 Defined cases: a document without words (null text too) links with nothing; one with fewer words than a shingle has
 the whole sequence as its only shingle; repeated rows are copies of each other; a null id never becomes
@@ -32,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import components, groups, identified, renamed, same, spread_join, stored, trim
+from tidemark.llm._spark import components, forest, groups, identified, renamed, runs, same, spread_join, stored, trim
 from tidemark.llm._text import Ranges, Words, mix, offsets, pieces, starts
 
-BLOCK = 512
+SIGNED, BLOCK, SHINGLES = 2048, 512, 1 << 18
 U = np.uint64
 
 
@@ -70,9 +71,9 @@ def sketches(sets: list[np.ndarray], coords: int, signs: int) -> tuple[np.ndarra
     if len(sets):
         every = np.concatenate(sets)
         size = np.array([len(s) for s in sets])
-        at = np.cumsum(size) - size
+        at, step = np.cumsum(size) - size, np.arange(signs, dtype=U) * U(0x9E3779B97F4A7C15)
         for j in range(signs):
-            low = mix(np.minimum.reduceat((every ^ xor[j]) * times[j], at) + U(j) * U(0x9E3779B97F4A7C15))
+            low = mix(np.minimum.reduceat((every ^ xor[j]) * times[j], at) + step[j])
             sig[:, j] = low & U(255)
             if j < coords:
                 tokens[:, j] = low
@@ -106,38 +107,75 @@ def _signatures(t: pa.Table, signs: int) -> np.ndarray:
     return offsets(t["sig"].combine_chunks() if isinstance(t["sig"], pa.ChunkedArray) else t["sig"])[0].reshape(-1, signs)
 
 
-def _forest(t: pa.Table, need: int, signs: int) -> pa.Table | None:
-    """(a, b, agree): edges of a block's best-agreement forest, grown from one class after the other."""
-    ids, at = np.unique(t["node"].to_numpy(), return_index=True)
-    sig = _signatures(t, signs)[at]
-    n, now, edges = len(ids), 0, []
+def _grown(root: np.ndarray, sig: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+    """(i, j, agree): edges of the best-agreement forest of one block; classes with the same root count as one."""
+    n, now, edges = len(root), 0, []
     best, of, out = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
     out[0] = False
     for _ in range(n - 1):
-        agree = (sig == sig[now]).sum(1)
+        agree = np.where(root == root[now], 1 << 20, (sig == sig[now]).sum(1))
         better = out & (agree > best)
         best[better], of[better] = agree[better], now
         now = int(np.where(out, best, -1).argmax())
         out[now] = False
-        if best[now] >= need:
-            edges.append((ids[min(now, of[now])], ids[max(now, of[now])], best[now]))
-    if not edges:
-        return None
-    a, b, agree = (np.array(x, np.int64) for x in zip(*edges, strict=True))
-    return pa.table({"a": a, "b": b, "agree": agree})
-
-
-def _between(t: pa.Table, need: int, signs: int) -> pa.Table | None:
-    """(a, b): candidates of two blocks, or of one with itself, that are in different components."""
+        if need <= best[now] < 1 << 20:
+            edges.append((now, int(of[now]), int(best[now])))
+    return edges
+
+
+def _forests(t: pa.Table, at: np.ndarray, need: int, signs: int) -> pa.Table | None:
+    """(a, b, agree): forests of many blocks; those of two classes all at once."""
+    node, root, sig, size = t["node"].to_numpy(), t["root"].to_numpy(), _signatures(t, signs), np.diff(at)
+    i = at[:-1][size == 2]
+    agree = (sig[i] == sig[i + 1]).sum(1)
+    good = (agree >= need) & (root[i] != root[i + 1])
+    i = i[good]
+    found = [(i, i + 1, agree[good])]
+    for g in np.flatnonzero(size > 2):
+        if edges := _grown(root[at[g] : at[g + 1]], sig[at[g] : at[g + 1]], need):
+            i, j, agree = (np.array(x) for x in zip(*edges, strict=True))
+            found.append((i + at[g], j + at[g], agree))
+    i, j, agree = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+    return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "agree": agree}) if len(i) else None
+
+
+def _between(t: pa.Table, k: int, percent: int, need: int, signs: int) -> pa.Table | None:
+    """(a, b): a forest of the links between different components, of two blocks or of one with itself."""
     ids, root, mine, sig = t["node"].to_numpy(), t["root"].to_numpy(), t["mine"].to_numpy(), _signatures(t, signs)
     cross = t["p"][0].as_py() != t["q"][0].as_py()
-    a, b = [], []
+    candidates = np.zeros((len(ids), len(ids)), bool)
     for lo in range(0, len(ids), 64):
         part = slice(lo, lo + 64)
-        i, j = np.nonzero(((sig[part, None, :] == sig[None]).sum(2) >= need) & (ids[part, None] < ids[None]) & (root[part, None] != root[None]) & (not cross or mine[part, None] != mine[None]))
-        a.append(ids[part][i])
-        b.append(ids[j])
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        candidates[part] = ((sig[part, None, :] == sig[None]).sum(2) >= need) & (root[part, None] != root[None]) & (not cross or mine[part, None] != mine[None])
+    some = np.flatnonzero(candidates.any(0))
+    if not len(some):
+        return None
+    ids, candidates = ids[some], candidates[np.ix_(some, some)]
+    sets = [s for b in pieces(t.take(pa.array(some)).combine_chunks().to_batches()[0], "_text") for s in shingle_sets(b.column(b.schema.get_field_index("_text")), k)]
+    both = _shared(sets)
+    size = np.array([len(s) for s in sets])
+    x, y = np.nonzero(np.triu(candidates & (100 * both >= percent * (size[:, None] + size[None] - both)), 1))
+    if not len(x):
+        return None
+    node, low = forest(ids[x], ids[y])
+    return pa.table({"a": node[node != low], "b": low[node != low]})
+
+
+def _shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many members every two sets share: products of slices of the incidence matrix."""
+    every, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, count = np.unique(every, return_inverse=True, return_counts=True)
+    number, keep = np.cumsum(count > 1) - 1, count[code] > 1
+    doc, code = doc[keep], number[code[keep]]
+    order = np.argsort(code, kind="stable")
+    doc, code = doc[order], code[order]
+    both = np.zeros((len(sets), len(sets)))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        i, j = np.searchsorted(code, [lo, lo + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[doc[i:j], code[i:j] - lo] = 1
+        both += m @ m.T
+    return both
 
 
 def _prove(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -174,20 +212,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = identified(docs, id_col, text_col)
     sketch = stored(keyed.mapInArrow(lambda it: _sketch(it, shingle, coords, signs), f"_id {kind}, _h long, _h2 long, c long, c2 long, n long, tokens array<long>, sig binary"), "sketch")
-    classes = sketch.where("c IS NOT NULL").groupBy("c", "c2").agg(F.min(F.struct("_id", "_h", "_h2")).alias("rep"), F.min("_id").alias("low"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig"))
+    classes = sketch.where("c IS NOT NULL").groupBy("c", "c2").agg(F.min(F.struct("_id", "_h", "_h2")).alias("rep"), F.min("_id").alias("low"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig"))
     # A number for each class, drawn once: the table is written with it.
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("node", F.explode("tokens").alias("t"))
     met = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     rare = tokens.join(met, "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts")).where(F.size("ts") >= need)
     prefix = rare.select("node", F.explode(F.slice("ts", 1, F.size("ts") - need + 1)).alias("p")).select("node", F.col("p.df").alias("df"), F.col("p.t").alias("t"))
-    posted = stored(prefix.join(classes.select("node", "sig", "rep"), "node").select("t", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"), "node", "sig", "rep"), "postings")
+    posted = stored(prefix.join(classes.select("node", "sig", "rep"), "node").select("t", F.ceil(F.col("df") / SIGNED).cast("int").alias("blocks"), "node", "sig", "rep"), "postings")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     first = posted.where("blocks > 1").groupBy("t", "blocks").agg(F.min(F.struct("node", "sig")).alias("x"))
-    dealt = posted.select("t", mine.alias("p"), "node", "sig").union(first.select("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), "x.node", "x.sig"))
-    forest = groups(dealt, ["t", "p"], lambda t: _forest(t, enough, signs), "a long, b long, agree long").distinct()
-    ends = forest.select(F.explode(F.array(F.struct(F.col("a").alias("u")), F.struct(F.col("b").alias("u")))).alias("x"), "a", "b", "agree")
-    tried = stored(ends.groupBy("x.u").agg(F.max(F.struct("agree", "a", "b")).alias("e")).select("e.a", "e.b").distinct(), "tried")
+    dealt = posted.select("t", mine.alias("p"), "node", F.col("node").alias("root"), "sig").union(first.select("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), "x.node", "x.node", "x.sig"))
+    best = runs(dealt, ["t", "p"], lambda t, at: _forests(t, at, enough, signs), "a long, b long, agree long").distinct()
+    ends = best.select(F.explode(F.array(F.struct(F.col("a").alias("u")), F.struct(F.col("b").alias("u")))).alias("x"), "a", "b", "agree")
+    tried = ends.groupBy("x.u").agg(F.max(F.struct("agree", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
     reps = renamed(posted.select("node", "rep.*").distinct(), "_r")
     # Always by shuffle: the candidates grow with the documents, and the plan shall be alike at every size.
     texts = stored(keyed.join(reps.hint("merge"), same("_r")).groupBy("node").agg(F.first("_text").alias("_text")), "texts")
@@ -196,9 +234,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = posted.drop("rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    again = placed.join(open_, "t").withColumn("mine", mine).withColumn("j", others).select("t", F.least("mine", "j").alias("p"), F.greatest("mine", "j").alias("q"), "mine", "node", "root", "sig")
-    rest = groups(again, ["t", "p", "q"], lambda t: _between(t, enough, signs), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    links = components(sure.union(_confirmed(stored(rest, "rest"), texts, shingle, percent)))
+    again = spread_join(placed, open_, ["t"], ["node"], "inner").withColumn("mine", mine).withColumn("j", others).select("t", F.least("mine", "j").alias("p"), F.greatest("mine", "j").alias("q"), "node", "root", "sig")
+    bridges = runs(again, ["t", "p", "q"], lambda t, at: _forests(t, at, enough, signs), "a long, b long, agree long").select("a", "b")
+    wide = components(sure.union(bridges))
+    members = wide.join(root.select("node", F.col("root").alias("inner")), "node", "left").select("node", F.col("root").alias("outer"), F.coalesce("inner", "node").alias("root")).join(classes.select("node", "sig", "n"), "node")
+    sizes = members.groupBy("outer").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("outer", "blocks")
+    rest = spread_join(members, sizes, ["outer"], ["node"], "inner").withColumn("mine", mine).withColumn("j", others).select("outer", F.least("mine", "j").alias("p"), F.greatest("mine", "j").alias("q"), "mine", "node", "root", "sig").join(texts, "node")
+    links = components(sure.union(groups(rest, ["outer", "p", "q"], lambda t: _between(t, shingle, percent, enough, signs), "a long, b long")))
     # The smallest id of each component, for its classes and then for their documents.
     joined = classes.select("node", "c", "c2", "low").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = joined.groupBy("root").agg(F.min("low").alias("m"))
