@@ -75,8 +75,8 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
-def groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str, least: int = 2) -> DataFrame:
-    """Apply ``fn`` to each group of ``least`` rows or more, without a Python call for smaller ones.
+def runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table | None], schema: str) -> DataFrame:
+    """Apply ``fn`` to stretches of whole groups: the rows, sorted by the keys, and where each group starts (and the last ends).
 
     One shuffle and one spillable sort by the keys.  Groups must be bounded by the caller."""
 
@@ -93,12 +93,8 @@ def groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | N
             at = np.concatenate([[0], np.flatnonzero(cuts) + 1, [t.num_rows]])
             if not last:
                 at = at[:-1]
-            out = []
-            for i in np.flatnonzero(np.diff(at) >= least):
-                r = fn(t.slice(at[i], at[i + 1] - at[i]))
-                if r is not None and r.num_rows:
-                    out += r.to_batches()
-            return out, t.slice(at[-1]).to_batches() if not last else []
+            r = fn(t.slice(0, at[-1]), at) if len(at) > 1 else None
+            return r.to_batches() if r is not None and r.num_rows else [], t.slice(at[-1]).to_batches() if not last else []
 
         rows = 0
         for b in batches:
@@ -111,10 +107,21 @@ def groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | N
                 yield from out
         if held:
             yield from ready(pa.Table.from_batches(held), True)[0]
+        trim()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str, least: int = 2) -> DataFrame:
+    """Apply ``fn`` to each group of ``least`` rows or more, without a Python call for smaller ones."""
+
+    def each(t: pa.Table, at: np.ndarray) -> pa.Table | None:
+        out = [r for i in np.flatnonzero(np.diff(at) >= least) if (r := fn(t.slice(at[i], at[i + 1] - at[i]))) is not None]
+        return pa.concat_tables(out) if out else None
+
+    return runs(df, keys, each, schema)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) of a small graph."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
