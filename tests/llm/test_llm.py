@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, pii, quality, queries, secrets, warc
+from tidemark.llm import bpe, decontaminate, pii, quality, queries, secrets, warc
 from tidemark.llm._candidates import Piece
 from tidemark.llm._spark import components
 from tidemark.llm.cross_polytope import near_vectors
@@ -231,7 +231,7 @@ def test_loser_tree(k):
     assert [runs[r][i] for r, i in warc.LoserTree(runs)] == sorted(x for r in runs for x in r)
 
 
-def test_leaks(spark, docs, empty):
+def test_leaks(spark, docs, empty, monkeypatch):
     item = PASSAGE.split()
     near = item[:20] + ["odd"] + item[21:]
     bench = spark.createDataFrame([(1, " ".join(item[5:40]), "x"), (2, " ".join(near), "x"), (3, "too few words", "x"), (4, None, "x"), (5, "no document has any of these words at all", "x")], "item_id long, text string, size string")
@@ -249,6 +249,26 @@ def test_leaks(spark, docs, empty):
     got = leaks(docs, bench)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) >= 4
     assert leaks(empty, bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    assert {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()} == want
+
+
+def test_leaks_with_repeated_shingles_and_rows(spark):
+    """Counts matter where a shingle comes more than once; of equal windows the first is named."""
+    item = " ".join(["a", "b"] * 10 + ["c", "d", "e", "f", "g", "h"])
+    texts = [item, item + " " + item, " ".join(["a", "b"] * 40), " ".join(["a", "b"] * 9 + ["c", "d", "e", "f", "g", "h", "i", "j"]), "x y z " + item]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(0, item, 1), (None, item, 1)]
+    got = leaks(spark.createDataFrame(rows, "doc_id long, text string, h int"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for i, t, _ in rows:
+        w, x = t.split(), item.split()
+        sims = {s: (bag(w[s : s + 26]) & bag(x)).total() / (bag(w[s : s + 26]) | bag(x)).total() for s in range(len(w) - 25)}
+        good = {s: v for s, v in sims.items() if v >= 0.8 - 1e-12}
+        if good:
+            best = min(good, key=lambda s: (-good[s], s))
+            want[i] = (len(good), best, round(good[best], 6))
+    assert {r.doc_id: (r.n_windows, r.start, r.similarity) for r in got} == want and len(got) == len(want) == 5
 
 
 def test_leaks_of_short_documents(spark):

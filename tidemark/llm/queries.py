@@ -105,9 +105,9 @@ item AS (SELECT item_id, n, s, count(*) AS c FROM bs GROUP BY ALL),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM documents),
 ds AS (SELECT doc_id, len(w) AS m, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
 hit AS (SELECT doc_id, item_id, m, n, c, s, p FROM ds JOIN item USING (s)),
-win AS (SELECT doc_id, item_id, n, c, s, start FROM hit, unnest(range(greatest(0, p - n + 5), least(p, m - n) + 1)) AS r(start)),
-per AS (SELECT doc_id, item_id, n, start, s, least(count(*), any_value(c)) AS k FROM win GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, start, sum(k)::DOUBLE / (2 * (n - 4) - sum(k)) AS similarity FROM per GROUP BY doc_id, item_id, n, start)
+win AS (SELECT doc_id, item_id, m, n, c, s, start FROM hit, unnest(CASE WHEN m < n THEN [0] ELSE range(greatest(0, p - n + 5), least(p, m - n) + 1) END) AS r(start)),
+per AS (SELECT doc_id, item_id, least(m, n) AS m, n, start, s, least(count(*), any_value(c)) AS k FROM win GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, sum(k)::DOUBLE / (m + n - 8 - sum(k)) AS similarity FROM per GROUP BY doc_id, item_id, m, n, start)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, min_by(start, (-similarity, start))::BIGINT AS start, round(max(similarity), 6) AS similarity FROM sim WHERE similarity >= 0.8 - 1e-12 GROUP BY doc_id, item_id""",
 }
 
