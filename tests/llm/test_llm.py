@@ -57,6 +57,16 @@ def test_substring(docs, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_substring_of_equal_ids(spark):
+    """Documents of one id, or of none, are told apart by their texts; a row that comes often costs and changes nothing more."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
+    alone, twice = [text(80) for _ in range(30)], text(40)
+    rows = [(i, t) for t in alone for i in (None, 7)][::2] + [(None, twice)] * 40 + [(7, text(5) + " " + twice + " " + text(5))]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got) == [0] * 30 + [40] * 41 and sum(r.kept_text in alone for r in got) == 30
+
+
 def naive(t, patterns):
     found = [(k, *m.span()) for k, (p, good) in patterns.items() for m in re.finditer(p, t) if good(m)]
     return sorted(found, key=lambda x: (x[1], list(patterns).index(x[0])))

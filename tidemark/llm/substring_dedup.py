@@ -8,13 +8,12 @@ both ways as far as windows go that pick it.
 Extension: anchors are joined across documents.  Where all blocks of an anchor
 are equal, whole blocks repeat.  Where they differ, matches end inside blocks, and the
 windows of these blocks alone are compared, by 128 bits.  No pairs are ever made: both
-steps count under a key, with map-side combining, and joins are plain equi-joins that AQE splits when a key
-is hot.  Touching spans merge into maximal repeats of at least ``window`` words.
+steps count under a key, with map-side combining, and the rows of a hot key are dealt to several tasks in the joins.  Touching spans merge into maximal repeats of at least ``window`` words.
 
 Defined cases: null or empty text has no words and keeps an empty text; a text of fewer
 than ``window`` words keeps all of them; a row that is repeated, id included, counts as
-two documents (so both lose what they share); null ids are ordinary ids; an empty table gives an empty
-result.  Only the two named columns are read, so other columns may have any names.
+two documents (so both lose what they share); null ids are ordinary ids: documents are told apart by id and 128 bits of text;
+an empty table gives an empty result.  Only the two named columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._spark import stored
+from tidemark.llm._spark import IDENTITY, identified, renamed, same, spread_join, stored, trim
 from tidemark.llm._text import Ranges, Words, pieces, spread, starts
 
 
@@ -48,7 +47,7 @@ def _argmin(g: np.ndarray, k: int) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "_text"):
-            w = Words(piece.column(2))
+            w = Words(piece.column(3))
             doc, at = starts(w.first, window)
             if not len(at):
                 continue
@@ -63,22 +62,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iter
             begin = at[i]
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column(0).take(pa.array(doc[i])),
-                    piece.column(1).take(pa.array(doc[i])),
+                    *(c.take(pa.array(doc[i])) for c in piece.columns[:3]),
                     pa.array(gram[pick[i]].view(np.int64)),
                     pa.array(words.of(begin, begin + count + window - 1).view(np.int64)),
                     pa.array((begin - w.first[doc[i]]).astype(np.int32)),
                     pa.array(count.astype(np.int32)),
                 ],
-                names=["_id", "_h", "a", "b", "start", "n"],
+                names=[*IDENTITY, "a", "b", "start", "n"],
             )
+    trim()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "_text"):
-            w = Words(piece.column(2))
-            spans = piece.column(3)
+            w = Words(piece.column(3))
+            spans = piece.column(4)
             rows = spans.flatten()
             doc = np.repeat(np.arange(piece.num_rows), np.diff(spans.offsets.to_numpy()))
             start, n, same = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -90,16 +89,17 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             at = local + w.first[doc]
             h = w.hashes()
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0).take(pa.array(doc)), piece.column(1).take(pa.array(doc)), *(pa.array(Ranges(h, lane).of(at, at + window).view(np.int64)) for lane in (0, 1)), pa.array(local.astype(np.int32))],
-                names=["_id", "_h", "w1", "w2", "pos"],
+                [*(c.take(pa.array(doc)) for c in piece.columns[:3]), *(pa.array(Ranges(h, lane).of(at, at + window).view(np.int64)) for lane in (0, 1)), pa.array(local.astype(np.int32))],
+                names=[*IDENTITY, "w1", "w2", "pos"],
             )
+    trim()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "_text"):
             texts, total, removed = [], [], []
-            for text, spans, hits in zip(piece.column(2), piece.column(3), piece.column(4), strict=True):
+            for text, spans, hits in zip(piece.column(1), piece.column(2), piece.column(3), strict=True):
                 words = (text.as_py() or "").encode().split()
                 keep = np.ones(len(words), bool)
                 if spans.is_valid:
@@ -114,6 +114,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
                 removed.append(len(words) - int(keep.sum()))
                 texts.append(b" ".join(compress(words, keep) if removed[-1] else words).decode())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["id", "kept_text", "n_words", "n_removed"])
+    trim()
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 8) -> DataFrame:
@@ -121,14 +122,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 < anchor <= window:
         raise ValueError("0 < anchor <= window is needed")
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("_id"), F.hash(F.col(text_col)).alias("_h"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    blocks = keyed.mapInArrow(lambda it: _blocks(it, window, anchor), f"_id {kind}, _h int, a long, b long, start int, n int")
+    keyed = identified(docs, id_col, text_col)
+    id_schema = f"_id {kind}, _h long, _h2 long"
+    blocks = keyed.mapInArrow(lambda it: _blocks(it, window, anchor), f"{id_schema}, a long, b long, start int, n int")
     met = blocks.groupBy("a").agg(F.count("*").alias("c"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("c > 1").select("a", F.expr("lo = hi").alias("same"))
-    seeds = blocks.drop("b").join(met, "a").groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "n", "same")).alias("spans"))
-    seeds = stored(seeds, "seeds").select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "spans")
-    whole = keyed.join(seeds, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("_id", "_h", "_text", "spans")
-    partial = whole.where(F.exists("spans", lambda s: ~s["same"])).mapInArrow(lambda it: _windows(it, window), f"_id {kind}, _h int, w1 long, w2 long, pos int")
+    seeds = spread_join(blocks.drop("b"), met, ["a"], ["_id", "_h"], "inner").groupBy(*IDENTITY).agg(F.collect_set(F.struct("start", "n", "same")).alias("spans"))
+    seeds = renamed(stored(seeds, "seeds"), "_s")
+    whole = keyed.join(seeds, same("_s"), "left").select(*IDENTITY, "_text", "spans")
+    partial = whole.where(F.exists("spans", lambda s: ~s["same"])).mapInArrow(lambda it: _windows(it, window), f"{id_schema}, w1 long, w2 long, pos int")
     twice = partial.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    hits = partial.join(twice, ["w1", "w2"]).groupBy(F.col("_id").alias("_j"), F.col("_h").alias("_k")).agg(F.collect_list("pos").alias("hits"))
-    ready = whole.join(hits, F.col("_id").eqNullSafe(F.col("_j")) & (F.col("_h") == F.col("_k")), "left").select("_id", "_h", "_text", "spans", "hits")
+    hits = spread_join(partial, twice, ["w1", "w2"], ["_id", "_h"], "inner").groupBy(*IDENTITY).agg(F.collect_set("pos").alias("hits"))
+    ready = whole.join(renamed(hits, "_t"), same("_t"), "left").select("_id", "_text", "spans", "hits")
     return ready.mapInArrow(lambda it: _cut(it, window), f"id {kind}, kept_text string, n_words long, n_removed long").withColumnRenamed("id", id_col)
