@@ -1,5 +1,6 @@
 """The training-data operators against brute force, with nulls, empties, repeats, ties and clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -234,11 +235,38 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_against_brute_force(spark, monkeypatch):
+    """Ties, repeated rows, null ids and a url with a third of all captures, in many files and ranges; order and every column."""
+    monkeypatch.setattr(warc, "RECORDS", 7)
+    monkeypatch.setattr(warc, "RANGE", 40)
+    rng = random.Random(3)
+    pages = [(i, rng.choice(["http://hot.com/", f"http://{rng.choice('abc')}.org/{rng.randrange(5)}?q={i % 3}#x", None]), rng.choice([None, "", "one", "two", f"page {i} é", "x" * 3000])) for i in range(300)]
+    pages += [pages[5]] * 3 + [(None, "http://hot.com/", "one"), (None, "http://hot.com/", "one")]
+    got = warc.round_trip(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, file int").repartition(5)).collect()
+    key = lambda r: (r.urlkey, r.ts, r.id is not None, r.id or 0)
+    assert [key(r) for r in got] == sorted(map(key, got))
+    newest, count = {}, Counter((h or "") for _, _, h in pages)
+    for i, _, h in pages:
+        newest[h or ""] = max(newest.get(h or "", -1), -1 if i is None else i)
+    want = []
+    for i, _, h in pages:
+        h = h or ""
+        digest = base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        other = newest[h] if count[h] > 1 and i is not None and newest[h] != i else None
+        want.append((i, len(h.encode()), digest, "revisit" if other is not None else "response", other))
+    have = [(r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got if r.id is not None]
+    assert sorted(have) == sorted(w for w in want if w[0] is not None) and len(got) == len(pages)
+    # Without the tree, ranges come run after run and are out of order.
+    monkeypatch.setattr(warc, "LoserTree", lambda runs: (x for r in runs for x in r))
+    part = pa.Table.from_pylist([{"urlkey": u, "ts": "t", "id": 1, "file": f, "offset": 0} for f, u in (("a", "x"), ("a", "z"), ("b", "y"))])
+    assert [u for b in warc._merge(iter(part.to_batches())) for u in b.column(0).to_pylist()] == ["x", "z", "y"]
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 7, 16])
 def test_loser_tree(k):
     rng = random.Random(k)
     runs = [sorted((rng.randint(0, 9), r, i) for i in range(rng.randint(0, 12))) for r in range(k)]
-    assert [runs[r][i] for r, i in warc.LoserTree(runs)] == sorted(x for r in runs for x in r)
+    assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
 def test_leaks(spark, docs, empty, monkeypatch):

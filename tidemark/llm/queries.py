@@ -98,6 +98,17 @@ j AS (SELECT page_id, host, path, CASE
   WHEN dotted LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
   WHEN dotted LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/' END AS rule FROM r)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM j""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+top AS (SELECT h, max(page_id) AS newest FROM p GROUP BY h),
+u AS (SELECT *, CASE WHEN coalesce(position('://' IN url), 0) = 0 THEN '' ELSE substr(url, position('://' IN url) + 3) END AS rest FROM p JOIN top USING (h)),
+k AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((strpos('0123456789abcdef', substr(h, 1 + 5 * i // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2 + 5 * i // 4, 1)) - 1) >> (3 - (5 * i) % 4)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN newest = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(newest, page_id) AS refers_to,
+  array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path || coalesce(regexp_extract(url, '[?][^#]*'), '') AS urlkey,
+  strftime(to_timestamp(1704067200 + page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS ts
+FROM k""",
     "op6_decontaminate": rf"""
 WITH b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM benchmark),
 bs AS (SELECT item_id, len(w) AS n, array_to_string(w[i:i + 4], ' ') AS s FROM b, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
@@ -112,5 +123,27 @@ SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, min_by(start, (-similarit
 }
 
 
+#: Components by labels that spread along links until they stay.
+SPREAD = """
+reach AS (SELECT DISTINCT a AS id, a AS low FROM link UNION SELECT link.b, reach.low FROM reach JOIN link ON link.a = reach.id WHERE reach.low < link.b),
+low AS (SELECT id, min(low) AS low FROM reach GROUP BY id)"""
+ORACLES["op7_cross_polytope"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings),
+good AS (SELECT *, sqrt(list_dot_product(x, x)) AS size, len(x) AS d FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
+  AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+link AS (SELECT a.id AS a, b.id AS b FROM good a JOIN good b ON a.label = b.label AND a.d = b.d AND a.id <> b.id WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.93),
+{SPREAD},
+n AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, least(id, coalesce(low, id)) AS component_id, id = least(id, coalesce(low, id)) AS kept FROM v LEFT JOIN n USING (id) LEFT JOIN low USING (id)"""
+ORACLES["op8_minhash"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+met AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+{SPREAD}
+SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(id, coalesce(low, id)) AS component_id, id = least(id, coalesce(low, id)) AS kept FROM w LEFT JOIN n USING (id) LEFT JOIN low USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -4,13 +4,15 @@
    largest id is a response and the others become revisit records.  Records are text rows of
    Spark's own writer (its line end is the last byte of a record), so real ``.warc.gz`` files land on any
    file system that Spark knows, and lost executors are made good by its commit protocol.
-2. Read: files are read back whole, at most ``RECORDS`` records each, and parsed by Content-Length.  Each
-   file's index is sorted by URL key, timestamp and id: a capture run, stored in the shared folder.
-3. Merge: runs are dealt by range of (URL key, timestamp, id), so even a key with a third of all captures is spread, and each
-   range merges its k runs with a loser tree.  The result is globally ordered across partitions.
-
-Defined cases: a null payload is empty; a null url has an empty key; repeated rows are written once each, and of equal
-ids one is the response and the others refer to the same id; an empty table gives an empty index.
+2. Read: files are read back whole, at most ``RECORDS`` records each, and parsed by Content-Length.  Each file is
+   a capture run: its index rows, sorted by URL key, timestamp, id, file and offset, stored in the shared folder.
+3. Merge: runs are dealt by range of the same key, ``RANGE`` rows a range or so.  The key names one record, so even a URL with a third of all
+   captures, or with captures that look the same, is spread.  The shuffle gives a range its runs one after the other, each in its order;
+   a loser tree with one cursor in each run merges them.  The result is globally ordered across partitions.
+
+Defined cases: a null payload is empty; a null url has an empty key; a null id comes first among captures of one time; repeated rows are written once each, and of equal
+ids one is the response and the others refer to the same id; captures that are equal in key, time and id are in the order of their place in the
+archives; an empty table gives an empty index; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._spark import shared_dir
+from tidemark.llm._spark import shared_dir, spread_join, trim
 from tidemark.llm.url_filter import host_and_path
 
-RECORDS = 4000
-INDEX = "urlkey string, ts string, id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, run int"
+RECORDS, RANGE = 4000, 50_000
+ORDER = ("urlkey", "ts", "id", "file", "offset")
+INDEX = "urlkey string, ts string, id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
 
 
 def url_key(url: str | Column) -> Column:
@@ -55,6 +59,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head += [b"Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}".encode()]
             out.append(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r")
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+    trim()
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ts: Column | None = None, least_bytes: int = 0) -> None:
@@ -63,7 +68,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     html = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), when.alias("ts"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     newest = pages.select(F.col(id_col).cast("long").alias("id"), html.alias("html")).where(F.octet_length("html") >= least_bytes).groupBy(F.sha1(F.col("html").cast("binary")).alias("digest")).agg(F.max("id").alias("top"), F.count("*").alias("k")).where("k > 1").select("digest", "top")
-    told = rows.join(newest, "digest", "left").select("id", "url", "ts", "html", "digest", F.when(F.col("top") != F.col("id"), F.col("top")).alias("refers"))
+    told = spread_join(rows, newest, ["digest"], ["id", "url"]).select("id", "url", "ts", "html", "digest", F.when(F.col("top") != F.col("id"), F.col("top")).alias("refers"))
     told.mapInArrow(_records, "value string").write.option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
@@ -99,28 +104,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """An index row for each record of the archives, sorted within each file's run."""
+    """An index row for each record of the archives; those of a file are together and sorted."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
     rows = files.mapInArrow(_runs, "url string, ts string, id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
-    rows = rows.select(url_key("url").alias("urlkey"), "ts", "id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset", F.spark_partition_id().alias("run"))
-    return rows.sortWithinPartitions("urlkey", "ts", "id")
+    rows = rows.select(url_key("url").alias("urlkey"), "ts", "id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset")
+    return rows.sortWithinPartitions("file", *ORDER)
 
 
 class LoserTree:
-    """The k-way merge: each inner node keeps the run that lost there, so a step replays one path of log2 k matches."""
+    """The k-way merge of sorted iterators of tuples: each inner node keeps the run that lost there, so a step replays one path of log2 k matches."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.k = runs, len(runs)
-        self.at = [0] * self.k
+    def __init__(self, runs: list[Iterator[tuple]]):
+        self.runs, self.k = [iter(r) for r in runs], len(runs)
+        self.heads = [next(r, None) for r in self.runs]
         self.losers = [-1] * self.k
         for r in range(self.k):
             self._replay(r)
 
-    def _head(self, r: int) -> tuple | None:
-        return self.runs[r][self.at[r]] if self.at[r] < len(self.runs[r]) else None
-
     def _beats(self, a: int, b: int) -> bool:
-        x, y = self._head(a), self._head(b)
+        x, y = self.heads[a], self.heads[b]
         return x is not None and (y is None or (x, a) < (y, b))
 
     def _replay(self, r: int) -> None:
@@ -134,31 +136,45 @@ class LoserTree:
             node //= 2
         self.losers[0] = r
 
-    def __iter__(self) -> Iterator[tuple[int, int]]:
-        while self.k and self._head(w := self.losers[0]) is not None:
-            yield w, self.at[w]
-            self.at[w] += 1
+    def __iter__(self) -> Iterator[tuple]:
+        while self.k and (head := self.heads[w := self.losers[0]]) is not None:
+            yield head
+            self.heads[w] = next(self.runs[w], None)
             self._replay(w)
 
 
+def _cursor(t: pa.Table, at: int, end: int) -> Iterator[tuple]:
+    """(key..., row) of the rows of one run."""
+    for lo in range(at, end, 1000):
+        part = t.slice(lo, min(1000, end - lo))
+        cols = [part[c].to_pylist() for c in ORDER]
+        for i, (url, ts, id_, file, offset) in enumerate(zip(*cols, strict=True)):
+            yield url, ts, id_ is not None, id_ or 0, file, offset, lo + i
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = list(batches)
     if not parts:
         return
     t = pa.Table.from_batches(parts).combine_chunks()
-    run = t["run"].to_numpy()
-    key = list(zip(t["urlkey"].to_pylist(), t["ts"].to_pylist(), [-1 if x is None else x for x in t["id"].to_pylist()], range(len(run)), strict=True))
-    order = np.argsort(run, kind="stable")
-    cuts = np.flatnonzero(np.diff(run[order])) + 1
-    # Rows of a run arrive in its order, so the sort of each run finds it done; a fetch may still interleave blocks.
-    runs = [sorted(key[i] for i in part.tolist()) for part in np.split(order, cuts)] if len(run) else []
-    rows = [runs[r][i][3] for r, i in LoserTree(runs)]
-    yield from t.take(pa.array(rows, pa.int64())).to_batches(max_chunksize=10_000)
+    run = t["file"].combine_chunks().dictionary_encode()
+    code = (run.combine_chunks() if isinstance(run, pa.ChunkedArray) else run).indices.to_numpy()
+    cuts = np.r_[0, np.flatnonzero(code[1:] != code[:-1]) + 1, len(code)]
+    rows: list[int] = []
+    for *_, row in LoserTree([_cursor(t, a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]):
+        rows.append(row)
+        if len(rows) == 10_000:
+            yield from t.take(pa.array(rows, pa.int64())).combine_chunks().to_batches()
+            rows = []
+    if rows:
+        yield from t.take(pa.array(rows, pa.int64())).combine_chunks().to_batches()
+    trim()
 
 
 def merge(runs: DataFrame) -> DataFrame:
-    """Capture histories ordered by URL key, timestamp and id, across partitions too."""
-    return runs.repartitionByRange("urlkey", "ts", "id").mapInArrow(_merge, INDEX)
+    """Capture histories ordered by URL key, timestamp and id, across partitions too.  The rows are counted first."""
+    ranges = max(1, ceil(runs.count() / RANGE))
+    return runs.repartitionByRange(ranges, *ORDER).sortWithinPartitions("file", *ORDER).mapInArrow(_merge, INDEX)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
