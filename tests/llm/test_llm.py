@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -467,12 +468,42 @@ def test_bpe(docs, empty):
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids) and r.decoded == t.decode(ids, skip_special_tokens=False)
     assert bpe.encode(empty, queries.word_bpe()).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_joins(name, monkeypatch):
+    """Chunks of a few bytes, cut anywhere, for tokenizers that drop white space and that keep it: the ids are those of whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
     rng = random.Random(1)
-    parts = [*"aB'sé́ \t\n\x0b\x0c\r\x85  　,.!9Σς中ᄀ가̀İ😀ﬁ", "<|endoftext|>"]
-    xs = ["".join(rng.choices(parts, k=rng.randint(0, 300))) for _ in range(500)]
+    parts = [*"aB'sé́ \t\n\x0b\x0c\r\x85\u00a0\u3000,.!9Σς中ᄀ가̀İ😀ﬁ", "<|endoftext|>", " the", " house", "ing ", "  ", "!\n\n", " don't", "1234"]
+    xs = ["".join(rng.choices(parts, k=rng.randint(0, 300))) for _ in range(400)] + ["", None, "a" * 5000, " " * 5000, "中" * 3000, " ".join(f"w{i}" for i in range(3000))]
+    whole = [t.encode(x or "", add_special_tokens=False).ids for x in xs]
+    for bits in (2, 4, 6, bpe.CHUNK_BITS):
+        monkeypatch.setattr(bpe, "CHUNK_BITS", bits)
+        e = bpe.Encoder(path)
+        got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(pa.array(xs))]
+        assert got == whole
+        print(name, bits, "encoded", e.encoded, "repaired", e.repaired, "joined", e.joined)
+    # Without the repair of joins the ids are others, and most joins are repaired, not encoded as a whole.
+    monkeypatch.setattr(bpe, "CHUNK_BITS", 6)
+    prose = " ".join(rng.choices([x.lower() for x in "The house of an extraordinary gentleman stood near a thundering waterfall".split()], k=4000))
+    e = bpe.Encoder(path)
+    assert np.frombuffer(e.encode(pa.array([prose]))[0], "<u4").tolist() == t.encode(prose, add_special_tokens=False).ids and e.repaired > 3 * (e.joined + 1)
+    monkeypatch.setattr(bpe.Encoder, "_regions", lambda self, cuts, words: [(len(a.ids), 0, array("I")) for a, *_ in cuts])
+    assert np.frombuffer(bpe.Encoder(path).encode(pa.array([prose]))[0], "<u4").tolist() != t.encode(prose, add_special_tokens=False).ids
+
+
+def test_bpe_reuses_chunks():
     e = bpe.Encoder(queries.word_bpe())
-    for x, got in zip(xs, e.encode(pa.array(xs)), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    passage = " ".join(random.Random(2).choices(VOCABULARY, k=3000))
+    e.encode(pa.array([passage]))
+    alone = e.encoded
+    e.encode(pa.array(["another beginning " + passage, passage + " another end"]))
+    assert alone > 5 and e.encoded <= alone + 4
 
 
 def test_digests(spark):

@@ -1,22 +1,27 @@
 """BPE encoding with content-defined chunks, and decoding.
 
 A rolling hash over 16 bytes cuts each text where its content says so, so passages that
-documents share fall into equal chunks.  The whole words inside a chunk are encoded
-once per task and kept in a bounded cache; a cut may fall inside a word.
-Joins are then repaired: the text around a cut is encoded anew, widened to the nearest white space on both sides, where
-the encodings of both sides agree exactly, since the tokenizer drops white space before its merges.
-A tokenizer without that property is recognised (``drops_space``) and encodes whole texts.
+documents share fall into equal chunks.  A chunk is encoded once and kept in a bounded cache for the task's other documents.
 
-Cached words are encoded by the tokenizers library itself.  Caches are bounded and are dropped when full, which changes time alone.
+Joins are then repaired.  A cut may fall anywhere, also inside a word, so the text around it is encoded anew, from a white space
+before it to one after it.  The result replaces the tokens of both sides if it agrees with them exactly at its ends: its first tokens, over
+a whole word at least, are those that the left chunk has there, its last tokens those of the right chunk.  If it doesn't,
+more words are taken; where that fails too, or where the repairs of two cuts would meet, the chunks are joined into one and encoded as such,
+until every cut agrees.  A text without white space ends as one chunk.
+
+Limits of caches and of tokens looked at near a cut change time alone.  Chunks are shared inside a task: to share them between tasks
+would shuffle all texts and ids.
 
 Defined cases: null or empty text has no ids and decodes to the empty string; null ids of documents and repeated
-rows are kept as they are; an empty table gives an empty result.
+rows are kept as they are; an empty table gives an empty result; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +30,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._spark import trim
-from tidemark.llm._text import Words, mix, pieces, powers
+from tidemark.llm._text import mix, offsets, pieces, powers
 
-CHUNK_BITS = 8
-MAX_WORDS, MAX_CHUNKS, MAX_CHUNK_BYTES = 250_000, 15_000, 4096
-#: Bytes of text encoded at a time; working arrays are about 60 times as large.
-PART = 1 << 20
+#: Chunks have 1024 bytes on average.
+CHUNK_BITS = 10
+MAX_CHUNKS = 8_000
+#: Bytes of text encoded at a time, tokens looked at on each side of a cut, and how many words a repair takes on each side.
+PART, NEAR, WORDS = 1 << 20, 24, (1, 4)
 U = np.uint64
 
 
-def drops_space(tokenizer) -> bool:
-    """White space never reaches a token, so texts may be encoded in parts that end at it."""
-    ids = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
-    parts = ("Ab", "c,", "'s", "9", "'", "é́", "-x")
-    return all(not ids(s) and all(ids(a + s + b) == ids(a) + ids(b) for a in parts for b in parts) for s in (" ", "\t", "\n", "\x0b", "\x0c", "\r", " \n "))
+@dataclass
+class Chunk:
+    """A text, its ids, and where its first and last ``NEAR`` tokens start and end, in characters."""
+
+    text: str
+    ids: array
+    head: tuple[array, array]
+    tail: tuple[array, array]
+
+    def before(self, at: int) -> int | None:
+        """How many tokens end by ``at``, if no token crosses it; None also if it is too far from the end."""
+        starts, ends = self.tail
+        k = len(starts)
+        while k and starts[k - 1] >= at:
+            k -= 1
+        if k and ends[k - 1] > at or not k and len(starts) < len(self.ids):
+            return None
+        return len(self.ids) - len(starts) + k
+
+    def after(self, at: int) -> int | None:
+        """The first token that starts at ``at`` or later, if no token crosses it; None also if it is too far from the start."""
+        starts, ends = self.head
+        k = 0
+        while k < len(ends) and ends[k] <= at:
+            k += 1
+        if k < len(ends) and starts[k] < at or k == len(ends) < len(self.ids):
+            return None
+        return k
 
 
 class Encoder:
@@ -49,60 +78,114 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        self.by_words = drops_space(self.t)
-        self.words: dict[bytes, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks: dict[str, Chunk] = {}
         self.names: list[str] | None = None
+        self.encoded = self.repaired = self.joined = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) > MAX_WORDS:
-            self.words = {}
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for w, e in zip(part, self.t.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, column: pa.Array) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if not self.by_words:
-            return [np.array(self.t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in column.to_pylist()]
-        w = Words(column)
-        data, n = w.data.tobytes(), len(w.data)
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Where the content cuts: between characters, after 16 bytes whose hash ends in ``CHUNK_BITS`` zeros."""
+        n = len(data)
         up, down = powers(1, n)
         total = np.zeros(n + 1, U)
-        np.cumsum((w.data.astype(U) + U(1)) * up[:n], out=total[1:])
-        at = np.arange(16, n + 1)
-        cut = at[mix((total[at] - total[at - 16]) * down[at - 16]) >> U(64 - CHUNK_BITS) == 0]
-        # The first word that does not end by the cut, and whether the cut falls inside it.
-        word = np.searchsorted(w.end, cut, side="right")
-        inside = np.zeros(len(cut), bool)
-        some = word < len(w.start)
-        inside[some] = w.start[word[some]] < cut[some]
-        bounds = np.unique(np.concatenate([w.first, word, (word + 1)[inside]]))
-        start, end = w.start, w.end
-        lo, hi = bounds[:-1], bounds[1:]
-        keys = [data[a:b] for a, b in zip(start[lo].tolist(), end[hi - 1].tolist(), strict=True)] if len(lo) else []
+        np.cumsum((data.astype(U) + U(1)) * up[:n], out=total[1:])
+        at = np.arange(16, n)
+        at = at[mix((total[at] - total[at - 16]) * down[at - 16]) >> U(64 - CHUNK_BITS) == 0]
+        return at[data[at] & 0xC0 != 0x80]
+
+    def learn(self, texts: list[str]) -> dict[str, Chunk]:
+        """Chunks of texts: those that are known, and the others encoded."""
+        out = {x: self.chunks[x] for x in texts if x in self.chunks}
+        fresh = list({x for x in texts if x not in out})
         if len(self.chunks) > MAX_CHUNKS:
             self.chunks = {}
-        fresh = {k for k in keys if k not in self.chunks}
-        need = {x for k in fresh for x in k.split()}
-        if len(self.words) > MAX_WORDS:
-            self._learn(sorted(need))
-        else:
-            self._learn([x for x in need if x not in self.words])
-        known = self.words.__getitem__
-        local = {k: b"".join(map(known, k.split())) for k in fresh}
-        for k, v in local.items():
-            if len(k) <= MAX_CHUNK_BYTES:
-                self.chunks[k] = v
-        held = self.chunks
-        ids = [local[k] if k in local else held[k] for k in keys]
-        first = np.searchsorted(bounds, w.first)
-        return [b"".join(ids[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        for i in range(0, len(fresh), 256):
+            part = fresh[i : i + 256]
+            for x, e in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True):
+                n = len(e)
+                ends = [[e.token_to_chars(k) for k in r] for r in (range(min(n, NEAR)), range(max(n - NEAR, 0), n))]
+                out[x] = Chunk(x, array("I", e.ids), *((array("I", [a for a, _ in r]), array("I", [b for _, b in r])) for r in ends))
+        self.encoded += len(fresh)
+        self.chunks |= {x: out[x] for x in fresh if len(x) <= 16 << CHUNK_BITS}
+        return out
+
+    def _regions(self, cuts: list[tuple[Chunk, Chunk, bool, bool]], words: int) -> list[tuple[int, int, array] | None]:
+        """For each cut between two chunks: tokens kept of the left one, the first kept of the right one, and the ids between; or None."""
+        ends = []
+        for left, right, first, last in cuts:
+            parts = left.text.rsplit(None, words + 1)
+            a = len(parts[0]) if len(parts) == words + 2 else 0
+            parts = right.text.split(None, words + 1)
+            b = len(right.text[: len(right.text) - len(parts[-1])].rstrip()) if len(parts) == words + 2 else len(right.text)
+            kept, next_ = left.before(a), right.after(b)
+            good = kept is not None and next_ is not None and (a > 0 or first) and (b < len(right.text) or last)
+            ends.append((a, b, kept, next_) if good else None)
+        asked = [left.text[e[0] :] + right.text[: e[1]] for (left, right, _, _), e in zip(cuts, ends, strict=True) if e]
+        got = iter(self.t.encode_batch(asked, add_special_tokens=False))
+        out: list[tuple[int, int, array] | None] = []
+        for (left, right, _, _), e in zip(cuts, ends, strict=True):
+            if e is None:
+                out.append(None)
+                continue
+            a, b, kept, next_ = e
+            new = next(got)
+            ids, cut, n = array("I", new.ids), len(left.text) - a, len(new)
+            # The tokens of whole words on either side of the cut must come out as they are in the chunks.
+            word = len(left.text[a:].split(None, 1)[0]) + len(left.text[a:]) - len(left.text[a:].lstrip()) if a else 0
+            m = sum(s < a + word for s in left.tail[0][kept - (len(left.ids) - len(left.tail[0])) :]) if a else 0
+            good = word < cut and ids[:m] == left.ids[kept : kept + m] and (m > 0 or not a)
+            if good and b < len(right.text):
+                tail = right.text[:b].rsplit(None, 1)
+                from_ = b - len(tail[-1])
+                m = sum(t > from_ for t in right.head[1][:next_])
+                good = len(tail) == 2 and m > 0 and ids[n - m :] == right.ids[next_ - m : next_]
+            out.append((kept, next_, ids) if good else None)
+        return out
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        data, offs = offsets(column)
+        raw, cut = data.tobytes(), self.cuts(data)
+        bounds = np.unique(np.r_[offs, cut])
+        first = np.searchsorted(bounds, offs).tolist()
+        at = bounds.tolist()
+        texts = [[raw[at[k] : at[k + 1]].decode() for k in range(first[d], first[d + 1])] for d in range(len(offs) - 1)]
+        done: list[bytes | None] = [b"" if not t else None for t in texts]
+        open_ = [d for d, x in enumerate(done) if x is None]
+        while open_:
+            known = self.learn([x for d in open_ for x in texts[d]])
+            units = {d: [known[x] for x in texts[d]] for d in open_}
+            where = [(d, k) for d in open_ for k in range(len(units[d]) - 1)]
+            found: dict[tuple[int, int], tuple[int, int, array]] = {}
+            for words in WORDS:
+                left = [x for x in where if x not in found]
+                # At a text's ends a repair may take all there is.
+                made = self._regions([(units[d][k], units[d][k + 1], k == 0, k + 2 == len(units[d])) for d, k in left], words)
+                found |= {x: r for x, r in zip(left, made, strict=True) if r}
+            self.repaired += len(found)
+            for d in open_:
+                n = len(units[d])
+                whole = [(d, k) in found for k in range(n - 1)]
+                for k in range(1, n - 1):  # the repairs on both sides of a chunk must not meet
+                    if whole[k - 1] and whole[k] and found[d, k - 1][1] > found[d, k][0]:
+                        whole[k] = False
+                if all(whole):
+                    ids = array("I")
+                    for k, u in enumerate(units[d]):
+                        lo = found[d, k - 1][1] if k else 0
+                        ids += u.ids[lo : found[d, k][0] if k < n - 1 else len(u.ids)]
+                        if k < n - 1:
+                            ids += found[d, k][2]
+                    done[d] = np.frombuffer(ids, np.uintc).astype("<u4").tobytes()
+                else:
+                    self.joined += whole.count(False)
+                    starts = [0, *(k + 1 for k in range(n - 1) if whole[k]), n]
+                    texts[d] = ["".join(texts[d][i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            open_ = [d for d in open_ if done[d] is None]
+        return done
 
     def forget(self) -> None:
         """At a task's end: workers outlive it, and other operators' tasks need the memory."""
-        self.words, self.chunks = {}, {}
+        self.chunks = {}
         trim()
 
     def decode(self, ids: bytes) -> str:
