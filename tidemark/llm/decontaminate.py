@@ -110,7 +110,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     only = F.when(short, F.col("key"))  # the item that a short document is a window for
     wanted = near.withColumn("enough", enough).where(F.size("at") >= F.col("enough")).select(*IDENTITY, F.explode(F.transform(begin, lambda s: F.struct(F.col("size").alias("size"), s.alias("start"), only.alias("only")))).alias("x"))
     wanted = stored(wanted.groupBy(*IDENTITY).agg(F.collect_set("x").alias("windows")), "wanted")
-    again = keyed.join(renamed(wanted, "_w"), same("_w")).select(*IDENTITY, "windows", words("_text").alias("w")).select(*IDENTITY, "windows", shingles(F.col("w"), shingle).alias("hs"))
+    # Always by shuffle: documents with windows grow with the documents, and the plan shall be alike at every size.
+    again = keyed.join(renamed(wanted, "_w").hint("merge"), same("_w")).select(*IDENTITY, "windows", words("_text").alias("w")).select(*IDENTITY, "windows", shingles(F.col("w"), shingle).alias("hs"))
     win = F.slice("hs", F.col("x.start") + 1, F.col("x.size") - shingle + 1)
     windows = again.select(*IDENTITY, "hs", F.explode("windows").alias("x")).select(*IDENTITY, "x.size", "x.start", "x.only", win.alias("win"))
     windows = windows.where((F.size("win") == F.col("size") - shingle + 1) | F.col("only").isNotNull())
