@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.operators import anomaly, intervals, segments
+from tidemark.plans.database import Database
 from tidemark.plans.store import IndexGroup, Store
 from tidemark.sources import interval_files
 
@@ -115,3 +116,85 @@ def test_interval_files(spark, tmp_path):
     got = interval_files.read(spark, at, df.schema)
     assert sorted(map(tuple, got.select("interval", "name", "n").collect())) == sorted((i % 3, f"d{i}", i) for i in range(30) if i % 3 != 1 or i < 9)
     assert interval_files.read(spark, at, df.schema, [2]).count() == 10
+
+
+def test_orders_and_ties(spark, numbers):
+    rows = lambda df: [(r.v, r.id) for r in df.collect()]
+    every = [(i * 37 % 50 - 20, i) for i in range(100)]
+    i = numbers.index("v")
+    assert rows(i.lt(0)) == sorted([x for x in every if x[0] < 0], key=lambda x: (-x[0], x[1])) and rows(i.gt(0)) == sorted(x for x in every if x[0] > 0)
+    assert rows(i.query("v % 2 = 0")) == sorted(x for x in every if x[0] % 2 == 0)
+    assert rows(numbers.index("v", newest_first=True).ordered()) == sorted(every, key=lambda x: (x[0], -x[1]))
+    assert numbers.index("v", descending=True).verify()
+    names = Store(spark.createDataFrame([(1, "ab"), (2, "b"), (3, "ab"), (4, "c")], "id int, k string"), "id").index("k")
+    assert (names.lookup("b", -1).first().id, names.lookup("b", 1).first().id, names.lookup("a", -1).count()) == (1, 4, 0)
+    assert [r.id for r in names.prefix("a").collect()] == [1, 3]
+
+
+def test_pop(numbers):
+    taken, left = numbers.index("v").pop()
+    assert [(r.v, r.id) for r in taken.collect()] == [min((i * 37 % 50 - 20, i) for i in range(100))] and left.size() == 99
+    taken, left = left.index("v").pop(last=True)
+    assert taken.first().v == 29 and left.size() == 98 and numbers.purge().index("v").pop()[0].count() == 0
+
+
+def test_group_conditions(numbers):
+    g = IndexGroup(numbers.index("v"), numbers.index("id"), numbers.index("v"))
+    with pytest.raises(ValueError):
+        g.query("v < 0", "id < 3")
+    with pytest.raises(ValueError):
+        IndexGroup().query("v < 0")
+    assert g.query("id < 1", "id < 2", "id < 3").count() == 6
+
+
+def test_database(spark, numbers, tmp_path):
+    gone = []
+    d = Database(numbers, archive=gone.append, count_hits=True)
+    d.create_index("v", "v")
+    d.create_index("later", "v", populate=False)
+    d.create_index("own", "v", takes_all=False)
+    d.create_group("g", "v", "own")
+    child = d.query("v", "v < 0")
+    child.create_index("v", "v")
+    grandchild = child.gt("v", -10)
+    n = child.store.size()
+    d.add(spark.createDataFrame([(200, -5)], "id long, v long"))
+    d.add(spark.createDataFrame([(201, -7), (202, 4)], "id long, v long"), ["own"])
+    size = lambda name: d.index(name).rows().count()
+    assert (size("v"), size("later"), size("own"), d.group("g").query("id >= 200").count(), d.group().query("id >= 200").count()) == (101, 1, 2, 3, 2)
+    assert child.store.size() == n  # later rows are not seen
+    assert {r["_query_count"] for r in d.hits().where("v < 0 AND id < 100").collect()} == {1} and d.hits().agg(F.sum("_query_count")).first()[0] == n
+    d.set_prune("v % 2 = 0")
+    assert d.sweep().count() == gone[0].count() > 0
+    assert child.store.df.where("v % 2 = 0").count() == grandchild.store.df.where("v % 2 = 0").count() == 0 and grandchild.store.size() > 0
+    d.delete("own")
+    assert d.names() == ["v", "later", "g"] and d.group("g").size() == 1
+    d.purge()
+    assert d.store.size() == child.store.size() == grandchild.store.size() == 0
+    with pytest.raises(ValueError):
+        d.create_index("v", "v")
+
+
+def test_equal_points_and_zero_keys(spark):
+    near = anomaly.knn(spark.createDataFrame([(i, [0.0, 0.0] if i < 8 else [0.5, 0.0] if i == 8 else [float(i), 1.0]) for i in range(12)], "id long, v array<double>"), "id", "v", 3)
+    lof = {r.id: r.lof for r in anomaly.lof(near, 3).collect()}
+    assert all(lof[i] == 1 for i in range(8)) and lof[8] == float("inf")
+    assert stats.gini(spark.createDataFrame([(0.0,), (0.0,)], "v double"), "v").first().gini is None
+    v = anomaly.scaled(spark.createDataFrame([(1, 2.0, 0, 65535), (2, -4.0, 0, None)], "id int, a double, z int, p int"), "id", ["a", "z"], ["p"])
+    assert [r.vector for r in v.orderBy("id").collect()] == [[0.5, 0.0, 1.0], [-1.0, 0.0, 0.0]]
+
+
+def test_micros_in_any_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        r = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.5' AS a, timestamp'2024-03-10 00:00:00Z' AS b").select(intervals.micros("a"), intervals.micros("b")).first()
+        assert tuple(r) == (1710037800500000, 1710028800000000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_merge_sorted(spark):
+    parts = [spark.createDataFrame([(i, i * k % 7) for i in range(20)], "id int, ts int") for k in (3, 5)]
+    got = [(r.ts, r.source, r.id) for r in intervals.merge_sorted(parts, "ts", "id").collect()]
+    assert got == sorted((i * k % 7, s, i) for s, k in enumerate((3, 5)) for i in range(20))

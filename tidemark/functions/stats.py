@@ -37,13 +37,13 @@ def ratio(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
 
 
 def gini(df: DataFrame, key: str) -> DataFrame:
-    """Gini coefficient of a numeric key.  The running sum is over distinct keys."""
+    """Gini coefficient of a numeric key.  The running sum is over distinct keys.  Null where all keys are zero or there are none."""
     n = df.groupBy(F.col(key).cast("double").alias("v")).agg(F.count("*").alias("c"))
     total = n.agg(F.sum("c").alias("n"))
     w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = n.join(F.broadcast(total)).withColumn("s", F.sum(F.col("c") * F.col("v") / F.col("n")).over(w))  # one row of an aggregate
     step = run.withColumn("p", F.coalesce(F.lag("s").over(Window.orderBy("v")), F.lit(0.0)))
-    return step.agg(F.round(1 - F.sum(F.col("c") * (F.col("p") + F.col("s")) / F.col("n")) / F.max("s"), 6).alias("gini"))
+    return step.agg(F.round(1 - F.try_divide(F.sum(F.col("c") * (F.col("p") + F.col("s")) / F.col("n")), F.max("s")), 6).alias("gini"))
 
 
 def host(url: str) -> Column:
@@ -73,8 +73,10 @@ def domain_stats(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def interval_domain_entropy(stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Entropy of an interval over its domains, plain and weighted by their lengths."""
-    return stats.groupBy(*by).agg(F.sum("total_queries").alias("total_queries"), F.sum("total_length").alias("total_length"), F.round(entropy_of("total_queries"), 6).alias("entropy"))
+    """Entropy of an interval over its domains, plain and weighted by the mean length of a domain's queries."""
+    q, n = F.col("total_queries"), F.col("total_length")
+    weighted = (F.sum(n) * F.log2(F.sum(q)) - F.sum(n * F.log2(q))) / F.sum(q)
+    return stats.groupBy(*by).agg(F.sum(q).alias("total_queries"), F.sum(n).alias("total_length"), F.round(entropy_of("total_queries"), 6).alias("entropy"), F.round(weighted, 6).alias("weighted_entropy"))
 
 
 def max_normalised(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

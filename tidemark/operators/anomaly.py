@@ -34,11 +34,18 @@ def knn(df: DataFrame, id_col: str, vector_col: str, k: int = 10) -> DataFrame:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
         a, b, ids, others = np.stack(q.v), np.stack(r.v), q.id.to_numpy(), r.id.to_numpy()
         out = []
+        size = (b * b).sum(1)
         for i in range(0, len(a), 64):
-            d = np.sqrt(((a[i : i + 64, None, :] - b[None]) ** 2).sum(2))
-            d[ids[i : i + 64, None] == others[None]] = np.inf
+            x, self_ = a[i : i + 64], ids[i : i + 64, None] == others[None]
+            # A product finds who may be near, with room for its rounding; exact differences decide.
+            own = (x * x).sum(1)[:, None]
+            rough = np.where(self_, np.inf, own + size - 2 * x @ b.T)
+            reach = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1, None]
+            near = np.flatnonzero((rough <= reach + 1e-9 * (own + size.max())).any(0))
+            d = np.sqrt(((x[:, None, :] - b[None, near]) ** 2).sum(2))
+            d[self_[:, near]] = np.inf
             best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"id": np.repeat(ids[i : i + 64], best.shape[1]), "neighbour": others[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
+            out.append(pd.DataFrame({"id": np.repeat(ids[i : i + 64], best.shape[1]), "neighbour": others[near][best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
         out = pd.concat(out)
         return out[np.isfinite(out.distance)]
 
@@ -47,13 +54,24 @@ def knn(df: DataFrame, id_col: str, vector_col: str, k: int = 10) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def scaled(df: DataFrame, id_col: str, columns: Sequence[str], ports: Sequence[str] = ()) -> DataFrame:
+    """(id, vector) for distances over columns of different kinds: each divided by its largest size, ports by 65535."""
+    top = df.agg(*[F.max(F.abs(c)).cast("double").alias(f"_m_{c}") for c in columns])
+    by = [F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"_m_{c}")), F.lit(0.0)) for c in columns]
+    return df.join(F.broadcast(top)).select(F.col(id_col), F.array(*by, *[F.coalesce(F.col(c), F.lit(0)).cast("double") / 65535 for c in ports]).alias("vector"))  # one row of an aggregate
+
+
 def lof(neighbours: DataFrame, k: int = 10) -> DataFrame:
-    """(id, lof) from a neighbour table: the mean of lrd(o) / lrd(p) over p's neighbours."""
+    """(id, lof) from a neighbour table: the mean of lrd(o) / lrd(p) over p's neighbours.
+
+    A point whose k neighbours all lie on it has infinite density: it is as dense as neighbours of that kind (ratio 1) and denser than any other (ratio 0);
+    a point of finite density next to it has an infinite factor."""
     kdist = neighbours.groupBy("id").agg(F.max("distance").alias("kd"))
     reach = neighbours.join(kdist.select(F.col("id").alias("neighbour"), "kd"), "neighbour").withColumn("reach", F.greatest("distance", "kd"))
-    lrd = reach.groupBy("id").agg((F.count("*") / F.sum("reach")).alias("lrd"))
+    endless = F.lit(float("inf"))
+    lrd = reach.groupBy("id").agg(F.coalesce(F.try_divide(F.count("*"), F.sum("reach")), endless).alias("lrd"))
     both = neighbours.join(lrd.select(F.col("id").alias("neighbour"), F.col("lrd").alias("lo")), "neighbour").join(lrd, "id")
-    return both.groupBy("id").agg((F.sum(F.col("lo") / F.col("lrd")) / F.count("*")).alias("lof"))
+    return both.groupBy("id").agg((F.sum(F.when(F.col("lo") == F.col("lrd"), 1.0).otherwise(F.col("lo") / F.col("lrd"))) / F.count("*")).alias("lof"))
 
 
 def pca(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

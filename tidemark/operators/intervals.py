@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +11,12 @@ from pyspark.sql.window import Window
 
 
 def micros(ts: str | Column) -> Column:
+    """Microseconds since the epoch; a time without a zone is taken as UTC, whatever the session's zone is."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+    since = c.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    parts = {"DAY": 86_400_000_000, "HOUR": 3_600_000_000, "MINUTE": 60_000_000, "SECOND": 1_000_000}
+    plain = sum((F.extract(F.lit(k), since) * n).cast("long") for k, n in parts.items())
+    return F.when(F.typeof(c) == "timestamp_ntz", plain).otherwise(F.unix_micros(c.cast("timestamp")))
 
 
 def aligned(df: DataFrame, ts: str, seconds: int, strict: bool = False, out: str = "bucket") -> DataFrame:
@@ -70,3 +76,14 @@ def rebase(df: DataFrame, file: str, ts: str, order: str, gap_seconds: int = 1)
     w = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
     start = spans.select(file, "_lo", F.coalesce(F.sum(F.col("_hi") - F.col("_lo") + gap_seconds * 1_000_000).over(w), F.lit(0)).alias("_start"))
     return df.join(start, file).select(*df.columns, (micros(ts) - F.col("_lo") + F.col("_start")).alias("offset_us"))
+
+
+def merge_sorted(parts: Sequence[DataFrame], ts: str, order: str) -> DataFrame:
+    """An ordered merge of sources: by time, then by the number of the source, then in each source's own order.  One range shuffle."""
+    out = None
+    for i, p in enumerate(parts):
+        part = p.withColumn("source", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("nothing to merge")
+    return out.orderBy(ts, "source", order)

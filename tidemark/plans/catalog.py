@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import packets, stats
-from tidemark.operators import anomaly, flows, intervals, segments
+from tidemark.operators import anomaly, dns, flows, intervals, segments
+from tidemark.plans.database import Database
 from tidemark.plans.session import shared_dir
 from tidemark.plans.store import IndexGroup, Store, fold, lookup_join, multi_index_count
-from tidemark.sources import archive, interval_files
+from tidemark.sources import archive, interval_files, synthetic
 from tidemark.streaming import intervals as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,17 +72,17 @@ def _line(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity = 10")
 def query_eq(spark, sf_dir):
-    return _line(spark, sf_dir).eq(10).select(*LINE)
+    return _line(spark, sf_dir).eq(10, ordered=False).select(*LINE)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity < 10")
 def query_lt(spark, sf_dir):
-    return _line(spark, sf_dir).lt(10).select(*LINE)
+    return _line(spark, sf_dir).lt(10, ordered=False).select(*LINE)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity > 10")
 def query_gt(spark, sf_dir):
-    return _line(spark, sf_dir).gt(10).select(*LINE)
+    return _line(spark, sf_dir).gt(10, ordered=False).select(*LINE)
 
 
 @query("SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY user_id")
@@ -115,7 +116,7 @@ def cursor_neighbours(spark, sf_dir):
 @query("WITH a AS (SELECT * FROM lineitem WHERE l_quantity < 10) SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM a WHERE l_discount > 0.05 AND l_quantity > 3")
 def requery(spark, sf_dir):
     first = Store(t(spark, sf_dir, "lineitem"), "l_orderkey").query("l_quantity < 10")
-    return first.query("l_discount > 0.05").index("l_quantity").gt(3).select(*LINE)
+    return first.query("l_discount > 0.05").index("l_quantity").gt(3, ordered=False).select(*LINE)
 
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
@@ -149,10 +150,12 @@ def merge_fold(spark, sf_dir):
     return fold(t(spark, sf_dir, "events"), "user_id", "event_id", "event_type", F.lit(None).cast("string"), lambda kept, new: new)
 
 
-@query("""SELECT 'user_id' AS key_name, CAST(user_id AS VARCHAR) AS key_value, count(*) AS n FROM events GROUP BY user_id
-UNION ALL SELECT 'event_type', event_type, count(*) FROM events GROUP BY event_type""")
+COUNTED = ("l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount")
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS key_name, CAST({k} AS VARCHAR) AS key_value, count(*) AS n FROM lineitem GROUP BY {k}" for k in COUNTED))
 def multi_index_counts(spark, sf_dir):
-    return multi_index_count(t(spark, sf_dir, "events"), ["user_id", "event_type"])
+    return multi_index_count(t(spark, sf_dir, "lineitem"), COUNTED)
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_keys FROM events")
@@ -162,7 +165,93 @@ def index_size(spark, sf_dir):
 
 @query("SELECT event_type, arg_min(event_id, (value, event_id)) AS first_id, arg_max(event_id, (value, event_id)) AS last_id FROM events GROUP BY event_type")
 def pop_first_last(spark, sf_dir):
-    return events(spark, sf_dir).index("value").pop_first(["event_type"])
+    return events(spark, sf_dir).index("value").ends(["event_type"])
+
+
+@query("SELECT event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) > 1")
+def pop_remaining(spark, sf_dir):
+    return events(spark, sf_dir).index("value").pop(by=["event_type"])[1].df.select("event_id", "event_type", "value")
+
+
+def _first(df, n: int, *columns: str):
+    """The first rows of an ordered result and their places in it."""
+    top = df.limit(n).withColumn("_at", F.monotonically_increasing_id())
+    return top.select(*columns, F.row_number().over(Window.orderBy("_at")).cast("long").alias("position"))  # at most n rows
+
+
+@query("SELECT event_id, value, row_number() OVER (ORDER BY value DESC, event_id) AS position FROM events WHERE value < 50 QUALIFY position <= 100")
+def nearest_lower(spark, sf_dir):
+    return _first(events(spark, sf_dir).index("value").lt(50), 100, "event_id", "value")
+
+
+@query("SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) AS position FROM events WHERE value > 50 QUALIFY position <= 100")
+def nearest_higher(spark, sf_dir):
+    return _first(events(spark, sf_dir).index("value").gt(50), 100, "event_id", "value")
+
+
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY event_type, event_id DESC) AS position FROM events WHERE value > 20 QUALIFY position <= 100")
+def query_newest_first(spark, sf_dir):
+    return _first(events(spark, sf_dir).index("event_type", newest_first=True).query("value > 20"), 100, "event_id", "event_type")
+
+
+@query("SELECT event_id, event_type, ts, row_number() OVER (ORDER BY ts, event_type, event_id) AS position FROM events WHERE event_type IN ('error', 'signup') QUALIFY position <= 100")
+def merge_first(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    return _first(intervals.merge_sorted([e.where(F.col("event_type") == k) for k in ("error", "signup")], "ts", "event_id"), 100, "event_id", "event_type", "ts")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type LIKE 'si%' OR event_type LIKE 'p%'")
+def query_prefix(spark, sf_dir):
+    i = events(spark, sf_dir).index("event_type")
+    return i.prefix("si", ordered=False).union(i.prefix("p", ordered=False)).select("event_id", "event_type")
+
+
+@query("""SELECT 'all' AS name, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS n FROM events UNION ALL SELECT 'errors', count(*) FILTER (event_type = 'error') FROM events
+UNION ALL SELECT 'both', count(*) FILTER (event_type <> 'signup') FROM events""")
+def routed_append(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    d = Database(Store(e.where("event_type NOT IN ('error', 'signup')"), "event_id"))
+    d.create_index("all", "value")
+    d.create_index("errors", "value", takes_all=False)
+    d.create_index("both", "value")
+    d.add(e.where("event_type = 'error'"), ["errors", "both"])
+    d.add(e.where("event_type = 'signup'"), [])
+    parts = [d.index(n).rows().agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("all", "errors", "both")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT event_id FROM events WHERE value > 10 AND NOT coalesce(event_type = 'error', false) AND event_type <> 'view'")
+def sweep_cascade(spark, sf_dir):
+    d = Database(events(spark, sf_dir))
+    d.create_index("value", "value")
+    child = d.gt("value", 10)
+    child.create_index("type", "event_type")
+    grandchild = child.query("type", "event_type <> 'view'")
+    d.set_prune("event_type = 'error'")
+    d.sweep()
+    return grandchild.store.df.select("event_id")
+
+
+@query("SELECT event_type, CAST(sum((CASE WHEN value > 50 THEN 1 ELSE 0 END) + (CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)) AS BIGINT) AS hits, count(*) AS n FROM events GROUP BY event_type")
+def query_hits(spark, sf_dir):
+    d = Database(events(spark, sf_dir), count_hits=True)
+    d.create_index("value", "value")
+    d.create_index("type", "event_type")
+    d.gt("value", 50)
+    d.eq("type", "view")
+    return d.hits().groupBy("event_type").agg(F.sum("_query_count").alias("hits"), F.count("*").alias("n"))
+
+
+@query("SELECT user_id, max(epoch_us(ts)) - min(epoch_us(ts)) AS duration_us, count(*) AS n FROM events GROUP BY user_id HAVING max(epoch_us(ts)) - min(epoch_us(ts)) > 86400000000")
+def duration_key(spark, sf_dir):
+    us = intervals.micros("ts")
+    spans = t(spark, sf_dir, "events").groupBy("user_id").agg(F.min(us).alias("first"), F.max(us).alias("last"), F.count("*").alias("n"))
+    return Store(spans, "user_id").index(F.col("last") - F.col("first")).gt(86_400_000_000, ordered=False).select("user_id", (F.col("last") - F.col("first")).alias("duration_us"), "n")
+
+
+@query("WITH a AS (SELECT range AS id, ((range * 1103515245 + 7 * 12345) % 2147483648 * 1103515245 + 12345) % 2147483648 AS x FROM range(5000)) SELECT id, (x >> 8) % 1000 AS value FROM a")
+def synthetic_numbers(spark, sf_dir):
+    return synthetic.numbers(spark, 5000, 7)
 
 
 @query("SELECT event_id, event_type FROM events WHERE NOT coalesce(event_type = 'error', false)")
@@ -274,7 +363,7 @@ def top_domains(spark, sf_dir):
     return domain_stats(spark, sf_dir).select("domain", "weighted_entropy").orderBy(F.desc("weighted_entropy"), "domain").limit(10)
 
 
-@query(f"WITH {STATS}, d AS (SELECT part, domain, sum(c) AS c, sum(c * len) AS bytes FROM n GROUP BY ALL) SELECT part, CAST(sum(c) AS BIGINT) AS total_queries, CAST(sum(bytes) AS BIGINT) AS total_length, {ENT} AS entropy FROM d GROUP BY part")
+@query(f"WITH {STATS}, d AS (SELECT part, domain, sum(c) AS c, sum(c * len) AS bytes FROM n GROUP BY ALL) SELECT part, CAST(sum(c) AS BIGINT) AS total_queries, CAST(sum(bytes) AS BIGINT) AS total_length, {ENT} AS entropy, round((sum(bytes) * log2(sum(c)) - sum(bytes * log2(c))) / sum(c), 6) AS weighted_entropy FROM d GROUP BY part")
 def interval_domain_entropy(spark, sf_dir):
     p = t(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("part"), stats.host("url").alias("host"))
     return stats.interval_domain_entropy(stats.domain_stats(p, "host", ["part"]), ["part"])
@@ -316,6 +405,18 @@ def distance_norm(spark, sf_dir):
     return stats.max_normalised(t(spark, sf_dir, "part"), ["p_partkey"], ["p_size", "p_retailprice"])
 
 
+FLOW = "f AS (SELECT p_partkey AS vec_id, [p_size / (SELECT max(abs(p_size)) FROM part), p_retailprice / (SELECT max(abs(p_retailprice)) FROM part), (p_partkey % 60000) / 65535] AS embedding FROM part)"
+
+
+@query(f"""WITH {FLOW}, {KNN.replace("embeddings", "f")}, kd AS (SELECT id, max(distance) AS kd FROM knn GROUP BY id),
+lrd AS (SELECT k.id, count(*) / sum(greatest(k.distance, kd.kd)) AS lrd FROM knn k JOIN kd ON kd.id = k.neighbour GROUP BY k.id)
+SELECT k.id, round(sum(o.lrd / p.lrd) / count(*), 6) AS lof FROM knn k JOIN lrd o ON o.id = k.neighbour JOIN lrd p ON p.id = k.id GROUP BY k.id""")
+def flow_lof(spark, sf_dir):
+    p = t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 60000).alias("port"))
+    v = anomaly.scaled(p, "p_partkey", ["p_size", "p_retailprice"], ["port"])
+    return anomaly.lof(anomaly.knn(v, "p_partkey", "vector")).select("id", F.round("lof", 6).alias("lof"))
+
+
 def _features(spark, sf_dir):
     e = intervals.aligned(t(spark, sf_dir, "events"), "ts", 86_400).groupBy("bucket")
     return e.agg(*[F.sum((F.col("event_type") == k).cast("double")).alias(k) for k in ("click", "error", "purchase", "signup", "view")], F.sum("value").alias("total"))
@@ -365,6 +466,17 @@ def truncate_after(spark, sf_dir):
     return segments.truncate_after(_segments(spark, sf_dir), "stream", "o", "n", 40)
 
 
+@query("""WITH b AS (SELECT l_orderkey AS stream, l_linenumber * 3 + i AS pos, arg_max(chr(CAST(97 + (l_partkey + i) % 26 AS INTEGER)), l_partkey * 1000 + l_quantity * 10 + l_linenumber) AS c
+FROM lineitem, unnest(range(0, CAST(l_quantity AS BIGINT) % 5)) AS r(i) WHERE l_orderkey % 3 = 0 GROUP BY ALL), g AS (SELECT *, pos - row_number() OVER (PARTITION BY stream ORDER BY pos) AS run FROM b)
+SELECT CAST(stream AS VARCHAR) AS stream, CAST(min(pos) AS BIGINT) AS start, string_agg(c, '' ORDER BY pos) AS data FROM g GROUP BY g.stream, run""")
+def assembled(spark, sf_dir):
+    o = F.sequence(F.lit(0), (F.col("l_quantity").cast("long") % 5 - 1).cast("int"))
+    data = F.array_join(F.transform(o, lambda i: F.char(97 + (F.col("l_partkey") + i) % 26)), "").cast("binary")
+    lines = t(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0 AND cast(l_quantity AS long) % 5 > 0")
+    s = lines.select("l_orderkey", (F.col("l_linenumber") * 3).alias("o"), data.alias("d"), (F.col("l_partkey") * 1000 + F.col("l_quantity") * 10 + F.col("l_linenumber")).alias("a"))
+    return segments.assemble(s, "l_orderkey", "o", "d", "a").select("stream", "start", F.decode("data", "UTF-8").alias("data"))
+
+
 @query("SELECT least(l_suppkey, l_partkey) AS low, greatest(l_suppkey, l_partkey) AS high, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def flow_key(spark, sf_dir):
     zero = F.lit(0)
@@ -400,6 +512,45 @@ def packet_flows(spark, sf_dir):
     return flows.keyed(s).groupBy(F.substring("conversation", 1, 8).alias("low")).agg(F.count("*").alias("n"))
 
 
+def _name_packets(spark, sf_dir):
+    """A datagram for each page, a minute apart: of ten, six ask for its host, two answer, one is no name query, and one goes to another port."""
+    p = t(spark, sf_dir, "pages").select("page_id", stats.host("url").alias("host")).where("host != ''")
+    kind = F.col("page_id") % 10
+    label = lambda x: F.concat(_hex(F.octet_length(x), 2), F.hex(x))
+    question = F.concat(F.array_join(F.transform(F.split("host", "[.]"), label), ""), F.lit("0000010001"))
+    answered = kind.isin(6, 7)
+    message = F.concat(F.lit("0007"), F.when(answered, "8180").otherwise("0100"), F.lit("0001"), F.when(answered, "0001").otherwise("0000"), F.lit("00000000"), question, F.when(answered, "C00C000100010000003C000401020304").otherwise(""))
+    body = F.when(kind < 8, message).otherwise(F.hex(F.concat(F.lit("junk"), (F.col("page_id") % 4).cast("string"))))
+    size = (F.length(body) / 2).cast("long")
+    ip = F.concat(F.lit("4500"), _hex(size + 28, 4), F.lit("00000000401100000A0000"), _hex(F.col("page_id") % 11, 2), F.lit("0A0001"), _hex(F.col("page_id") % 3, 2))
+    packet = F.unhex(F.concat(F.lit("0200000000010200000000020800"), ip, F.lit("1388"), F.when(kind == 9, "0063").otherwise("0035"), _hex(size + 8, 4), F.lit("0000"), body))
+    return p.select("page_id", (F.col("page_id") * 60_000_000).alias("ts_us"), packets.parse()(packet).alias("sig"))
+
+
+STARTS = "CAST(page_id * 60000000 // 3600000000 * 3600000000 AS BIGINT)"
+
+
+@query(f"WITH {NAMES} SELECT page_id, CASE WHEN page_id % 10 < 6 THEN 'valid' ELSE 'invalid' END AS route, CASE WHEN page_id % 10 < 6 THEN array_to_string(ls, '.') END AS query FROM names WHERE host <> '' AND page_id % 10 IN (0, 1, 2, 3, 4, 5, 8)")
+def dns_dispatch(spark, sf_dir):
+    return dns.dispatch(_name_packets(spark, sf_dir)).select("page_id", "route", F.col("sig.dns_query").alias("query"))
+
+
+@query(f"WITH {NAMES}, n AS (SELECT {STARTS} AS start_us, host, {DOMAIN} AS domain, count(*) AS c, octet_length(encode(host)) AS len FROM names WHERE host <> '' AND page_id % 10 < 6 GROUP BY start_us, host, ls) SELECT start_us, domain, CAST(sum(c) AS BIGINT) AS total_queries, count(*) AS subdomains, CAST(sum(c * len) AS BIGINT) AS total_length, {ENT} AS entropy, {WEIGHTED} AS weighted_entropy FROM n GROUP BY start_us, domain")
+def dns_interval_stats(spark, sf_dir):
+    return dns.query_statistics(dns.dispatch(_name_packets(spark, sf_dir)), "ts_us", 3600)
+
+
+@query(f"WITH {NAMES}, n AS (SELECT {STARTS} AS start_us, page_id % 4 AS k, count(*) AS c, 5 AS len FROM names WHERE host <> '' AND page_id % 10 = 8 GROUP BY ALL) SELECT start_us, CAST(sum(c) AS BIGINT) AS total, count(*) AS unique_keys, {ENT} AS entropy, {WEIGHTED} AS weighted_entropy FROM n GROUP BY start_us")
+def dns_invalid_payloads(spark, sf_dir):
+    return dns.payload_statistics(dns.dispatch(_name_packets(spark, sf_dir)), "ts_us", 3600)
+
+
+@query(f"""WITH {NAMES}, n AS (SELECT {STARTS} AS start_us, 'src' AS side, '10.0.0.' || page_id % 11 AS v, count(*) AS c FROM names WHERE host <> '' GROUP BY ALL
+UNION ALL SELECT {STARTS}, 'dst', '10.0.1.' || page_id % 3, count(*) FROM names WHERE host <> '' GROUP BY ALL) SELECT start_us, side, CAST(sum(c) AS BIGINT) AS total, count(*) AS unique_keys, {ENT} AS entropy FROM n GROUP BY start_us, side""")
+def ip_interval_stats(spark, sf_dir):
+    return dns.address_statistics(_name_packets(spark, sf_dir), "ts_us", 3600)
+
+
 @query("SELECT props, count(*) AS n FROM events WHERE props IS NOT NULL AND NOT coalesce(value < 5, false) GROUP BY props")
 def archive_round_trip(spark, sf_dir):
     folder = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"

@@ -4,6 +4,9 @@ A store is an immutable version: a DataFrame, the column that tells arrival orde
 purging and removing return new versions.  An index is a description (key, direction, what happens to equal keys); asking it
 yields a DataFrame, so Catalyst sees filters, projections and aggregations as one plan.
 Nulls in keys sort first, as Spark sorts them; a null prune condition keeps the row.
+
+Results come in the order that the index declares: ``query`` and ``eq`` in index order, ``lt`` from the nearest key downwards, ``gt`` from the
+nearest key upwards.  That is a range shuffle; ``ordered=False`` leaves it out for consumers that do not look at the order.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ class Store:
     df: DataFrame
     row_id: str
     prune: Column | None = None
+    routed: bool = False
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @classmethod
@@ -48,8 +52,13 @@ class Store:
     def size(self) -> int:
         return self.df.count()
 
-    def append(self, rows: DataFrame) -> Store:
-        return replace(self, df=self.df.unionByName(rows))
+    def append(self, rows: DataFrame, routes: Sequence[str] | None = None) -> Store:
+        """``routes``: only indices of these names get the rows; without it, every index that takes all rows does."""
+        if routes is None and not self.routed:
+            return replace(self, df=self.df.unionByName(rows))
+        to = F.lit(None).cast("array<string>") if routes is None else F.array(*[F.lit(r) for r in routes]).cast("array<string>")
+        have = self.df if self.routed else self.df.withColumn("_routes", F.lit(None).cast("array<string>"))
+        return replace(self, df=have.unionByName(rows.withColumn("_routes", to)), routed=True)
 
     def set_prune(self, condition: Expr) -> Store:
         return replace(self, prune=column(condition))
@@ -76,21 +85,39 @@ class Store:
         return {name: self.query(c) for name, c in conditions.items()}
 
     def index(self, key: Expr, **kw) -> Index:
+        if key is None:
+            raise ValueError("an index needs a key")
         return Index(self, column(key), **kw)
 
 
 @dataclass(frozen=True)
 class Index:
+    """``takes_all``: gets rows that have no routes.  ``newest_first``: equal keys in reverse order of arrival.  ``after_row``: does not hold earlier rows."""
+
     store: Store
     key: Column
     descending: bool = False
     drop_duplicates: bool = False
     merge: tuple[Column, ...] = ()
     after_row: int | None = None
+    name: str = ""
+    takes_all: bool = True
+    newest_first: bool = False
     luid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def __post_init__(self) -> None:
+        if self.merge and self.newest_first:
+            raise ValueError("merged rows have no arrival order")
+        if not self.takes_all and not self.name:
+            raise ValueError("an index that takes routed rows only needs a name")
+
     def _rows(self) -> DataFrame:
         df = self.store.df
+        if self.store.routed:
+            named = F.array_contains("_routes", self.name)
+            df = df.where(F.coalesce(named, F.lit(self.takes_all))).drop("_routes")
+        elif not self.takes_all:
+            df = df.limit(0)
         return df if self.after_row is None else df.where(F.col(self.store.row_id) > self.after_row)
 
     def rows(self) -> DataFrame:
@@ -106,29 +133,39 @@ class Index:
     def _key(self) -> Column:
         return F.col("key") if self.merge else self.key
 
+    def _order(self, down: bool) -> list[Column]:
+        tie = [] if self.merge else [F.desc(self.store.row_id) if self.newest_first else F.asc(self.store.row_id)]
+        return [self._key().desc() if down else self._key().asc(), *tie]
+
     def ordered(self, reverse: bool = False) -> DataFrame:
-        down = self.descending != reverse
-        tie = [] if self.merge else [F.col(self.store.row_id)]
-        return self.rows().orderBy(self._key().desc() if down else self._key().asc(), *tie)
+        return self.rows().orderBy(*self._order(self.descending != reverse))
 
-    def query(self, condition: Expr) -> DataFrame:
-        return self.rows().where(column(condition))
+    def _found(self, condition: Column, down: bool, ordered: bool) -> DataFrame:
+        df = self.rows().where(condition)
+        return df.orderBy(*self._order(down)) if ordered else df
 
-    def eq(self, v) -> DataFrame:
-        return self.rows().where(self._key() == v)
+    def query(self, condition: Expr, ordered: bool = True) -> DataFrame:
+        return self._found(column(condition), self.descending, ordered)
 
-    def lt(self, v) -> DataFrame:
-        return self.rows().where(self._key() < v)
+    def eq(self, v, ordered: bool = True) -> DataFrame:
+        return self._found(self._key() == v, self.descending, ordered)
 
-    def gt(self, v) -> DataFrame:
-        return self.rows().where(self._key() > v)
+    def lt(self, v, ordered: bool = True) -> DataFrame:
+        return self._found(self._key() < v, True, ordered)
+
+    def gt(self, v, ordered: bool = True) -> DataFrame:
+        return self._found(self._key() > v, False, ordered)
+
+    def prefix(self, text: str, ordered: bool = True) -> DataFrame:
+        """Rows whose string key starts with ``text``."""
+        return self._found(self._key().startswith(text), self.descending, ordered)
 
     def lookup(self, v, direction: int = 0, by: Sequence[str] = ()) -> DataFrame:
         """The row at the key (0), at the next lower (-1) or higher (+1) one; ties go to the earliest row; one for each group of ``by``."""
-        df = (self.lt, self.eq, self.gt)[direction + 1](v)
-        best = F.struct(self._key() if direction >= 0 else -self._key(), F.col(self.store.row_id))
-        rows = F.min_by(F.struct(*df.columns), best).alias("_row")
-        return (df.groupBy(*by) if by else df.groupBy()).agg(rows).where("_row IS NOT NULL").select("_row.*")
+        df = (self.lt, self.eq, self.gt)[direction + 1](v, ordered=False)
+        row, id_ = F.struct(*df.columns), F.col(self.store.row_id)
+        best = F.max_by(row, F.struct(self._key(), -id_)) if direction < 0 else F.min_by(row, F.struct(self._key(), id_))
+        return (df.groupBy(*by) if by else df.groupBy()).agg(best.alias("_row")).where("_row IS NOT NULL").select("_row.*")
 
     def neighbours(self, by: Sequence[str] = (), columns: Sequence[str] = ()) -> DataFrame:
         """Previous and next values of ``columns``.  Give ``by`` for large tables: without it one task orders all rows."""
@@ -138,15 +175,30 @@ class Index:
     def size(self) -> DataFrame:
         return self._rows().agg(F.count("*").alias("n_rows"), F.countDistinct(self.key).alias("n_keys"))
 
-    def pop_first(self, by: Sequence[str]) -> DataFrame:
-        df = self.rows()
-        return df.groupBy(*by).agg(F.min_by(F.col(self.store.row_id), F.struct(self.key, F.col(self.store.row_id))).alias("first_id"), F.max_by(F.col(self.store.row_id), F.struct(self.key, F.col(self.store.row_id))).alias("last_id"))
+    def ends(self, by: Sequence[str]) -> DataFrame:
+        """(*by, first_id, last_id): the rows that pops would take first and last."""
+        id_ = F.col(self.store.row_id)
+        at = F.struct(self.key, id_)
+        return self.rows().groupBy(*by).agg(F.min_by(id_, at).alias("first_id"), F.max_by(id_, at).alias("last_id"))
+
+    def pop(self, last: bool = False, by: Sequence[str] = ()) -> tuple[DataFrame, Store]:
+        """(the row with the smallest or largest key, of each group of ``by``; the store without it).  Ties: the earliest row first, the latest last."""
+        df, at = self.rows(), F.struct(self.key, F.col(self.store.row_id))
+        row = (F.max_by if last else F.min_by)(F.struct(*df.columns), at).alias("_row")
+        taken = (df.groupBy(*by) if by else df.groupBy()).agg(row).where("_row IS NOT NULL").select("_row.*")
+        return taken, self.store.remove(taken.select(self.store.row_id))
 
     def verify(self) -> bool:
-        """Whether the ordered scan is ordered (a self-test for small tables)."""
-        w = Window.orderBy(F.monotonically_increasing_id())
-        k = self.ordered().select(self._key().alias("k")).select("k", F.lag("k").over(w).alias("p"))
-        return k.where(F.col("k") > F.col("p") if self.descending else F.col("k") < F.col("p")).limit(1).count() == 0
+        """Whether the ordered scan is ordered: inside each partition, and from each to the next."""
+        k = self.ordered().select(self._key().alias("k"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+        w = Window.partitionBy("part").orderBy("at")
+        wrong = (F.col("k") > F.col("p")) if self.descending else (F.col("k") < F.col("p"))
+        parts = k.withColumn("p", F.lag("k").over(w)).groupBy("part").agg(F.min_by("k", "at").alias("first"), F.max_by("k", "at").alias("last"), F.max(F.coalesce(wrong, F.lit(False))).alias("wrong"))
+        rows = sorted(parts.collect(), key=lambda r: r["part"])  # one row for each partition
+        if any(r["wrong"] for r in rows):
+            return False
+        steps = [(a["last"], b["first"]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        return all(x is None or y is None or (x >= y if self.descending else x <= y) for x, y in steps)
 
 
 class IndexGroup:
@@ -176,9 +228,13 @@ class IndexGroup:
         return len(self.members)
 
     def query(self, *conditions: Expr, distinct: bool = False) -> DataFrame:
-        """One condition for all members, or one for each."""
+        """One condition for all members, or one for each; a group without members has no rows to ask."""
         every = self.flatten()
-        parts = [i.query(c) for i, c in zip(every, conditions * len(every) if len(conditions) == 1 else conditions, strict=False)]
+        if not every:
+            raise ValueError("the group has no indices")
+        if len(conditions) not in (1, len(every)):
+            raise ValueError(f"{len(conditions)} conditions for {len(every)} indices")
+        parts = [i.query(c, ordered=False) for i, c in zip(every, conditions * len(every) if len(conditions) == 1 else conditions, strict=True)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
