@@ -35,13 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _h, _h2, _text): a document is told from others by its id and 128 bits of its text; null texts are empty."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(t).alias("_h"), F.xxhash64(F.lit(1), t).alias("_h2"), t.alias("_text"))
+#: 128 bits of a row's id and text, which tell documents from each other.
+IDENTITY = ("_h", "_h2")
 
 
-IDENTITY = ("_id", "_h", "_h2")
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _h, _h2, _text): ids, identities and texts; null texts are empty."""
+    i, t = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(i.alias("_id"), F.xxhash64(i.isNull(), i, t).alias("_h"), F.xxhash64(F.lit(1), i.isNull(), i, t).alias("_h2"), t.alias("_text"))
 
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -57,8 +58,8 @@ def renamed(df: DataFrame, tail: str) -> DataFrame:
 
 
 def same(tail: str) -> Column:
-    """A null-safe match of the identity columns with those that ``renamed`` made."""
-    return F.col("_id").eqNullSafe(F.col("_id" + tail)) & (F.col("_h") == F.col("_h" + tail)) & (F.col("_h2") == F.col("_h2" + tail))
+    """A match of the identity columns with those that ``renamed`` made."""
+    return (F.col("_h") == F.col("_h" + tail)) & (F.col("_h2") == F.col("_h2" + tail))
 
 
 def spread_join(big: DataFrame, small: DataFrame, on: list[str], salt: list[str], how: str = "left", parts: int = 8) -> DataFrame:

@@ -111,9 +111,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     wanted = near.withColumn("enough", enough).where(F.size("at") >= F.col("enough")).select(*IDENTITY, F.explode(F.transform(begin, lambda s: F.struct(F.col("size").alias("size"), s.alias("start"), only.alias("only")))).alias("x"))
     wanted = stored(wanted.groupBy(*IDENTITY).agg(F.collect_set("x").alias("windows")), "wanted")
     # Always by shuffle: documents with windows grow with the documents, and the plan shall be alike at every size.
-    again = keyed.join(renamed(wanted, "_w").hint("merge"), same("_w")).select(*IDENTITY, "windows", words("_text").alias("w")).select(*IDENTITY, "windows", shingles(F.col("w"), shingle).alias("hs"))
+    again = keyed.join(renamed(wanted, "_w").hint("merge"), same("_w")).select("_id", "windows", words("_text").alias("w")).select("_id", "windows", shingles(F.col("w"), shingle).alias("hs"))
     win = F.slice("hs", F.col("x.start") + 1, F.col("x.size") - shingle + 1)
-    windows = again.select(*IDENTITY, "hs", F.explode("windows").alias("x")).select(*IDENTITY, "x.size", "x.start", "x.only", win.alias("win"))
+    windows = again.select("_id", "hs", F.explode("windows").alias("x")).select("_id", "x.size", "x.start", "x.only", win.alias("win"))
     windows = windows.where((F.size("win") == F.col("size") - shingle + 1) | F.col("only").isNotNull())
     windows = stored(windows.withColumn("f", simhash(F.col("win"))).withColumn("window", F.monotonically_increasing_id()), "windows")
     # Fingerprints alone meet.  Short documents and items meet in a block of their own, number -1.
@@ -126,7 +126,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     cut = [64 * i // (radius + 1) for i in range(radius + 2)]
     first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
     pairs = pairs.where((F.col("b.block") == -1) | ((F.bit_count(differ) <= radius) & (first == F.col("b.block")))).select("window", "key")
-    both = pairs.join(windows.select("window", *IDENTITY, "start", "win"), "window").join(items.select("key", "item", "has"), "key").withColumn("both", _overlap(F.col("win"), F.col("has")))
-    proved = both.select(*IDENTITY, "item", "start", (F.col("both") / (F.size("win") + F.size("has") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+    both = pairs.join(windows.select("window", "_id", "start", "win"), "window").join(items.select("key", "item", "has"), "key").withColumn("both", _overlap(F.col("win"), F.col("has")))
+    proved = both.select("_id", "item", "start", (F.col("both") / (F.size("win") + F.size("has") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
     best = proved.groupBy("_id", "item").agg(F.countDistinct("start").alias("n_windows"), F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(F.col("_id").alias(id_col), F.col("item").alias(item_col), "n_windows", (-F.col("best.back")).cast("long").alias("start"), F.round("best.similarity", 6).alias("similarity"))

@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = identified(docs, id_col, text_col)
     sketch = stored(keyed.mapInArrow(lambda it: _sketch(it, shingle, coords, signs), f"_id {kind}, _h long, _h2 long, c long, c2 long, n long, tokens array<long>, sig binary"), "sketch")
-    classes = sketch.where("c IS NOT NULL").groupBy("c", "c2").agg(F.min(F.struct("_id", "_h", "_h2")).alias("rep"), F.min("_id").alias("low"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig"))
+    classes = sketch.where("c IS NOT NULL").groupBy("c", "c2").agg(F.min(F.struct("_h", "_h2")).alias("rep"), F.min("_id").alias("low"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sig").alias("sig"))
     # A number for each class, drawn once: the table is written with it.
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     tokens = classes.select("node", F.explode("tokens").alias("t"))
@@ -245,6 +245,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = classes.select("node", "c", "c2", "low").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = joined.groupBy("root").agg(F.min("low").alias("m"))
     of = spread_join(joined.select("node", "c", "c2", "root"), low, ["root"], ["node"]).select("c", "c2", "m")
-    out = spread_join(sketch.select("_id", "n", "c", "c2", "_h"), of, ["c", "c2"], ["_id", "_h"])
+    out = spread_join(sketch.select("_id", "n", "c", "c2", "_h"), of, ["c", "c2"], ["_h"])
     out = out.select("_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("_id")).otherwise(F.col("m")).alias("component_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -47,7 +47,7 @@ def _argmin(g: np.ndarray, k: int) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "_text"):
-            w = Words(piece.column(3))
+            w = Words(piece.column(2))
             doc, at = starts(w.first, window)
             if not len(at):
                 continue
@@ -62,7 +62,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iter
             begin = at[i]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(c.take(pa.array(doc[i])) for c in piece.columns[:3]),
+                    *(c.take(pa.array(doc[i])) for c in piece.columns[:2]),
                     pa.array(gram[pick[i]].view(np.int64)),
                     pa.array(words.of(begin, begin + count + window - 1).view(np.int64)),
                     pa.array((begin - w.first[doc[i]]).astype(np.int32)),
@@ -76,8 +76,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iter
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "_text"):
-            w = Words(piece.column(3))
-            spans = piece.column(4)
+            w = Words(piece.column(2))
+            spans = piece.column(3)
             rows = spans.flatten()
             doc = np.repeat(np.arange(piece.num_rows), np.diff(spans.offsets.to_numpy()))
             start, n, same = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -89,7 +89,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             at = local + w.first[doc]
             h = w.hashes()
             yield pa.RecordBatch.from_arrays(
-                [*(c.take(pa.array(doc)) for c in piece.columns[:3]), *(pa.array(Ranges(h, lane).of(at, at + window).view(np.int64)) for lane in (0, 1)), pa.array(local.astype(np.int32))],
+                [*(c.take(pa.array(doc)) for c in piece.columns[:2]), *(pa.array(Ranges(h, lane).of(at, at + window).view(np.int64)) for lane in (0, 1)), pa.array(local.astype(np.int32))],
                 names=[*IDENTITY, "w1", "w2", "pos"],
             )
     trim()
@@ -123,14 +123,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("0 < anchor <= window is needed")
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = identified(docs, id_col, text_col)
-    id_schema = f"_id {kind}, _h long, _h2 long"
-    blocks = keyed.mapInArrow(lambda it: _blocks(it, window, anchor), f"{id_schema}, a long, b long, start int, n int")
+    blocks = keyed.select(*IDENTITY, "_text").mapInArrow(lambda it: _blocks(it, window, anchor), "_h long, _h2 long, a long, b long, start int, n int")
     met = blocks.groupBy("a").agg(F.count("*").alias("c"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("c > 1").select("a", F.expr("lo = hi").alias("same"))
-    seeds = spread_join(blocks.drop("b"), met, ["a"], ["_id", "_h"], "inner").groupBy(*IDENTITY).agg(F.collect_set(F.struct("start", "n", "same")).alias("spans"))
+    seeds = spread_join(blocks.drop("b"), met, ["a"], ["_h"], "inner").groupBy(*IDENTITY).agg(F.collect_set(F.struct("start", "n", "same")).alias("spans"))
     seeds = renamed(stored(seeds, "seeds"), "_s")
-    whole = keyed.join(seeds, same("_s"), "left").select(*IDENTITY, "_text", "spans")
-    partial = whole.where(F.exists("spans", lambda s: ~s["same"])).mapInArrow(lambda it: _windows(it, window), f"{id_schema}, w1 long, w2 long, pos int")
+    whole = keyed.join(seeds, same("_s"), "left").select("_id", *IDENTITY, "_text", "spans")
+    partial = whole.where(F.exists("spans", lambda s: ~s["same"])).select(*IDENTITY, "_text", "spans").mapInArrow(lambda it: _windows(it, window), "_h long, _h2 long, w1 long, w2 long, pos int")
     twice = partial.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    hits = spread_join(partial, twice, ["w1", "w2"], ["_id", "_h"], "inner").groupBy(*IDENTITY).agg(F.collect_set("pos").alias("hits"))
+    hits = spread_join(partial, twice, ["w1", "w2"], ["_h"], "inner").groupBy(*IDENTITY).agg(F.collect_set("pos").alias("hits"))
     ready = whole.join(renamed(hits, "_t"), same("_t"), "left").select("_id", "_text", "spans", "hits")
     return ready.mapInArrow(lambda it: _cut(it, window), f"id {kind}, kept_text string, n_words long, n_removed long").withColumnRenamed("id", id_col)
