@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from tidemark.llm._spark import trim
 from tidemark.llm._text import mix, offsets, pieces, powers
 
-#: Chunks have 1024 bytes on average.
-CHUNK_BITS = 10
+#: Cuts are 1024 bytes apart on average; those less than ``LEAST`` bytes after another, or from an end, don't count.
+CHUNK_BITS, LEAST = 10, 256
 MAX_CHUNKS = 8_000
 #: Bytes of text encoded at a time, tokens looked at on each side of a cut, and how many words a repair takes on each side.
 PART, NEAR, WORDS = 1 << 20, 24, (1, 4)
@@ -92,6 +92,20 @@ class Encoder:
         at = at[mix((total[at] - total[at - 16]) * down[at - 16]) >> U(64 - CHUNK_BITS) == 0]
         return at[data[at] & 0xC0 != 0x80]
 
+    @staticmethod
+    def _bounds(offs: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Where chunks start, and the end: every text's start, and the cuts that count, each text on its own."""
+        out, d, edges = [], 0, np.unique(offs).tolist()
+        last = edges[0]
+        for c in cuts.tolist():
+            while c >= edges[d + 1]:
+                d += 1
+                last = edges[d]
+            if c - last >= LEAST and edges[d + 1] - c >= LEAST:
+                out.append(c)
+                last = c
+        return np.unique(np.r_[offs, np.array(out, np.int64)])
+
     def learn(self, texts: list[str]) -> dict[str, Chunk]:
         """Chunks of texts: those that are known, and the others encoded."""
         out = {x: self.chunks[x] for x in texts if x in self.chunks}
@@ -144,8 +158,8 @@ class Encoder:
     def encode(self, column: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         data, offs = offsets(column)
-        raw, cut = data.tobytes(), self.cuts(data)
-        bounds = np.unique(np.r_[offs, cut])
+        raw = data.tobytes()
+        bounds = self._bounds(offs, self.cuts(data))
         first = np.searchsorted(bounds, offs).tolist()
         at = bounds.tolist()
         texts = [[raw[at[k] : at[k + 1]].decode() for k in range(first[d], first[d + 1])] for d in range(len(offs) - 1)]
