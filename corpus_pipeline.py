@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, pii, quality
-from tidemark.llm._spark import shared_dir, table
+from tidemark.llm._spark import clear, shared_dir, table, written
 from tidemark.llm.decontaminate import leaks
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.queries import PREDICT_AT, word_bpe
@@ -90,9 +90,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = written(spark)
     place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{place}/{name}")
+        clear(spark, before)  # what the stage's operators stored is not read again
         docs = spark.read.schema(out.schema).parquet(f"{place}/{name}")
     return docs
