@@ -283,6 +283,8 @@ def test_urls(spark, docs):
         best[r.page_id] = max(fit)[2:] if fit else (None, "allow")
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, *best[r.page_id])
     assert url_filter(df.limit(0), queries.RULES).count() == 0
+    long = "http://" + "a." * 100_000 + "net/es/" + "x/" * 100_000
+    assert url_filter(spark.createDataFrame([(1, long)], "page_id long, url string"), queries.RULES).select("rule", "verdict").first() == ("net/es/", "block")
     assert Trie.of([("allow", "a", "/x"), ("block", "a", "/x")]).find("a", "/xy") == ("a/x", "block")
 
 

@@ -28,13 +28,36 @@ def shared_dir(spark: SparkSession) -> str:
     return told
 
 
+_written: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
+    """Write a table in the shared folder and read it back: lineage ends here, and lost executors lose nothing.  ``clear`` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables that operators of this application have stored, but for the first ``keep``.  Results that still read them must be written before."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    while len(paths) > keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(spark: SparkSession, at: int) -> None:
+    """Delete the table that was stored as number ``at``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_written[spark.sparkContext.applicationId].pop(at))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables are stored now."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
 #: 128 bits of a row's id and text, which tell documents from each other.
 IDENTITY = ("_h", "_h2")
 
@@ -157,6 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(n[keep]), pa.array(r[keep])], names=["a", "b"])
 
     spark = edges.sparkSession
+    before = written(spark)
     e = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(contract, "a long, b long").distinct(), "edges")
     seen = None
     while True:
@@ -170,4 +194,5 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("x"))
         e = stored(small.select(F.col("x.u").alias("a"), F.col("x.m").alias("b")).where("a != b").distinct(), "edges")
+        forget(spark, before)  # the round before this one is not read again
     return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(e.select("b", "b").distinct())

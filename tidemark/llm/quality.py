@@ -10,7 +10,8 @@ vectors, never texts, go to the driver.  Scoring covers every row.
 
 Defined cases: null or empty text has zero for every feature and gets a score; without a
 single training row, or with labels of one kind, the score is that kind's smoothed share; repeated rows get equal scores; a
-null id is scored but neither trains nor counts as held out.
+null id is scored but neither trains nor counts as held out; an empty table gives an empty result; of several labels of an id the largest holds;
+columns other than the named ones are kept as they are.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm._spark import trim
 from tidemark.llm._text import Words, pieces
 
 NAMES = ("bytes", "words", "word_length", "upper", "exclamation", "bar", "symbol", "digit", "stop", "outside_ascii", "lines", "caps_pairs", "repeats", "n_exclamation", "n_bar", "n_symbol", "n_caps_pairs", "n_repeats", "longest_word")
@@ -164,11 +166,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for b in pieces(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(features(b.column(1))), pa.list_(pa.float64()))], names=["_id", "x"])
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, folds)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    vectors = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col, folds)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(rows, f"_id {kind}, x array<double>")
-    got = vectors.join(known, "_id").select("x", F.col("_y").cast("double").alias("y"), F.xxhash64("_id").alias("o"), F.hash("x").alias("p")).orderBy("o", "p").limit(sample_rows).select("x", "y").toArrow()
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, folds)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("y"))
+    # Ids first: at most sample_rows of them are broadcast, and no other text is looked at.
+    few = known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").withColumn("o", F.xxhash64("_id")).orderBy("o").limit(sample_rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few.select("_id")), "_id", "left_semi")
+    got = texts.mapInArrow(rows, f"_id {kind}, x array<double>").join(few, "_id").select("x", "y", "o", F.hash("x").alias("p")).orderBy("o", "p").limit(sample_rows).select("x", "y").toArrow()
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, len(NAMES))
     return fit_additive(x, np.array(got["y"].to_pylist(), dtype=float))
 
@@ -183,5 +188,6 @@ def score(docs: DataFrame, model: Additive, text_col: str = "text", out: str = "
             for b in pieces(batch, text_col):
                 x = features(b.column(b.schema.get_field_index(text_col)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], names=[*b.schema.names, out])
+        trim()
 
     return docs.select(*rest).mapInArrow(rows, schema)
