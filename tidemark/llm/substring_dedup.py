@@ -128,7 +128,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seeds = spread_join(blocks.drop("b"), met, ["a"], ["_h"], "inner").groupBy(*IDENTITY).agg(F.collect_set(F.struct("start", "n", "same")).alias("spans"))
     seeds = renamed(stored(seeds, "seeds"), "_s")
     whole = keyed.join(seeds, same("_s"), "left").select("_id", *IDENTITY, "_text", "spans")
-    partial = whole.where(F.exists("spans", lambda s: ~s["same"])).select(*IDENTITY, "_text", "spans").mapInArrow(lambda it: _windows(it, window), "_h long, _h2 long, w1 long, w2 long, pos int")
+    # With the id too, so that both uses read one shuffle of the texts.
+    partial = whole.where(F.exists("spans", lambda s: ~s["same"])).select(*IDENTITY, "_text", "spans", "_id").mapInArrow(lambda it: _windows(it, window), "_h long, _h2 long, w1 long, w2 long, pos int")
     twice = partial.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     hits = spread_join(partial, twice, ["w1", "w2"], ["_h"], "inner").groupBy(*IDENTITY).agg(F.collect_set("pos").alias("hits"))
     ready = whole.join(renamed(hits, "_t"), same("_t"), "left").select("_id", "_text", "spans", "hits")
