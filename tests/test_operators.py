@@ -198,3 +198,9 @@ def test_merge_sorted(spark):
     parts = [spark.createDataFrame([(i, i * k % 7) for i in range(20)], "id int, ts int") for k in (3, 5)]
     got = [(r.ts, r.source, r.id) for r in intervals.merge_sorted(parts, "ts", "id").collect()]
     assert got == sorted((i * k % 7, s, i) for s, k in enumerate((3, 5)) for i in range(20))
+
+
+def test_python_predicates_and_index_removal(spark, numbers):
+    assert numbers.query(lambda r: r["v"] % 7 == 0).df.exceptAll(numbers.query("v % 7 = 0").df).count() == 0
+    i = numbers.index("v").remove(spark.range(10))
+    assert i.rows().count() == 90 and numbers.size() == 100 and i.lt(0).where("id < 10").count() == 0

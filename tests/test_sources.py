@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import packets
-from tidemark.operators import dns, flows
+from tidemark.operators import dns, flows, intervals
 from tidemark.sources import archive, captures, flow_csv
 from tidemark.streaming import intervals as live
 
@@ -164,3 +164,41 @@ def test_captures_to_statistics(spark, tmp_path):
 def test_addresses(spark):
     df = spark.createDataFrame([(bytes([10, 0, 255, 1]),), (bytes(15) + b"\1",), (b"x",), (None,)], "a binary")
     assert [r[0] for r in df.select(packets.address(F.col("a"))).collect()] == ["10.0.255.1", "0:0:0:0:0:0:0:1", None, None]
+
+
+def test_captures_are_written_and_merged(spark, tmp_path):
+    """Two captures merged by time, concatenated into files that follow each other."""
+    for name, step in (("a", 3), ("b", 5)):
+        (tmp_path / f"{name}.pcap").write_bytes(captures.dump([(i * step * 1000, bytes([i]) * 4) for i in range(60)]))
+    parts = [captures.read(spark, str(tmp_path), glob=f"{n}.pcap") for n in "ab"]
+    merged = intervals.merge_sorted(parts, "ts_us", "record")
+    out = tmp_path / "out"
+    assert captures.write(merged, str(out)) == 120
+    got = [r for f in sorted(out.glob("*.pcap")) for r in captures.packets(io.BytesIO(f.read_bytes()))]
+    want = sorted((i * s * 1000, k, bytes([i]) * 4) for k, s in enumerate((3, 5)) for i in range(60))
+    assert [(us, p) for _, us, _, _, p in got] == [(us, p) for us, _, p in want] and not list(out.glob("*.part"))
+
+
+def test_flow_records(spark, tmp_path):
+    whole, _ = talk(3)
+    (tmp_path / "a.pcap").write_bytes(captures.dump([(1_700_000_000_000_000 + i * 1000, p) for i, p in enumerate(whole)]))
+    events = flows.conversations(flows.keyed(captures.read(spark, str(tmp_path)).withColumn("sig", packets.parse()("packet"))))
+    flows.write(events, str(tmp_path / "flows"))
+    got = spark.read.parquet(str(tmp_path / "flows"))
+    codes = [r.code for r in got.orderBy("secs", "micros").collect()]
+    assert codes[0] == 4 and codes.count(4) == 1 and codes.count(256) == 1 and codes.count(1) == len(codes) - 2
+    r = got.where("code = 4").first()
+    assert (r.low_addr, r.low_port, r.high_addr, r.high_port, r.secs) == ("0A000001", 1000, "0A000002", 80, 1_700_000_000)
+    assert got.agg(F.sum("length")).first()[0] == 490
+
+
+def test_retention(spark, tmp_path):
+    """Rows arrive in three batches; only the last three hours stay, whichever batch brought them."""
+    schema = "id int, ts timestamp"
+    for b, hours in enumerate([(0, 1, 2), (2, 3), (5,)]):
+        rows = spark.createDataFrame([(10 * b + h, h * 3600 + 60) for h in hours], "id int, s long").select("id", F.timestamp_seconds("s").alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        live.retain(stream, "ts", 3600, 3, str(tmp_path / "kept")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = live.retained(spark, str(tmp_path / "kept"), spark.createDataFrame([], schema).schema)
+    assert sorted((r.id, r.interval) for r in got.collect()) == [(13, 3), (25, 5)]

@@ -143,3 +143,26 @@ def conversations(packets: DataFrame) -> DataFrame:
 
     near = packets.repartition("conversation").sortWithinPartitions("conversation", "ts_us", "order")
     return near.select("conversation", "direction", "ts_us", "seq", "ack", "flags", "data").mapInPandas(run, EVENTS)
+
+
+# Record codes of a flow's start by address family, of data and of ends.
+START, DATA, ENDS = {8: 4, 32: 6}, 1, {"FIN": 256, "RST": 257, "TIMEOUT": 258, "MISSING_PACKET": 259}
+
+
+def records(events: DataFrame) -> DataFrame:
+    """Events as typed records: (code, conversation, low and high address and port, direction, length, secs, micros, data)."""
+    end = lambda i: F.split("conversation", "-")[i]
+    part = lambda i, j: F.split(end(i), ":")[j]
+    family = F.length(part(0, 0))
+    code = F.when(F.col("kind") == "data", DATA)
+    for width, c in START.items():
+        code = code.when((F.col("kind") == "start") & (family == width), c)
+    for reason, c in ENDS.items():
+        code = code.when((F.col("kind") == "end") & (F.col("reason") == reason), c)
+    us = F.col("ts_us")
+    return events.select(code.alias("code"), "conversation", part(0, 0).alias("low_addr"), part(0, 1).cast("int").alias("low_port"), part(1, 0).alias("high_addr"), part(1, 1).cast("int").alias("high_port"), "direction", F.octet_length("data").cast("long").alias("length"), F.expr("ts_us div 1000000").alias("secs"), F.pmod(us, F.lit(1_000_000)).alias("micros"), "data")
+
+
+def write(events: DataFrame, folder: str, append: bool = True) -> None:
+    """A sink of records, a folder for each code: a reader of ends opens no data."""
+    records(events).write.partitionBy("code").mode("append" if append else "overwrite").parquet(folder)

@@ -12,9 +12,10 @@ nearest key upwards.  That is a range shuffle; ``ordered=False`` leaves it out f
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +27,16 @@ def column(e: Expr) -> Column:
     return F.expr(e) if isinstance(e, str) else e
 
 
+def tested(df: DataFrame, test: Callable[[dict], bool]) -> Column:
+    """A Python predicate on rows as a condition on ``df``.  The slow path: every row goes to Python, and no filter reaches the source."""
+
+    @F.pandas_udf("boolean")
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([bool(test(r)) for r in rows.to_dict("records")], dtype=bool)
+
+    return run(F.struct(*df.columns))
+
+
 @dataclass(frozen=True)
 class Store:
     df: DataFrame
@@ -76,9 +87,9 @@ class Store:
             return replace(self, df=self.df.join(ids.select(F.col(ids.columns[0]).alias(self.row_id)), self.row_id, "left_anti"))
         return replace(self, df=self.df.where(~F.col(self.row_id).isin(list(ids))))
 
-    def query(self, condition: Expr) -> Store:
-        """The result is a store again."""
-        return replace(self, df=self.df.where(column(condition)))
+    def query(self, condition: Expr | Callable[[dict], bool]) -> Store:
+        """The result is a store again.  A Python function of a row works too (see ``tested``)."""
+        return replace(self, df=self.df.where(tested(self.df, condition) if not isinstance(condition, Column | str) else column(condition)))
 
     def route(self, **conditions: Expr) -> dict[str, Store]:
         """One store for each named condition; a row goes to every one that it meets."""
@@ -103,6 +114,7 @@ class Index:
     name: str = ""
     takes_all: bool = True
     newest_first: bool = False
+    gone: tuple[DataFrame, ...] = ()
     luid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self) -> None:
@@ -118,8 +130,14 @@ class Index:
             df = df.where(F.coalesce(named, F.lit(self.takes_all))).drop("_routes")
         elif not self.takes_all:
             df = df.limit(0)
+        for ids in self.gone:
+            df = df.join(ids, self.store.row_id, "left_anti")
         return df if self.after_row is None else df.where(F.col(self.store.row_id) > self.after_row)
 
+    def remove(self, ids: DataFrame) -> Index:
+        """The index without these rows; the store keeps them."""
+        return replace(self, gone=(*self.gone, ids.select(F.col(ids.columns[0]).alias(self.store.row_id))))
+
     def rows(self) -> DataFrame:
         """What the index holds: all rows, the first of each key, or the merged row of each key."""
         df = self._rows()

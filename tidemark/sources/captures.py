@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -134,9 +135,44 @@ class CaptureSource(DataSource):
         return _Files(self.options["path"], self.options.get("kind", "packets"))
 
 
+def _packed(us: int, p: bytes) -> bytes:
+    return struct.pack("<IIII", us // 10**6, us % 10**6, len(p), len(p)) + p
+
+
+HEADER = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+
+
+def write(df: DataFrame, folder: str, ts_us: str = "ts_us", packet: str = "packet") -> int:
+    """Write captures, one for each partition, each in order of time if the partition is; returns the number of packets.  Null packets are left out.
+
+    ``df.orderBy(ts_us)`` gives files that follow each other in time when sorted by name.  A file gets its name when its task is known to have
+    ended; what lost or repeated tasks leave ends in ``.part`` and is never read as a capture.  The folder must be one that all executors and Arrow's file systems reach."""
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, at = fs.FileSystem.from_uri(uri)
+        store.create_dir(at)
+        name, n = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}", 0
+        with store.open_output_stream(f"{at}/{name}.part") as f:
+            f.write(HEADER)
+            for b in batches:
+                for us, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    f.write(_packed(us, p))
+                n += b.num_rows
+        yield pa.RecordBatch.from_pydict({"name": [name], "n": [n]})
+
+    from pyarrow import fs
+
+    done = df.where(f"{packet} IS NOT NULL").select(ts_us, packet).mapInArrow(run, "name string, n long").collect()  # one row for each partition
+    store, at = fs.FileSystem.from_uri(uri)
+    for r in done:
+        store.move(f"{at}/{r['name']}.part", f"{at}/{r['name']}.pcap")
+    return sum(r["n"] for r in done)
+
+
 def dump(rows: list[tuple[int, bytes]]) -> bytes:
     """A little-endian capture of (ts_us, packet), for exports of bounded size and tests."""
-    out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
-    for us, p in rows:
-        out.append(struct.pack("<IIII", us // 10**6, us % 10**6, len(p), len(p)) + p)
-    return b"".join(out)
+    return HEADER + b"".join(_packed(us, p) for us, p in rows)

@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.stats import entropy_of
@@ -59,6 +61,32 @@ def conversations(packets: DataFrame, ts: str, late: str = "10 seconds") -> Data
     return packets.withWatermark(ts, late).groupBy("conversation").applyInPandasWithState(run, EVENTS, "talk binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def retain(df: DataFrame, ts: str, seconds: int, keep: int, folder: str) -> DataStreamWriter:
+    """A sink that keeps the rows of the last ``keep`` intervals of ``seconds``, by event time: start it as any stream writer.
+
+    A micro-batch is written to a folder of its own, which a repeated one replaces, by interval; then intervals that are too old are deleted whole.
+    ``retained`` reads it.  The folder may be in any store that Spark reaches."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        us = F.unix_micros(F.col(ts).cast("timestamp"))
+        batch.withColumn("interval", F.floor(us / (seconds * 1_000_000)).cast("long")).write.mode("overwrite").partitionBy("interval").parquet(f"{folder}/batch={number}")
+        jvm, conf = batch.sparkSession._jvm, batch.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/interval=*")
+        store = path.getFileSystem(conf)
+        found = {str(s.getPath()): s.getPath() for s in store.globStatus(path)}
+        number_of = {p: int(tail) for p in found if (tail := p.rsplit("=", 1)[1]).lstrip("-").isdigit()}
+        for p, i in number_of.items():
+            if i <= max(number_of.values()) - keep:
+                store.delete(found[p], True)
+
+    return df.writeStream.foreachBatch(step)
+
+
+def retained(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The rows that ``retain`` keeps, and their interval."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("interval", T.LongType())])).parquet(folder).drop("batch")
+
+
 def drain(df: DataFrame, folder: str) -> DataFrame:
     """Run a stream over all input that is there, in append mode, and read what it wrote.  The folder must be a shared one."""
     at = f"{folder}/stream-{uuid.uuid4().hex}"
