@@ -2,6 +2,7 @@ import io
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,27 @@ def test_layers():
     assert packets.dns_name(b"\xc0\x00", 0) is None and packets.dns_name(b"\1a\xc0\x04\xc0\x00", 0) is None
 
 
+def test_batches_are_parsed_like_single_packets():
+    """Whole, cut and damaged packets of all kinds, and slices of a batch."""
+    rng = np.random.default_rng(6)
+    six = b"\2" * 12 + b"\x86\xdd" + b"\x60\0\0\0" + struct.pack(">HBB", 8, 17, 64) + bytes(range(32)) + struct.pack(">HHHH", 9, 53, 8, 0) + b"pad"
+    kinds = [tcp(A, B, 1, 80, 5, 6, 0x18, b"hello", b"\0\0"), udp_dns([b"WWW", b"example", b"com"], answers=1, extra=b"x"), udp_dns([b"a"], flags=0x40), six, b"\1\x80\xc2\0\0\0" + b"\2" * 6 + b"\x08\0" + bytes(60), b"\2" * 12 + b"\x81\0\0\x01\x91\0\0\x02\x08\x06" + bytes(30)]
+    rows = [None, b"", *kinds, *(k[:cut] for k in kinds for cut in range(0, len(k), 3))]
+    for k in kinds:
+        for _ in range(150):
+            p = bytearray(k)
+            for _ in range(rng.integers(1, 4)):
+                p[rng.integers(0, len(p))] = rng.integers(0, 256)
+            rows.append(bytes(p))
+    for layers, rest in ((7, True), (4, True), (3, False), (2, True)):
+        got = packets.signatures(pa.array(rows, pa.binary()), layers, rest).to_pylist()
+        want = [packets.signature(p, layers, rest) for p in rows]
+        # A packet without a link layer has nothing, whatever is kept.
+        assert got == want
+    assert packets.signatures(pa.array(rows, pa.binary())[5:40]).to_pylist() == [packets.signature(p) for p in rows[5:40]]
+    assert packets.signatures(pa.array([], pa.binary())).to_pylist() == []
+
+
 def test_checksum():
     seg = tcp(A, B, 1, 80, 5, 6, 0x18, b"odd")[34:]
     words = struct.unpack(">14H", A + B + struct.pack(">BBH", 0, 6, len(seg)) + seg[:16])
