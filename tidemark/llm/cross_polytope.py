@@ -49,14 +49,14 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def keys(x: np.ndarray, rotations: int, tables: int) -> np.ndarray:
-    """Bucket keys of unit vectors: for each table the best codes, and those with one second-best code."""
+def keys(x: np.ndarray, rotations: int, tables: int, after: int = 0) -> np.ndarray:
+    """Bucket keys of unit vectors: for each table but the first ``after`` the best codes, and those with one second-best code."""
     n, d = x.shape
     wide = 1 << max(d - 1, 0).bit_length()
     x = np.pad(x, ((0, 0), (0, wide - d)))
     at = np.arange(n)
-    out = np.empty((n, tables, rotations + 1), U)
-    for t in range(tables):
+    out = np.empty((n, tables - after, rotations + 1), U)
+    for t in range(after, tables):
         rng = np.random.Generator(np.random.PCG64(97 + t))
         codes = []
         for _ in range(rotations):
@@ -72,7 +72,7 @@ def keys(x: np.ndarray, rotations: int, tables: int) -> np.ndarray:
             key = np.full(n, t, U)
             for r, (best, other) in enumerate(codes):
                 key = mix(key * U(1 << 20) + (other if probe == r + 1 else best) + U(1))
-            out[:, t, probe] = key
+            out[:, t - after, probe] = key
     return out.reshape(n, -1).view(np.int64)
 
 
@@ -92,9 +92,9 @@ def plan(d: int, rows: int, cosine: float, most: int = 64) -> tuple[int, int]:
     rotations = max(1, ceil(log(max(rows, 2)) / log(2 << max(d - 1, 0).bit_length())))
     a, b = pairs_at(cosine, d, min(2000, max(100, (1 << 18) // d)))
     met = np.zeros(len(a), bool)
-    k = keys(np.concatenate([a, b]), rotations, most).reshape(2, len(a), most, -1)
     for t in range(most):
-        met |= (k[0, :, t, :, None] == k[1, :, t, None, :]).any((1, 2))
+        k = keys(np.concatenate([a, b]), rotations, t + 1, t).reshape(2, len(a), -1)
+        met |= (k[0, :, :, None] == k[1, :, None, :]).any((1, 2))
         if met.mean() >= RECALL:
             return rotations, t + 1
     return rotations, most
