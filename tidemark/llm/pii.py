@@ -346,13 +346,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
                 np.add.at(skips, (pairs[:, 1], y[pairs[:, 0]]), 1)
                 likely = (w.slots[:, 0] - AT[0] & 1 > 0) | (w.slots[:, 1] - AT[1] & 2 > 0) | (y > 0)
                 x = np.column_stack([w.slots, left, right, skips, w.refused | (y > 0), w.end - w.start >= 6, y]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(likely), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int32()))], names=["likely", "x"])
+                place = np.arange(n) - np.flatnonzero(w.opens[:n])[np.cumsum(w.opens[:n]) - 1] if n else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(w.doc)), pa.array(place), pa.array(likely), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int32()))], names=["h", "place", "likely", "x"])
         trim()
 
-    nodes = sampled(docs, id_col, text_col, sample_docs).mapInArrow(rows, "likely boolean, x array<int>")
-    # A draw for each word: equal rows are drawn apart by their number.
-    place = F.xxhash64("x", F.monotonically_increasing_id()).cast("double") / 2.0**64 + 0.5
-    got = nodes.orderBy(F.when(F.col("likely"), place).otherwise(place * 32)).limit(sample_nodes).select("x").toArrow()
+    nodes = sampled(docs, id_col, text_col, sample_docs).mapInArrow(rows, "h long, place long, likely boolean, x array<int>")
+    # A draw for each word, by its document and place: the same however the documents are dealt.
+    draw = F.xxhash64("h", "place").cast("double") / 2.0**64 + 0.5
+    got = nodes.orderBy(F.when(F.col("likely"), draw).otherwise(draw * 32), F.hash("x")).limit(sample_nodes).select("x").toArrow()
     return _fit(np.array(got["x"].to_pylist(), np.int64).reshape(-1, SLOTS + 5 + len(LABELS)))
 
 
