@@ -79,11 +79,11 @@ def offsets(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a piece: ``first[d]:first[d+1]`` are those of document d."""
+    """The words of a piece, runs of bytes of ``table``: ``first[d]:first[d+1]`` are those of document d."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, table: np.ndarray = _WORD):
         self.data, self.offs = data, offs = offsets(column)
-        w = _WORD[data]
+        w = table[data]
         n = len(data)
         if n:
             prev = np.empty(n, bool)

@@ -11,6 +11,7 @@ from tidemark.llm import bpe, pii, quality, secrets, warc
 from tidemark.llm._spark import table
 from tidemark.llm.cross_polytope import near_vectors
 from tidemark.llm.decontaminate import leaks
+from tidemark.llm.divergence import divergence
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.url_filter import url_filter
@@ -72,6 +73,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
 
@@ -143,6 +148,21 @@ met AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.
 link AS (SELECT a, b FROM met JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
 {SPREAD}
 SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(id, coalesce(low, id)) AS component_id, id = least(id, coalesce(low, id)) AS kept FROM w LEFT JOIN n USING (id) LEFT JOIN low USING (id)"""
+ORACLES["op13_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT l.lang, count(term) AS v FROM (SELECT DISTINCT lang FROM g) l LEFT JOIN k USING (lang) GROUP BY l.lang),
+n AS (SELECT g.lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, source),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (total + v) AS BIGINT) AS p FROM n JOIN k ON k.lang = n.lang JOIN v ON v.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+lt AS (SELECT lang, sum(total) AS total FROM n GROUP BY lang),
+q AS (SELECT x.lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (x.n + 1) // (total + v) AS BIGINT) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) x JOIN lt USING (lang) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+bare AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source JOIN v ON v.lang = a.lang WHERE v = 0),
+term AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pair UNION ALL FROM bare UNION ALL FROM term) QUALIFY part = 'pair' OR rank <= 200"""
 
 
 def oracle_sql() -> dict[str, str]:
