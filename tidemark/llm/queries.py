@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, pii, quality, secrets, warc
+from tidemark.llm import bpe, licenses, pii, quality, secrets, warc
 from tidemark.llm._spark import table
+from tidemark.llm.conversations import repair
 from tidemark.llm.cross_polytope import near_vectors
 from tidemark.llm.decontaminate import leaks
 from tidemark.llm.divergence import divergence
@@ -73,6 +74,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -148,6 +157,40 @@ met AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.
 link AS (SELECT a, b FROM met JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
 {SPREAD}
 SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(id, coalesce(low, id)) AS component_id, id = least(id, coalesce(low, id)) AS kept FROM w LEFT JOIN n USING (id) LEFT JOIN low USING (id)"""
+
+
+def _add(weight: str, cost: str, label: str) -> str:
+    """A weight is nine digits of cost and the edits so far, so the least string is the least weight; null is no path."""
+    return f"(lpad(CAST(CAST(substr({weight}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({weight}, 10) || '{label}')"
+
+
+_ANY = "least(s0, s1, s3)"
+ORACLES["op11_conversation_repair"] = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+z AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: xor(c >> 8, list_reduce(list_concat([xor(c, b) & 255], [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))) % 20 AS k FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM z WHERE k <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, role[1] AS c FROM d),
+f AS (SELECT *, lag(c) OVER w AS before, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '' END AS fault FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+c AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+r AS (SELECT conv_id, 0 AS i, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, {_add("'000000000'", "2", "I")} AS s2, {_add("'000000000'", "4", "II")} AS s3 FROM c
+UNION ALL SELECT conv_id, i, s0, s1, least(s2, {_add("s0", "2", "I")}, {_add("s1", "2", "I")}, {_add("s3", "2", "I")}), least(s3, {_add("s2", "2", "I")}, {_add("s0", "4", "II")}, {_add("s1", "4", "II")}) FROM (
+  SELECT r.conv_id, r.i + 1 AS i, {_add("s0", "3", "D")} AS s0,
+    least({_add("s1", "3", "D")}, CASE WHEN keep AND c = 's' THEN {_add("s0", "more", "K")} END) AS s1,
+    least({_add("s2", "3", "D")}, CASE WHEN keep AND c = 'u' THEN {_add(_ANY, "more", "K")} END, CASE WHEN keep THEN {_add(_ANY, "2 + more", "R")} END) AS s2,
+    least({_add("s3", "3", "D")}, CASE WHEN keep AND c = 'a' THEN {_add("s2", "more", "K")} END, CASE WHEN keep THEN {_add("s2", "2 + more", "R")} END) AS s3
+  FROM r JOIN (SELECT conv_id, i, c, fault NOT IN ('b', 'd') AS keep, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS more FROM f) x ON x.conv_id = r.conv_id AND x.i = r.i + 1)),
+e AS (SELECT c.*, least(s0, s3) AS w FROM r JOIN c ON c.conv_id = r.conv_id AND c.n = r.i),
+a AS (SELECT conv_id, substr(w, 10) AS audit, k, substr(w, 9 + k, 1) AS edit, k - len(replace(substr(w, 10, k), 'I', 'II')) + k AS i, len(replace(substr(w, 10, k), 'D', '')) AS place FROM e, unnest(range(1, len(w) - 8)) AS u(k)),
+p AS (SELECT a.*, f.role, f.text, max(CASE WHEN place = 1 AND edit = 'K' AND f.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY a.conv_id) AS s FROM a LEFT JOIN f ON f.conv_id = a.conv_id AND f.i = a.i WHERE edit <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS body FROM p GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(CAST(substr(w, 1, 9) AS INTEGER), 0) AS BIGINT) AS cost, coalesce(substr(w, 10), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN e USING (conv_id) LEFT JOIN t USING (conv_id)"""
 ORACLES["op13_divergence"] = r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
