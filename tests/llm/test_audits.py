@@ -46,6 +46,9 @@ def plain(rows):
                         ways.append((w[0] + cost + more, edit + w[1], ((name, text), *w[2])))
         return min(ways) if ways else None
 
+    for i in range(n, -1, -1):
+        for g in range(4):
+            best(i, g, 0)
     cost, audit, left = best(0, 0, 0)
     turns = [r[0] for r in rows if r[0] is not None]
     f = Counter(faults)
@@ -225,14 +228,13 @@ def audited(rows, least=3, top=200):
 @pytest.mark.parametrize(("width", "block", "flush"), [(4096, 64, 1 << 24), (7, 2, 200)])
 def test_divergence(spark, monkeypatch, width, block, flush):
     """Nulls, empty and long texts, repeated rows, ties, a language without kept terms; also in many chunks, blocks and flushes."""
-    for k, v in (("WIDTH", width), ("BLOCK", block), ("FLUSH", flush)):
-        monkeypatch.setattr(divergence, k, v)
+    monkeypatch.setattr(divergence, "BLOCK", block)
     rng = random.Random(4)
     vocabulary = ["Été", "ß", "漢字", "a", "Zz", "zZ", "x-y", "n0t", "é" * 300, *["".join(rng.choices("abcé", k=3)) for _ in range(40)]]
     rows = [(" ".join(rng.choices(vocabulary, k=rng.randrange(60))), rng.choice(["en", "en", "fr", None]), rng.choice(["s1", "s2", "é", None, "Z", "s10"])) for _ in range(150)]
     rows += [rows[0]] * 5 + [(None, "en", "none"), ("", "fr", "empty"), ("only here", "xx", "a"), ("other words", "xx", "b"), ("lonely", "yy", "b"), ("long " * 60_000, "fr", "s1")]
     df = spark.createDataFrame([(1, *r, "x", 1, "y", 2, 3) for r in rows], "doc_id long, text string, lang string, source string" + EXTRA).repartition(3)
-    assert sorted(map(tuple, divergence.divergence(df).collect())) == audited(rows)
+    assert sorted(map(tuple, divergence.divergence(df, width=width, flush=flush).collect())) == audited(rows)
     assert divergence.divergence(df.limit(0)).count() == 0
 
 

@@ -1,12 +1,12 @@
 """How far the sources of a language differ in their words: an exact audit over all documents.
 
 Terms are runs of letters and of bytes from 0x80 on, A-Z lower-cased.  A language keeps the terms that at least ``least_docs`` of its documents hold.
-Kept terms are encoded as integers: range partitions give sorted stretches of at most ``WIDTH`` kept terms of one language (chunks), ``searchsorted`` gives a term's place in its chunk,
+Kept terms are encoded as integers: range partitions give sorted stretches of at most ``width`` kept terms of one language (chunks), ``searchsorted`` gives a term's place in its chunk,
 and ``bincount`` the counts of each source.  Chunk numbers and places follow the UTF-8 order of the terms, so ties need no strings.  With N the count of
 a group over kept terms and V the number of kept terms of its language, a count c is the share p = 1 + floor(10**9 * (c + 1) / (N + V)); two shares differ by
 floor((p - q)**2 / q).  All of it is in integers.
 
-A task counts the terms of about ``FLUSH`` bytes of text before anything is shuffled, so a frequent term or a hot source is a few rows for each task.  A source's row
+A task counts the terms of about ``flush`` bytes of text before anything is shuffled, so a frequent term or a hot source is a few rows for each task.  A source's row
 of a chunk meets the others' in blocks of about ``BLOCK`` sources; what a task holds is two blocks of one chunk, whatever the number of documents, terms or sources.
 
 Defined cases: null text, lang and source are empty strings, and those are a language and a source like any other; repeated rows are documents of their own, whatever their ids; a group without
@@ -60,71 +60,79 @@ def strings(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.column(2).nbytes
-        if size >= FLUSH:
+def _count(flush: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.column(2).nbytes
+            if size >= flush:
+                yield counted(*pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns)
+                held, size = [], 0
+        if held:
             yield counted(*pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns)
-            held, size = [], 0
-    if t := [b for b in held if b.num_rows]:
-        yield counted(*pa.Table.from_batches(t).combine_chunks().to_batches()[0].columns)
-    trim()
-
-
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (lang, term, source, n) to chunks: a row of terms and their totals (without a source), and a row of each source that has any of them."""
-    from pyspark import TaskContext
-
-    part, made = TaskContext.get().partitionId(), 0
-    held: list[pa.RecordBatch] = []
-
-    def chunk(t: pa.Table) -> pa.RecordBatch:
-        nonlocal made
-        text = strings(t["term"])
-        kept = text[np.concatenate([[True], text[1:] != text[:-1]])]
-        ids, n = np.searchsorted(kept, text), t["n"].to_numpy()
-        sources = t["source"].combine_chunks().dictionary_encode()
-        s = sources.indices.to_numpy()
-        order = np.lexsort([ids, s])
-        cut = np.searchsorted(s[order], np.arange(len(sources.dictionary) + 1))
-        total = np.zeros(len(kept), np.int64)
-        np.add.at(total, ids, n)
-        k = len(cut) - 1
-        offs = pa.array(np.concatenate([[0], [len(kept)], len(kept) + cut[1:]]).astype(np.int32))
-        places = pa.ListArray.from_arrays(offs, pa.array(np.concatenate([np.arange(len(kept)), ids[order]]).astype(np.int32)))
-        counts = pa.ListArray.from_arrays(offs, pa.array(np.concatenate([total, n[order]]).astype(np.int64)))
-        terms = pa.array([kept.tolist(), *[None] * k], pa.list_(pa.string()))
-        number = (part << 32) + made
-        made += 1
-        names = ["lang", "chunk", "width", "source", "ids", "counts", "terms"]
-        return pa.RecordBatch.from_arrays([pa.array([t["lang"][0].as_py()] * (k + 1)), pa.array([number] * (k + 1), pa.int64()), pa.array([len(kept)] * (k + 1), pa.int64()), pa.array([None, *sources.dictionary.to_pylist()], pa.string()), places, counts, terms], names=names)
-
-    def ready(last: bool) -> Iterator[pa.RecordBatch]:
-        """Whole chunks of what is held; the last, unfinished one stays."""
-        nonlocal held
-        t = pa.Table.from_batches(held).combine_chunks()
-        lang, term = strings(t["lang"]), strings(t["term"])
-        other = np.concatenate([[True], lang[1:] != lang[:-1]])
-        new = np.flatnonzero(other | np.concatenate([[True], term[1:] != term[:-1]]))
-        starts = np.flatnonzero(other[new])
-        cuts = [new[x] for a, b in zip(starts, [*starts[1:], len(new)], strict=True) for x in range(a, b, WIDTH)] + [t.num_rows]
-        for a, b in zip(cuts[: None if last else -1], cuts[1 : None if last else -1], strict=False):
-            yield chunk(t.slice(a, b - a))
-        held = [] if last else t.slice(cuts[-2]).to_batches()
-
-    rows = 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            rows += b.num_rows
-        if rows >= 8 * WIDTH:
-            yield from ready(False)
-            rows = -sum(x.num_rows for x in held) // 2  # a chunk longer than this is looked at again once it has grown
-    if held:
-        yield from ready(True)
-    trim()
+        trim()
+
+    return run
+
+
+def _encode(wide: int):
+    """Sorted (lang, term, source, n) to chunks of at most ``wide`` terms: a row of terms and their totals (without a source), and a row of each source that has any of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, made = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+
+        def chunk(t: pa.Table) -> pa.RecordBatch:
+            nonlocal made
+            text = strings(t["term"])
+            kept = text[np.concatenate([[True], text[1:] != text[:-1]])]
+            ids, n = np.searchsorted(kept, text), t["n"].to_numpy()
+            sources = t["source"].combine_chunks().dictionary_encode()
+            s = sources.indices.to_numpy()
+            order = np.lexsort([ids, s])
+            cut = np.searchsorted(s[order], np.arange(len(sources.dictionary) + 1))
+            total = np.zeros(len(kept), np.int64)
+            np.add.at(total, ids, n)
+            k = len(cut) - 1
+            offs = pa.array(np.concatenate([[0], [len(kept)], len(kept) + cut[1:]]).astype(np.int32))
+            places = pa.ListArray.from_arrays(offs, pa.array(np.concatenate([np.arange(len(kept)), ids[order]]).astype(np.int32)))
+            counts = pa.ListArray.from_arrays(offs, pa.array(np.concatenate([total, n[order]]).astype(np.int64)))
+            terms = pa.array([kept.tolist(), *[None] * k], pa.list_(pa.string()))
+            number = (part << 32) + made
+            made += 1
+            names = ["lang", "chunk", "width", "source", "ids", "counts", "terms"]
+            return pa.RecordBatch.from_arrays([pa.array([t["lang"][0].as_py()] * (k + 1)), pa.array([number] * (k + 1), pa.int64()), pa.array([len(kept)] * (k + 1), pa.int64()), pa.array([None, *sources.dictionary.to_pylist()], pa.string()), places, counts, terms], names=names)
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            """Whole chunks of what is held; the last, unfinished one stays."""
+            nonlocal held
+            t = pa.Table.from_batches(held).combine_chunks()
+            lang, term = strings(t["lang"]), strings(t["term"])
+            other = np.concatenate([[True], lang[1:] != lang[:-1]])
+            new = np.flatnonzero(other | np.concatenate([[True], term[1:] != term[:-1]]))
+            starts = np.flatnonzero(other[new])
+            cuts = [new[x] for a, b in zip(starts, [*starts[1:], len(new)], strict=True) for x in range(a, b, wide)] + [t.num_rows]
+            for a, b in zip(cuts[: None if last else -1], cuts[1 : None if last else -1], strict=False):
+                yield chunk(t.slice(a, b - a))
+            held = [] if last else t.slice(cuts[-2]).to_batches()
+
+        rows = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= 8 * wide:
+                yield from ready(False)
+                rows = -sum(x.num_rows for x in held) // 2  # a chunk longer than this is looked at again once it has grown
+        if held:
+            yield from ready(True)
+        trim()
+
+    return run
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -184,15 +192,15 @@ def _differences(top: int):
     return run
 
 
-def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = 3, top: int = 200) -> DataFrame:
+def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = 3, top: int = 200, width: int = WIDTH, flush: int = FLUSH) -> DataFrame:
     """(lang, source, part, item, value, rank): for each group the other sources of its language (``pair``) by difference, and the first ``top`` terms that it uses more than its language (``term``)."""
     d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    terms = d.mapInArrow(_count, "lang string, source string, term string, n long, d long")
+    terms = d.mapInArrow(_count(flush), "lang string, source string, term string, n long, d long")
     # Both sums and the window use this one shuffle.
     terms = terms.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     kept = terms.withColumn("df", F.sum("d").over(Window.partitionBy("lang", "term"))).where(F.col("df") >= least_docs)
     kept = stored(kept.select("lang", "term", "source", "n"), "kept_terms")
-    chunks = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_encode, "lang string, chunk long, width long, source string, ids array<int>, counts array<long>, terms array<string>")
+    chunks = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_encode(width), "lang string, chunk long, width long, source string, ids array<int>, counts array<long>, terms array<string>")
     chunks = stored(chunks, "chunks")
 
     # Groups: N of each, and V, N and the number of blocks of its language.
