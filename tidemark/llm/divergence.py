@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from tidemark.llm._spark import spread_join, stored, trim
 from tidemark.llm._text import _FOLD, Words
 
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 WIDTH = 4096
 BLOCK = 64
 ONE = 10**9
