@@ -1,3 +1,5 @@
+import gc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +177,32 @@ def test_database(spark, numbers, tmp_path):
         d.create_index("v", "v")
 
 
+def test_sweeps_reach_every_descendant(spark, numbers):
+    d = Database(numbers)
+    d.create_index("v", "v")
+    child = d.query("v", "v < 0")
+    n = child.store.size()
+    assert d.sweep().count() == 0 and child.store.size() == n > 0  # no prune condition
+    child.create_index("v", "v")
+    grandchild = child.gt("v", -10)
+    del child
+    gc.collect()
+    d.set_prune("v % 2 = 0")
+    d.sweep()
+    assert grandchild.store.df.where("v % 2 = 0").count() == 0 < grandchild.store.size()
+    d.purge()
+    assert grandchild.store.size() == 0
+
+
+def test_ids_of_any_kind(spark):
+    d = Database(Store(spark.createDataFrame([], "id long, v long"), "id"))
+    d.create_index("v", "v", populate=False)
+    d.add(spark.createDataFrame([(-7, 1), (-9, 1), (-3, 5)], "id long, v long"))
+    assert d.index("v").rows().count() == 3 and d.index("v").lookup(5, -1).first().id == -9
+    named = Store(spark.createDataFrame([("b", 1), ("a", 1), ("c", 2)], "id string, v long"), "id").index("v")
+    assert named.lookup(2, -1).first().id == named.lookup(0, 1).first().id == "a"
+
+
 def test_equal_points_and_zero_keys(spark):
     near = anomaly.knn(spark.createDataFrame([(i, [0.0, 0.0] if i < 8 else [0.5, 0.0] if i == 8 else [float(i), 1.0]) for i in range(12)], "id long, v array<double>"), "id", "v", 3)
     lof = {r.id: r.lof for r in anomaly.lof(near, 3).collect()}

@@ -1,7 +1,8 @@
 """A named set of indices and groups over the current version of a store, with what follows from its changes.
 
 The store itself stays immutable; this object points at its current version.  Queries give child databases: a child keeps the rows it was
-asked for when later rows arrive, and loses the rows that its parent sweeps or purges, and so do its own children.
+asked for when later rows arrive, and loses the rows that its parent sweeps or purges, and so do its own children, whether or not anybody still holds the databases
+between.  A sweep without a prune condition drops nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import weakref
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.session import shared_dir
@@ -19,12 +20,15 @@ from tidemark.plans.store import Expr, Index, IndexGroup, Store, column
 
 
 class Database:
-    def __init__(self, store: Store, archive: Callable[[DataFrame], object] | None = None, count_hits: bool = False):
-        """``archive`` gets what a sweep prunes.  ``count_hits``: remember which rows queries gave (see ``hits``)."""
+    def __init__(self, store: Store, archive: Callable[[DataFrame], object] | None = None, count_hits: bool = False, ancestors: Sequence[Database] = ()):
+        """``archive`` gets what a sweep prunes.  ``count_hits``: remember which rows queries gave (see ``hits``).  ``ancestors``: databases whose sweeps and purges reach this one."""
         self.store, self.archive, self.count_hits = store, archive, count_hits
         self._specs: dict[str, dict] = {}
         self._groups: dict[str, list[str]] = {}
-        self._children: weakref.WeakSet[Database] = weakref.WeakSet()
+        self._heirs: weakref.WeakSet[Database] = weakref.WeakSet()
+        self._ancestors = tuple(ancestors)  # held, so that a database lives as long as what was asked of it
+        for a in self._ancestors:
+            a._heirs.add(self)
         self._log: list[str] = []
 
     def create_index(self, name: str, key: Expr, populate: bool = True, **kw) -> Index:
@@ -33,10 +37,7 @@ class Database:
             raise ValueError(f"{name} is there already")
         if key is None:
             raise ValueError("an index needs a key")
-        after = None
-        if not populate:
-            last = self.store.df.agg(F.max(self.store.row_id)).first()[0]
-            after = -1 if last is None else last
+        after = None if populate else self.store.df.agg(F.max(self.store.row_id)).first()[0]  # null for an empty store: all rows are later
         self._specs[name] = {"key": column(key), "after_row": after, "name": name, **kw}
         return self.index(name)
 
@@ -92,9 +93,7 @@ class Database:
             path = f"{shared_dir(rows.sparkSession)}/hits-{uuid.uuid4().hex}"
             rows.select(self.store.row_id).write.parquet(path)
             self._log.append(path)
-        child = Database(Store(rows, self.store.row_id, self.store.prune))
-        self._children.add(child)
-        return child
+        return Database(Store(rows, self.store.row_id, self.store.prune), ancestors=(*self._ancestors, self))
 
     def hits(self) -> DataFrame:
         """The store's rows and ``_query_count``: how many queries of this database gave each."""
@@ -112,15 +111,12 @@ class Database:
         kept, gone = self.store.sweep()
         if self.archive is not None:
             self.archive(gone)
-        self._drop(self.store.prune)
+        if self.store.prune is not None:
+            for d in self._heirs:
+                d.store = replace(d.store.set_prune(self.store.prune).sweep()[0], prune=d.store.prune)
         self.store = kept
         return gone
 
-    def _drop(self, condition: Column | None) -> None:
-        for c in list(self._children):
-            c.store = replace(c.store.set_prune(condition).sweep()[0], prune=c.store.prune) if condition is not None else c.store.purge()
-            c._drop(condition)
-
     def purge(self) -> None:
-        self._drop(None)
-        self.store = self.store.purge()
+        for d in [*self._heirs, self]:
+            d.store = d.store.purge()

@@ -181,9 +181,11 @@ class Index:
     def lookup(self, v, direction: int = 0, by: Sequence[str] = ()) -> DataFrame:
         """The row at the key (0), at the next lower (-1) or higher (+1) one; ties go to the earliest row; one for each group of ``by``."""
         df = (self.lt, self.eq, self.gt)[direction + 1](v, ordered=False)
-        row, id_ = F.struct(*df.columns), F.col(self.store.row_id)
-        best = F.max_by(row, F.struct(self._key(), -id_)) if direction < 0 else F.min_by(row, F.struct(self._key(), id_))
-        return (df.groupBy(*by) if by else df.groupBy()).agg(best.alias("_row")).where("_row IS NOT NULL").select("_row.*")
+        key, id_ = self._key(), F.col(self.store.row_id)
+        # The earliest row of each key, then the nearest key: ids may be of any type that has an order.
+        first = df.groupBy(*by, key.alias("_key")).agg(F.min_by(F.struct(*df.columns), id_).alias("_row"))
+        best = (F.max_by if direction < 0 else F.min_by)("_row", "_key")
+        return (first.groupBy(*by) if by else first.groupBy()).agg(best.alias("_row")).where("_row IS NOT NULL").select("_row.*")
 
     def neighbours(self, by: Sequence[str] = (), columns: Sequence[str] = ()) -> DataFrame:
         """Previous and next values of ``columns``.  Give ``by`` for large tables: without it one task orders all rows."""
