@@ -78,6 +78,19 @@ def test_neighbours_and_components(spark):
     assert np.allclose(np.abs(p), np.abs(c @ v[:, ::-1]))
 
 
+def test_components_of_large_means(spark):
+    rng = np.random.default_rng(6)
+    x = 1e8 + rng.normal(size=(500, 3)) * (3, 2, 1)
+    df = spark.createDataFrame([(i, *r.tolist()) for i, r in enumerate(x)] + [(900, None, 1.0, 2.0)], "id long, a double, b double, c double").repartition(7)
+    n, mean, scatter = anomaly.moments(df, ["a", "b", "c"])
+    c = x - x.mean(0)
+    assert n == 500 and np.allclose(mean, x.mean(0)) and np.allclose(scatter, c.T @ c, rtol=1e-6, atol=1e-3)
+    rows = anomaly.pca(df, "id", ["a", "b", "c"]).orderBy("id").collect()
+    assert tuple(rows[-1]) == (900, None, None, None)
+    assert np.allclose((np.array([r[1:] for r in rows[:-1]]) ** 2).sum(0), np.linalg.eigvalsh(c.T @ c)[::-1])
+    assert anomaly.pca(df.limit(0), "id", ["a", "b"]).count() == 0
+
+
 def test_assembly(spark):
     rng = np.random.default_rng(3)
     for start in (0, 7):

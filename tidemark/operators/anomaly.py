@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 2048
+MERGERS = 16
 
 
 def euclidean(a, b):
@@ -74,20 +76,71 @@ def lof(neighbours: DataFrame, k: int = 10) -> DataFrame:
     return both.groupBy("id").agg((F.sum(F.when(F.col("lo") == F.col("lrd"), 1.0).otherwise(F.col("lo") / F.col("lrd"))) / F.count("*")).alias("lof"))
 
 
+def merged(a: tuple[float, np.ndarray, np.ndarray], b: tuple[float, np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, means and centred products of two sets of rows together, from those of each.  Nothing large is subtracted, so a large mean costs no digits."""
+    n = a[0] + b[0]
+    if not n:
+        return a
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(rows, means, scatter matrix) over rows without nulls and NaN.  A task merges its batches; ``MERGERS`` tasks merge those, and the driver what they give."""
+    k = len(columns)
+    empty = (0.0, np.zeros(k), np.zeros((k, k)))
+
+    def row(m: tuple[float, np.ndarray, np.ndarray], part: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([m[0]]), pa.array([m[1].tolist()]), pa.array([m[2].ravel().tolist()])], names=["part", "n", "mean", "scatter"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = empty
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns])
+            x = x[~np.isnan(x).any(1)]
+            if len(x):
+                mean = x.mean(0)
+                total = merged(total, (float(len(x)), mean, (x - mean).T @ (x - mean)))
+        yield row(total, TaskContext.get().partitionId() % MERGERS)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = empty
+        for b in batches:
+            for r in b.to_pylist():
+                total = merged(total, (r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(k, k)))
+        yield row(total, 0)
+
+    schema = "part int, n double, mean array<double>, scatter array<double>"
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(gather, schema)
+    total = empty
+    for r in parts.repartition(MERGERS, "part").mapInArrow(merge, schema).collect():  # a matrix for each of MERGERS tasks
+        total = merged(total, (r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(k, k)))
+    return total
+
+
 def pca(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(key, pc1, ...): centred rows projected on all components, largest eigenvalue first; the largest loading of each is positive.
+    """(key, pc1, ...): centred rows projected on all components, largest eigenvalue first; the largest loading of each is positive (of equal ones, the first).
 
-    One aggregation gathers sums and products of columns; the driver sees that small matrix alone."""
+    Two passes, for any number of columns: centred moments, whose matrix alone reaches the driver, then a matrix product for each batch.  A row with a null or NaN does not
+    count and has null components."""
     k = len(columns)
-    x = [F.col(c).cast("double") for c in columns]
-    sums = df.agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    n = max(sums["n"], 1)
-    mean = np.array([(sums[f"s{i}"] or 0.0) / n for i in range(k)])
-    scatter = np.array([[(sums[f"p{min(i, j)}_{max(i, j)}"] or 0.0) - n * mean[i] * mean[j] for j in range(k)] for i in range(k)])
+    _, mean, scatter = moments(df, columns)
     values, vectors = np.linalg.eigh(scatter)
-    vectors = vectors[:, np.argsort(-values)]
-    vectors *= np.sign(vectors[np.abs(vectors).argmax(0), np.arange(k)])
-    return df.select(key, *[sum((c - float(m)) * float(w) for c, m, w in zip(x, mean, vectors[:, j], strict=True)).alias(f"pc{j + 1}") for j in range(k)])
+    vectors = vectors[:, np.argsort(-values, kind="stable")]
+    size = np.abs(vectors)
+    vectors *= np.sign(vectors[(size >= size.max(0) * (1 - 1e-9)).argmax(0), np.arange(k)])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:]])
+            p = (x - mean) @ vectors
+            bad = np.isnan(p).any(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, j], mask=bad) for j in range(k)]], names=[key, *[f"pc{j + 1}" for j in range(k)]])
+
+    schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", *[f"pc{j + 1} double" for j in range(k)]])
+    return df.select(key, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]).mapInArrow(project, schema)
 
 
 def spe(projected: DataFrame, key: str, last: int = 3, limit: float = 0.06) -> DataFrame:

@@ -433,6 +433,25 @@ def spe(spark, sf_dir):
     return anomaly.spe(anomaly.pca(_features(spark, sf_dir), "bucket", ["click", "error", "purchase", "signup", "view", "total"]), "bucket")
 
 
+#: Both components of two columns in closed form; the sign makes the larger loading positive.
+PAIR = """c AS (SELECT p_partkey, p_size - (SELECT avg(p_size) FROM part) AS x, p_retailprice - (SELECT avg(p_retailprice) FROM part) AS y FROM part),
+s AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS d FROM c), l AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS l1, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) AS l2 FROM s),
+v AS (SELECT b / sqrt(b * b + (l1 - a) * (l1 - a)) AS u1, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS w1, b / sqrt(b * b + (l2 - a) * (l2 - a)) AS u2, (l2 - a) / sqrt(b * b + (l2 - a) * (l2 - a)) AS w2 FROM l),
+p AS (SELECT p_partkey, (x * u1 + y * w1) * sign(CASE WHEN abs(u1) >= abs(w1) THEN u1 ELSE w1 END) AS pc1, (x * u2 + y * w2) * sign(CASE WHEN abs(u2) >= abs(w2) THEN u2 ELSE w2 END) AS pc2 FROM c, v)"""
+
+
+@query(f"WITH {PAIR} SELECT p_partkey, round(pc1, 4) AS pc1, round(pc2, 4) AS pc2 FROM p")
+def pca_pair(spark, sf_dir):
+    p = anomaly.pca(t(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"])
+    return p.select("p_partkey", *[F.round(c, 4).alias(c) for c in ("pc1", "pc2")])
+
+
+@query(f"WITH {PAIR} SELECT p_partkey, round(pc2 * pc2, 3) AS spe, pc2 * pc2 > 100 AS alarm FROM p")
+def spe_pair(spark, sf_dir):
+    s = anomaly.spe(anomaly.pca(t(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice"]), "p_partkey", last=1, limit=100)
+    return s.select("p_partkey", F.round("spe", 3).alias("spe"), "alarm")
+
+
 @query("""WITH s AS (SELECT event_type, min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events GROUP BY 1),
 o AS (SELECT event_type, lo, coalesce(sum(hi - lo + 1000000) OVER (ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
 SELECT event_id, event_type, CAST(epoch_us(ts) - lo + start AS BIGINT) AS offset_us FROM events JOIN o USING (event_type)""")
