@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent.parent
 BATCH = str(8 << 20)
@@ -47,3 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
         told = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(told)
     return told
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it back: every use sees the same rows, and lost executors lose nothing."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
