@@ -416,7 +416,7 @@ def test_vectors(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-@pytest.mark.parametrize(("d", "rows"), [(64, 1000), (64, 100_000), (64, 10_000_000), (7, 5000), (300, 10_000)])
+@pytest.mark.parametrize(("d", "rows"), [(64, 1000), (64, 100_000), (64, 10_000_000), (7, 5000), (300, 10_000), (2, 10**6), (3, 10**6), (4, 10**6), (8, 10**6)])
 def test_vector_recall_at_the_threshold(d, rows):
     from tidemark.llm.cross_polytope import keys, plan
 
@@ -433,6 +433,18 @@ def test_vector_recall_at_the_threshold(d, rows):
     assert met >= 0.98
 
 
+def test_short_vectors_and_labels_of_text(spark):
+    """Many links in two dimensions; labels that are no numbers, and null labels alone."""
+    rng = np.random.default_rng(7)
+    at = rng.uniform(0, 2 * np.pi, 3000)
+    rows = [(i, [float(np.cos(t)), float(np.sin(t))], ("a", "b")[i % 2]) for i, t in enumerate(at)]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    near = (np.cos(at[:, None] - at[None]) >= 0.93) & (np.arange(3000)[:, None] % 2 == np.arange(3000)[None] % 2)
+    assert sum(got.values()) == near.sum() - 3000 and all(got[i] == near[i].sum() - 1 for i in range(3000))
+    none = near_vectors(spark.createDataFrame([(1, [1.0], None), (2, [1.0], None)], "vec_id long, embedding array<double>, label string")).collect()
+    assert [(r.n_links, r.component_id, r.kept) for r in sorted(none)] == [(0, 1, True), (0, 2, True)]
+
+
 def test_vectors_of_different_labels_and_great_lengths(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 4))

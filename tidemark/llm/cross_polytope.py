@@ -88,16 +88,18 @@ def pairs_at(cosine: float, d: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache
 def plan(d: int, rows: int, cosine: float, most: int = 64) -> tuple[int, int]:
-    """(rotations, tables) for labels of up to ``rows`` vectors of length d."""
-    rotations = max(1, ceil(log(max(rows, 2)) / log(2 << max(d - 1, 0).bit_length())))
+    """(rotations, tables) for labels of up to ``rows`` vectors of length d.  Where ``most`` tables are not enough, there are fewer rotations, and larger buckets."""
     a, b = pairs_at(cosine, d, min(2000, max(100, (1 << 18) // d)))
-    met = np.zeros(len(a), bool)
-    for t in range(most):
-        k = keys(np.concatenate([a, b]), rotations, t + 1, t).reshape(2, len(a), -1)
-        met |= (k[0, :, :, None] == k[1, :, None, :]).any((1, 2))
-        if met.mean() >= RECALL:
-            return rotations, t + 1
-    return rotations, most
+    for rotations in range(max(1, ceil(log(max(rows, 2)) / log(2 << max(d - 1, 0).bit_length()))), 0, -1):
+        met = np.zeros(len(a), bool)
+        for t in range(most):
+            k = keys(np.concatenate([a, b]), rotations, t + 1, t).reshape(2, len(a), -1)
+            met |= (k[0, :, :, None] == k[1, :, None, :]).any((1, 2))
+            if met.mean() >= RECALL:
+                return rotations, t + 1
+            if t == 7 and (1 - met.mean()) ** (most / 8) > 10 * (1 - RECALL):
+                break  # far from it even if all tables are as good as these
+    raise ValueError(f"{most} tables of one rotation do not reach {RECALL} at a cosine of {cosine} and length {d}")
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -142,12 +144,13 @@ def _count(table: pa.Table, at: np.ndarray, rows: int, least: float) -> pa.Table
         if not len(i):
             continue
         used, k = np.unique(np.r_[i, j], return_inverse=True)
-        own = keys(x[used], *plan(int(d[lo]), rows, least))
+        rotations, tables = plan(int(d[lo]), rows, least)
+        own = keys(x[used], rotations, tables).reshape(len(used), tables, -1)
         here = np.zeros(len(i), bool)
         for s in range(0, len(i), 5000):
             a, b = own[k[s : min(s + 5000, len(i))]], own[k[len(i) + s : len(i) + min(s + 5000, len(i))]]
-            shared = (a[:, :, None] == b[:, None, :]).any(2)
-            here[s : s + 5000] = np.where(shared, a, np.iinfo(np.int64).max).min(1) == key[i[s : s + 5000]]
+            shared = (a[:, :, :, None] == b[:, :, None, :]).any(3)  # keys of different tables differ
+            here[s : s + 5000] = np.where(shared, a, np.iinfo(np.int64).max).min((1, 2)) == key[i[s : s + 5000]]
         i, j = i[here], j[here]
         if len(i):
             ids, flat = np.unique(node[np.r_[i, j]], return_inverse=True)
@@ -161,7 +164,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """(id, n_links, component_id, kept) for each row."""
     v = F.col(vector_col).cast("array<double>")
     sound = F.col(label_col).isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("_id"), F.col(label_col).cast("long").alias("label"), F.when(sound, F.col(vector_col)).alias("v"))
+    kind = "long" if dict(vectors.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint", "boolean") else "string"
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(label_col).cast(kind).alias("label"), F.when(sound, F.col(vector_col)).alias("v"))
     # 128 bits tell a label's vectors from each other.
     rows = rows.withColumns({"h": F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")), "h2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "label", "v"))})
     classes = rows.where("v IS NOT NULL").groupBy("h", "h2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("m"), F.min("_id").alias("low"))
@@ -179,7 +183,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.full(part.num_rows, d), pa.int32()), pa.array(k, pa.list_(pa.int64()))], names=["label", "node", "d", "keys"])
         trim()
 
-    coded = classes.select("v", "label", "node").mapInArrow(bucket, "label long, node long, d int, keys array<long>")
+    coded = classes.select("v", "label", "node").mapInArrow(bucket, f"label {kind}, node long, d int, keys array<long>")
     dealt = stored(coded.select("label", "d", "node", F.explode("keys").alias("key")), "keys")
     size = dealt.groupBy("label", "d", "key").agg(F.count("*").alias("k")).where("k > 1").select("label", "d", "key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     met = dealt.join(size, ["label", "d", "key"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
