@@ -110,6 +110,27 @@ def test_restart_interval(spark):
     assert got == [(0, 3), (11, 1), (30, 1), (41, 1)]
 
 
+@pytest.mark.parametrize("parts", [1, 5, 60])
+def test_restart_interval_over_ranges(spark, parts):
+    """Long chains, ties and gaps over many ranges; null keys and times."""
+    rng = np.random.default_rng(parts)
+    rows = [(i, k, int(t)) for i, (k, t) in enumerate(zip(rng.choice(["a", "a", "a", "b", "", "c"], 400), rng.integers(0, 900, 400) ** 2 // 300, strict=True))]
+    rows += [(500, None, 5), (501, None, 5), (502, None, 16), (503, "a", None)]
+    df = spark.createDataFrame(rows, "id int, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = {}
+    for key in {r[1] for r in rows}:
+        times = sorted(r[2] for r in rows if r[1] == key and r[2] is not None)
+        start, n = None, -1
+        for x in times:
+            if start is None or x - start > 10:
+                start, n = x, n + 1
+                want[key, n] = [x * 10**6, 0]
+            want[key, n][1] += 1
+    got = {(r.key, r.interval): [r.start_us, r.n_events] for r in intervals.restart_at_event(df, "ts", "id", 10, "k", parts).collect()}
+    assert got == want
+    assert intervals.restart_at_event(df.limit(0), "ts", "id", 10).count() == 0
+
+
 def test_single_step_interval(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate((0, 10, 11, 50, 51, 52, 53, 60, 61, 95, None))], "id int, s long").withColumns({"ts": F.timestamp_seconds("s"), "k": F.lit("a")})
     got = [(r.interval, r.start_us // 10**6, r.n_events) for r in intervals.single_step(df, "ts", "id", 10, "k").orderBy("interval").collect()]

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.operators.scans import running
 
 
 def entropy_of(counts: str | Column) -> Column:
@@ -37,13 +38,12 @@ def ratio(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
 
 
 def gini(df: DataFrame, key: str) -> DataFrame:
-    """Gini coefficient of a numeric key.  The running sum is over distinct keys.  Null where all keys are zero or there are none."""
+    """Gini coefficient of a numeric key.  The running sum is over distinct keys, range by range.  Null where all keys are zero or there are none."""
     n = df.groupBy(F.col(key).cast("double").alias("v")).agg(F.count("*").alias("c"))
     total = n.agg(F.sum("c").alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = n.join(F.broadcast(total)).withColumn("s", F.sum(F.col("c") * F.col("v") / F.col("n")).over(w))  # one row of an aggregate
-    step = run.withColumn("p", F.coalesce(F.lag("s").over(Window.orderBy("v")), F.lit(0.0)))
-    return step.agg(F.round(1 - F.try_divide(F.sum(F.col("c") * (F.col("p") + F.col("s")) / F.col("n")), F.max("s")), 6).alias("gini"))
+    share = n.join(F.broadcast(total)).withColumn("x", F.col("c") * F.col("v") / F.col("n"))  # one row of an aggregate
+    step = running(share, ["v"], {"s": "x"})
+    return step.agg(F.round(1 - F.try_divide(F.sum(F.col("c") * (2 * F.col("s") - F.col("x")) / F.col("n")), F.max("s")), 6).alias("gini"))
 
 
 def host(url: str) -> Column:

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def micros(ts: str | Column) -> Column:
-    """Microseconds since the epoch; a time without a zone is taken as UTC, whatever the session's zone is."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    since = c.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    whole = {"DAY": 86_400_000_000, "HOUR": 3_600_000_000, "MINUTE": 60_000_000}
-    plain = sum((F.extract(F.lit(k), since).cast("long") * n for k, n in whole.items()), (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("long"))
-    return F.when(F.typeof(c) == "timestamp_ntz", plain).otherwise(F.unix_micros(c.cast("timestamp")))
+from tidemark.functions.times import micros
+from tidemark.operators.scans import BEFORE, asof, in_ranges, running
+from tidemark.plans.session import stored
 
 
 def aligned(df: DataFrame, ts: str, seconds: int, strict: bool = False, out: str = "bucket") -> DataFrame:
@@ -36,22 +32,99 @@ def idle_sessions(df: DataFrame, key: str, ts: str, order: str, seconds: int) ->
     return s.groupBy(key, "session").agg(F.count("*").alias("n_events"), F.min("_us").alias("first_us"), F.max("_us").alias("last_us"))
 
 
-def restart_at_event(df: DataFrame, ts: str, order: str, seconds: int, key: str | None = None) -> DataFrame:
+def whole_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by ``_range`` (the first column), one table for each range."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        at = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1), len(at)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y > x:
+                if held and held[-1].column(0)[0] != b.column(0)[x]:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _next_starts(table: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(times, where each key ends, the next start of each time: the first time of its key more than ``step`` later, or its key's end in this range)."""
+    us = table["us"].to_numpy()
+    code = table["key"].combine_chunks().dictionary_encode().indices.to_numpy() if isinstance(table["key"], pa.ChunkedArray) else table["key"].dictionary_encode().indices.to_numpy()
+    ends = np.concatenate([np.flatnonzero(code[1:] != code[:-1]) + 1, [len(us)]])
+    after = np.empty(len(us), np.int64)
+    for x, y in zip([0, *ends[:-1]], ends, strict=True):
+        after[x:y] = x + np.searchsorted(us[x:y], us[x:y] + step, side="right")
+    return us, np.repeat(ends, np.diff(np.concatenate([[0], ends]))), after
+
+
+def restart_at_event(df: DataFrame, ts: str, order: str, seconds: int, key: str | None = None, parts: int | None = None) -> DataFrame:
     """(key, interval, start_us, n_events): an interval ends at the first event more than ``seconds`` after its start, and that event starts the next.
 
-    The fold is sequential within a key; give a key for large tables."""
+    Which events are starts follows from the first one, event by event; here by jumps.  Distinct times are dealt to ranges.  In a range, each time's chain of starts is followed to its end by doubling,
+    which leaves the time after which the next start is; as-of matches give that start and its own chain's end, and doubling over these marks
+    what the first start of each key reaches, in as many rounds as the number of ranges has bits.  So one key, or none, may hold all rows.  Events without a time are left out; ``order`` changes nothing."""
+    step = seconds * 1_000_000
     by = F.col(key).cast("string") if key else F.lit("")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = pdf.sort_values(["us", "o"])["us"].to_numpy()
-        rows, i = [], 0
-        while i < len(us):
-            j = int(us.searchsorted(us[i] + seconds * 1_000_000, side="right"))
-            rows.append((pdf["k"].iloc[0], len(rows), int(us[i]), j - i))
-            i = j
-        return pd.DataFrame(rows, columns=["key", "interval", "start_us", "n_events"])
-
-    return df.select(by.alias("k"), micros(ts).alias("us"), F.col(order).alias("o")).groupBy("k").applyInPandas(run, "key string, interval long, start_us long, n_events long")
+    times = df.select(F.coalesce(by, F.lit("")).alias("key"), by.isNull().alias("none"), micros(ts).alias("us")).where("us IS NOT NULL")
+    times = times.groupBy("key", "none", "us").agg(F.count("*").alias("n"))
+    # A null key sorts as a key of its own.
+    times = times.select(F.when(F.col("none"), "1").otherwise(F.concat(F.lit("0"), "key")).alias("key"), "us", "n")
+    dealt = stored(in_ranges(times, ["key", "us"], parts), "times")
+    ordered = lambda d: d.repartition("_range").sortWithinPartitions("_range", "key", "us")
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_ranges(batches):
+            us, end, after = _next_starts(table, step)
+            last = np.where(after < end, after, np.arange(len(us)))
+            while not np.array_equal(last, last[last]):
+                last = last[last]
+            yield pa.RecordBatch.from_arrays([table["key"].combine_chunks(), pa.array(us), pa.array(us[last] + step)], names=["key", "us", "then"])
+
+    chains = stored(ordered(dealt.select("_range", "key", "us")).mapInArrow(leave, "key string, us long, then long"), "chains")
+    # A chain that ends at ``us`` goes on with ``start``, whose own chain ends at ``then``.
+    ends = chains.select("key", F.col("then").alias("us")).distinct()
+    hops = asof(ends, chains.withColumn("start", F.col("us")), "us", ["start", "then"], ["key"], "forward", parts=parts).where("start IS NOT NULL")
+    hops = stored(hops.select("key", "us", "start", "then"), "hops")
+    first = chains.groupBy("key").agg(F.min("us").alias("start"), F.min_by("then", "us").alias("us"))
+    reached, jump = first.select("key", "us"), hops.select("key", "us", "then")
+    ranges = dealt.agg(F.max("_range")).first()[0] or 0
+    n = 0
+    for _ in range(ranges.bit_length() + 1):
+        more = reached.join(jump, ["key", "us"]).select("key", F.col("then").alias("us"))
+        reached = stored(reached.union(more).distinct(), "reached")
+        if n == (n := reached.count()):
+            break
+        jump = stored(jump.alias("a").join(jump.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.then") == F.col("b.us"))).select("a.key", "a.us", "b.then"), "jumps")
+    entries = first.select("key", F.col("start").alias("us")).union(hops.join(reached, ["key", "us"]).select("key", F.col("start").alias("us"))).distinct().withColumn("entry", F.lit(True))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_ranges(batches):
+            us, end, after = _next_starts(table, step)
+            n = table["n"].to_numpy()
+            start = np.zeros(len(us), bool)
+            for i in np.flatnonzero(table["entry"].fill_null(False).to_numpy()):
+                while i < end[i] and not start[i]:
+                    start[i] = True
+                    if after[i] == end[i]:
+                        break
+                    i = after[i]
+            number = np.cumsum(start)
+            at = np.concatenate([[True], number[1:] != number[:-1]])
+            rows = np.flatnonzero(at)
+            part = np.full(len(rows), table.column(0)[0].as_py(), np.int32)
+            first_us = pa.array(us[rows], mask=~start[rows])
+            yield pa.RecordBatch.from_arrays([pa.array(part), table["key"].combine_chunks().take(pa.array(rows)), pa.array(number[rows]), first_us, pa.array(np.add.reduceat(n, rows))], names=["_range", "key", "number", "start_us", "n"])
+
+    pieces = ordered(dealt.join(entries, ["key", "us"], "left").select("_range", "key", "us", "n", "entry"))
+    pieces = stored(pieces.mapInArrow(walk, "_range int, key string, number long, start_us long, n long"), "pieces")
+    before = pieces.groupBy("_range").agg(F.count("start_us").alias("starts")).select("_range", F.coalesce(F.sum("starts").over(BEFORE()), F.lit(0)).alias("before"))
+    found = pieces.join(F.broadcast(before), "_range").groupBy((F.col("before") + F.col("number")).alias("number"))  # a row for each range
+    found = found.agg(F.min("key").alias("key"), F.min("start_us").alias("start_us"), F.sum("n").alias("n_events"))
+    zero = found.groupBy("key").agg(F.min("number").alias("zero"))
+    named = F.when(F.col("key").startswith("0"), F.substr("key", F.lit(2)))
+    return found.join(zero, "key").select(named.alias("key"), (F.col("number") - F.col("zero")).alias("interval"), "start_us", "n_events")
 
 
 def single_step(df: DataFrame, ts: str, order: str, seconds: int, key: str) -> DataFrame:
@@ -70,12 +143,11 @@ def single_step(df: DataFrame, ts: str, order: str, seconds: int, key: str) -> D
 
 
 def rebase(df: DataFrame, file: str, ts: str, order: str, gap_seconds: int = 1) -> DataFrame:
-    """Concatenate captures: times become offsets, each file begins ``gap_seconds`` after the end of the one before it."""
+    """Concatenate captures: times become offsets, each file begins ``gap_seconds`` after the end of the one before it.  There may be any number of files."""
     spans = df.groupBy(file).agg(F.min(micros(ts)).alias("_lo"), F.max(micros(ts)).alias("_hi"))
-    # One row for each file, so a global window over them is small.
-    w = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    start = spans.select(file, "_lo", F.coalesce(F.sum(F.col("_hi") - F.col("_lo") + gap_seconds * 1_000_000).over(w), F.lit(0)).alias("_start"))
-    return df.join(start, file).select(*df.columns, (micros(ts) - F.col("_lo") + F.col("_start")).alias("offset_us"))
+    spans = spans.withColumn("_long", F.col("_hi") - F.col("_lo") + gap_seconds * 1_000_000)
+    start = running(spans, [file], {"_end": "_long"}).select(F.col(file).alias("_file"), "_lo", (F.col("_end") - F.coalesce("_long", F.lit(0))).alias("_start"))
+    return df.join(start, F.col(file).eqNullSafe(F.col("_file"))).select(*df.columns, (micros(ts) - F.col("_lo") + F.col("_start")).alias("offset_us"))
 
 
 def merge_sorted(parts: Sequence[DataFrame], ts: str, order: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.intervals import micros
+from tidemark.functions.times import micros
 from tidemark.plans.session import stored
 
 #: Sampled rows for each range, and the most ranges: together what one task sees of the order.
@@ -30,7 +30,7 @@ def in_ranges(df: DataFrame, order: Sequence[str], parts: int | None = None) ->
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     keys = df.select(key.alias("k"))
     n = keys.count()
-    few = keys if n <= parts * SAMPLED else keys.sample(1.2 * parts * SAMPLED / n, seed=7)
+    few = keys if n <= 2 * parts * SAMPLED else keys.sample(parts * SAMPLED / n, seed=7)
     places = F.sequence(F.lit(1), F.lit(max(parts - 1, 1)))
     at = lambda i: F.get("s", (i * F.size("s") / parts).cast("int"))
     bounds = few.agg(F.array_sort(F.collect_list("k")).alias("s")).select(F.array_distinct(F.array_compact(F.transform(places, at))).alias("_bounds"))

@@ -113,6 +113,45 @@ def cursor_neighbours(spark, sf_dir):
     return s.index("ts").neighbours(["user_id"], ["event_id"]).select("event_id", "user_id", "prev_event_id", "next_event_id")
 
 
+@query("SELECT event_id, value, lag(event_id) OVER w AS prev_event_id, lag(value) OVER w AS prev_value, lead(event_id) OVER w AS next_event_id, lead(value) OVER w AS next_value FROM events WINDOW w AS (ORDER BY value NULLS FIRST, event_id)")
+def cursor_neighbours_all(spark, sf_dir):
+    return events(spark, sf_dir).index("value").neighbours(columns=["event_id", "value"]).select("event_id", "value", "prev_event_id", "prev_value", "next_event_id", "next_value")
+
+
+#: Parts by their price, looked up by line prices: no group key.
+PRICED = "p AS (SELECT p_retailprice AS price, min(p_partkey) AS part FROM part GROUP BY 1), l AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS price FROM lineitem)"
+
+
+def _priced(spark, sf_dir, direction, **kw):
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
+    parts = Store(t(spark, sf_dir, "part").withColumn("part", F.col("p_partkey")), "p_partkey").index("p_retailprice")
+    return parts.nearest(lines, "price", ["part"], direction=direction, **kw).select("l_orderkey", "l_linenumber", "part")
+
+
+@query(f"WITH {PRICED} SELECT l_orderkey, l_linenumber, part FROM l ASOF LEFT JOIN p ON l.price > p.price")
+def asof_backward(spark, sf_dir):
+    return _priced(spark, sf_dir, -1)
+
+
+@query(f"WITH {PRICED} SELECT l_orderkey, l_linenumber, part FROM l ASOF LEFT JOIN p ON l.price < p.price")
+def asof_forward(spark, sf_dir):
+    return _priced(spark, sf_dir, 1)
+
+
+@query(f"""WITH {PRICED}, b AS (SELECT l.*, p.price AS low, part AS low_part FROM l ASOF LEFT JOIN p ON l.price >= p.price), f AS (SELECT b.*, p.price AS high, part AS high_part FROM b ASOF LEFT JOIN p ON b.price <= p.price)
+SELECT l_orderkey, l_linenumber, CASE WHEN low IS NOT NULL AND (high IS NULL OR abs(price - low) <= abs(price - high)) THEN CASE WHEN abs(price - low) <= 0.25 THEN low_part END WHEN abs(price - high) <= 0.25 THEN high_part END AS part FROM f""")
+def asof_nearest(spark, sf_dir):
+    return _priced(spark, sf_dir, 0, strict=False, tolerance=0.25)
+
+
+@query("""WITH v AS (SELECT event_type, ts, min(event_id) AS seen FROM events WHERE value > 90 GROUP BY ALL) SELECT e.event_id, e.event_type, v.seen FROM events e ASOF LEFT JOIN v ON e.event_type = v.event_type AND e.ts < v.ts""")
+def asof_groups_forward(spark, sf_dir):
+    """A few groups that hold all rows."""
+    e = t(spark, sf_dir, "events")
+    high = Store(e.where("value > 90").withColumn("seen", F.col("event_id")), "event_id").index("ts")
+    return high.nearest(e.select("event_id", "event_type", "ts"), "ts", ["seen"], ["event_type"], 1).select("event_id", "event_type", "seen")
+
+
 @query("WITH a AS (SELECT * FROM lineitem WHERE l_quantity < 10) SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM a WHERE l_discount > 0.05 AND l_quantity > 3")
 def requery(spark, sf_dir):
     first = Store(t(spark, sf_dir, "lineitem"), "l_orderkey").query("l_quantity < 10")
@@ -315,6 +354,12 @@ def interval_restart(spark, sf_dir):
     return intervals.restart_at_event(t(spark, sf_dir, "events"), "ts", "event_id", 86_400, "user_id")
 
 
+@query("""WITH RECURSIVE u AS (SELECT epoch_us(ts) AS us FROM events), r AS (SELECT 0 AS i, min(us) AS s FROM u UNION ALL SELECT r.i + 1, (SELECT min(us) FROM u WHERE u.us > r.s + 7200000000) FROM r WHERE EXISTS (SELECT 1 FROM u WHERE u.us > r.s + 7200000000))
+SELECT '' AS key, CAST(r.i AS BIGINT) AS interval, r.s AS start_us, (SELECT count(*) FROM u WHERE u.us BETWEEN r.s AND r.s + 7200000000) AS n_events FROM r""")
+def interval_restart_all(spark, sf_dir):
+    return intervals.restart_at_event(t(spark, sf_dir, "events"), "ts", "event_id", 7200)
+
+
 @query("""WITH RECURSIVE u AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS t0 FROM events),
 r AS (SELECT key, rn, us, t0, CAST(0 AS BIGINT) AS k FROM u WHERE rn = 1 UNION ALL SELECT u.key, u.rn, u.us, u.t0, r.k + CASE WHEN u.us - u.t0 > (r.k + 1) * 21600000000 THEN 1 ELSE 0 END FROM r JOIN u ON u.key = r.key AND u.rn = r.rn + 1)
 SELECT key, k AS interval, CAST(min(t0) + k * 21600000000 AS BIGINT) AS start_us, count(*) AS n_events FROM r GROUP BY key, k""")
@@ -343,6 +388,14 @@ def gini_quantity(spark, sf_dir):
     return stats.gini(t(spark, sf_dir, "lineitem"), "l_quantity")
 
 
+@query("""WITH a AS (SELECT l_extendedprice AS v, count(*) AS c FROM lineitem GROUP BY 1), b AS (SELECT v, c, sum(c) OVER () AS n FROM a),
+d AS (SELECT *, sum(c * v / n) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS s FROM b), e AS (SELECT *, coalesce(lag(s) OVER (ORDER BY v), 0) AS p FROM d)
+SELECT round(1 - sum(c * (p + s) / n) / max(s), 6) AS gini FROM e""")
+def gini_price(spark, sf_dir):
+    """Almost as many keys as rows."""
+    return stats.gini(t(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
 @query(f"WITH {NAMES} SELECT page_id, host, array_to_string(ls, '.') AS tld_first, {DOMAIN} AS domain FROM names")
 def registered_domain(spark, sf_dir):
     p = t(spark, sf_dir, "pages").select("page_id", stats.host("url").alias("host"))
@@ -459,6 +512,14 @@ def ts_rebase(spark, sf_dir):
     return intervals.rebase(t(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts", "event_id").select("event_id", "event_type", "offset_us")
 
 
+@query("""WITH s AS (SELECT user_id, min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events GROUP BY 1),
+o AS (SELECT user_id, lo, coalesce(sum(hi - lo + 1000000) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
+SELECT event_id, CAST(epoch_us(ts) - lo + start AS BIGINT) AS offset_us FROM events JOIN o USING (user_id)""")
+def ts_rebase_many(spark, sf_dir):
+    """A file for each user."""
+    return intervals.rebase(t(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", "offset_us")
+
+
 @query("""SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, event_id) AS position FROM events WHERE event_type IN ('error', 'signup')""")
 def merge_sorted(spark, sf_dir):
     e = t(spark, sf_dir, "events")

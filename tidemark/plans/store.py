@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import scans
+
 Expr = Column | str
 
 
@@ -188,9 +190,22 @@ class Index:
         return (first.groupBy(*by) if by else first.groupBy()).agg(best.alias("_row")).where("_row IS NOT NULL").select("_row.*")
 
     def neighbours(self, by: Sequence[str] = (), columns: Sequence[str] = ()) -> DataFrame:
-        """Previous and next values of ``columns``.  Give ``by`` for large tables: without it one task orders all rows."""
-        w = Window.partitionBy(*by).orderBy(self.key.desc() if self.descending else self.key.asc(), self.store.row_id)
-        return self.rows().select("*", *[f(c).over(w).alias(f"{n}_{c}") for c in columns for n, f in (("prev", F.lag), ("next", F.lead))])
+        """Previous and next values of ``columns`` in index order, in each group of ``by``; without groups, over all rows, range by range."""
+        if by:
+            w = Window.partitionBy(*by).orderBy(self.key.desc() if self.descending else self.key.asc(), self.store.row_id)
+            return self.rows().select("*", *[f(c).over(w).alias(f"{n}_{c}") for c in columns for n, f in (("prev", F.lag), ("next", F.lead))])
+        if self.descending:
+            raise ValueError("neighbours over all rows go up; read prev for next")
+        rows = self.rows()
+        found = scans.neighbours(rows.withColumn("_key", self._key()), ["_key", self.store.row_id], columns)
+        return found.drop("_key")
+
+    def nearest(self, probes: DataFrame, on: str, values: Sequence[str], by: Sequence[str] = (), direction: int = -1, strict: bool = True, tolerance: float | None = None) -> DataFrame:
+        """``lookup`` for many probes at once: each with ``values`` of the row whose key is next below (-1), above (1) or nearer of these (0) to its ``on``; ties go to the earliest row.
+
+        Groups of ``by`` may have any size, and there may be none."""
+        rows = self.rows().withColumn(on, self._key())
+        return scans.asof(probes, rows, on, values, by, {-1: "backward", 1: "forward", 0: "nearest"}[direction], strict, tolerance, self.store.row_id)
 
     def size(self) -> DataFrame:
         return self._rows().agg(F.count("*").alias("n_rows"), F.countDistinct(self.key).alias("n_keys"))
