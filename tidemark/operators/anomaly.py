@@ -5,55 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-BLOCK = 2048
-MERGERS = 16
 
+from tidemark.operators.nearest import nearest
 
-def euclidean(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
+MERGERS = 16
 
 
 def knn(df: DataFrame, id_col: str, vector_col: str, k: int = 10) -> DataFrame:
-    """(id, neighbour, distance, rank): the exact k nearest others, ties to the smaller id.
-
-    Points are cut into blocks of ``BLOCK``; each pair of blocks is one task's matrix product that leaves k rows for each point, so
-    pairs of points are never rows."""
-    n = df.count()
-    blocks = max(1, -(-n // BLOCK))
-    v = df.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.pmod(F.hash(id_col), F.lit(blocks)).alias("b"))
-    asks = v.select("id", "v", F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"), F.lit(True).alias("ask"))
-    gives = v.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.col("b").alias("rb"), F.lit(False).alias("ask"))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, r = pdf[pdf.ask], pdf[~pdf.ask].sort_values("id")
-        if q.empty or r.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})
-        a, b, ids, others = np.stack(q.v), np.stack(r.v), q.id.to_numpy(), r.id.to_numpy()
-        out = []
-        size = (b * b).sum(1)
-        for i in range(0, len(a), 64):
-            x, self_ = a[i : i + 64], ids[i : i + 64, None] == others[None]
-            # A product finds who may be near, with room for its rounding; exact differences decide.
-            own = (x * x).sum(1)[:, None]
-            rough = np.where(self_, np.inf, own + size - 2 * x @ b.T)
-            reach = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1, None]
-            near = np.flatnonzero((rough <= reach + 1e-9 * (own + size.max())).any(0))
-            d = np.sqrt(((x[:, None, :] - b[None, near]) ** 2).sum(2))
-            d[self_[:, near]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"id": np.repeat(ids[i : i + 64], best.shape[1]), "neighbour": others[near][best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
-        out = pd.concat(out)
-        return out[np.isfinite(out.distance)]
-
-    found = asks.union(gives.select(*asks.columns)).groupBy("qb", "rb").applyInPandas(nearest, "id long, neighbour long, distance double")
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """(id, neighbour, distance, rank): the exact k nearest others, ties to the smaller id."""
+    return nearest(df, id_col, vector_col, k)[0]
 
 
 def scaled(df: DataFrame, id_col: str, columns: Sequence[str], ports: Sequence[str] = ()) -> DataFrame:
