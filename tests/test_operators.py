@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import anomaly, intervals, segments
+from tidemark.operators import anomaly, intervals, mergers, segments
 from tidemark.plans.database import Database
 from tidemark.plans.store import IndexGroup, Store
 from tidemark.sources import interval_files
@@ -104,6 +104,42 @@ def test_assembly(spark):
         assert got == image
 
 
+@pytest.mark.parametrize("width", [4, 1 << 20])
+def test_assembly_at_far_offsets(spark, width):
+    """Overlaps over bins, a segment at 10**12, duplicates, empty and null rows, equal arrivals."""
+    rng = np.random.default_rng(width)
+    rows = [(int(k), int(o), bytes(rng.integers(1, 255, int(rng.integers(0, 11))).tolist()), int(a)) for k, o, a in zip(rng.integers(0, 3, 60), rng.integers(0, 90, 60), rng.permutation(60), strict=True)]
+    rows += [(0, 10**12, b"far", 5), (0, 10**12 + 2, b"XY", 4), (1, None, b"x", 1), (1, 3, None, 1), (1, 3, b"", 99), (2, 200, b"aa", 7), (2, 201, b"bb", 7)]
+    image = {}
+    for k, o, d, a in sorted((r for r in rows if r[1] is not None and r[2]), key=lambda r: (r[3], r[1], r[2])):
+        image.setdefault(str(k), {}).update({o + i: b for i, b in enumerate(d) if o + i >= 7})
+    df = spark.createDataFrame(rows, "s int, o long, d binary, a int").repartition(3)
+    got = [(r.stream, r.start, bytes(r.data)) for r in segments.assemble(df, "s", "o", "d", "a", 7, width=width).collect()]
+    assert {k: {s + i: b for x, s, d in got if x == k for i, b in enumerate(d)} for k in image} == image
+    assert not any(k == x and s + len(d) == y for k, s, d in got for x, y, _ in got)  # whole runs
+    assert segments.assemble(df.limit(0), "s", "o", "d", "a").count() == 0
+
+
+def test_mergers(spark):
+    df = spark.range(300_000).select("id", F.when(F.col("id") % 3 != 0, F.lit("hot")).alias("k"), (F.col("id") % 1000).alias("v")).repartition(5)
+    want = {"hot": 7, None: 7}
+    for i in range(300_000):
+        k = "hot" if i % 3 else None
+        want[k] = (want[k] * 33 + i % 1000) % 99991
+    got = mergers.fold(df, "k", "id", "v", 7, lambda kept, v: (kept * 33 + v) % 99991, "long").collect()
+    assert {r.key: r.merged for r in got} == want
+    texts = mergers.fold(df.where("id < 12"), "k", "id", "cast(id AS string)", list, lambda kept, v: [*kept, v], "array<string>").collect()
+    assert {r.key: r.merged for r in texts} == {None: ["0", "3", "6", "9"], "hot": ["1", "2", "4", "5", "7", "8", "10", "11"]}
+    sums = mergers.merge(df, "k", "v", lambda v: v, lambda a, b: a + b, "long").collect()
+    assert {r.key: r.merged for r in sums} == {k: sum(i % 1000 for i in range(300_000) if (i % 3 == 0) == (k is None)) for k in want}
+    assert mergers.merge(df.limit(0), "k", "v", lambda v: v, max, "long").count() == mergers.fold(df.limit(0), "k", "id", "v", 0, max, "long").count() == 0
+
+
+def test_python_pruner(numbers):
+    kept, gone = numbers.set_prune(lambda r: r["v"] % 7 == 0).sweep()
+    assert gone.where("v % 7 != 0").count() == 0 < gone.count() and kept.size() + gone.count() == 100
+
+
 def test_restart_interval(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate((0, 5, 10, 11, 30, 41))], "id int, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = [(r.start_us // 10**6, r.n_events) for r in intervals.restart_at_event(df, "ts", "id", 10).orderBy("interval").collect()]

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import packets, stats
-from tidemark.operators import anomaly, dns, flows, intervals, segments
+from tidemark.operators import anomaly, dns, flows, intervals, mergers, segments
+from tidemark.operators.nearest import nearest
 from tidemark.plans.database import Database
 from tidemark.plans.session import shared_dir
-from tidemark.plans.store import IndexGroup, Store, fold, lookup_join, multi_index_count
+from tidemark.plans.store import IndexGroup, Store, lookup_join, multi_index_count
 from tidemark.sources import archive, interval_files, synthetic
 from tidemark.streaming import intervals as live
 
@@ -186,9 +187,33 @@ def merge_collect(spark, sf_dir):
 
 @query("SELECT user_id AS key, CAST(arg_max(event_type, event_id) AS VARCHAR) AS merged FROM events GROUP BY user_id")
 def merge_fold(spark, sf_dir):
-    return fold(t(spark, sf_dir, "events"), "user_id", "event_id", "event_type", F.lit(None).cast("string"), lambda kept, new: new)
+    return mergers.fold(t(spark, sf_dir, "events"), "user_id", "event_id", "event_type", None, lambda kept, new: new, "string")
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_type AS key, CAST(floor(coalesce(value, 0)) AS BIGINT) AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+r AS (SELECT key, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS s FROM (SELECT DISTINCT key FROM e) UNION ALL SELECT r.key, r.i + 1, (r.s * 31 + e.v) % 1000003 FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)
+SELECT key, arg_max(s, i) AS merged FROM r GROUP BY key""")
+def merge_ordered(spark, sf_dir):
+    """A merger that depends on the order, over a few keys that hold all rows."""
+    return mergers.fold(t(spark, sf_dir, "events"), "event_type", "event_id", "cast(floor(coalesce(value, 0)) AS long)", 1, lambda kept, v: (kept * 31 + v) % 1000003, "long")
+
+
+@query("SELECT event_type AS key, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
+def merge_custom(spark, sf_dir):
+    """A user's associative merger, with partial states in each task."""
+    lift = lambda v: {"n": 1, "low": v, "high": v}
+    least = lambda f, a, b: b if a is None else a if b is None else f(a, b)
+    join = lambda a, b: {"n": a["n"] + b["n"], "low": least(min, a["low"], b["low"]), "high": least(max, a["high"], b["high"])}
+    return mergers.merge(t(spark, sf_dir, "events"), "event_type", "value", lift, join, "struct<n: long, low: double, high: double>").select("key", "merged.n", "merged.low", "merged.high")
+
+
+@query("SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type, round(sum(value), 4) AS value FROM events GROUP BY user_id")
+def merge_rows(spark, sf_dir):
+    """The kept row of each key takes later ones' values."""
+    merger = lambda new, kept: {**kept, "value": (kept["value"] or 0) + (new["value"] or 0)}
+    s = Store(t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), "event_id")
+    return s.index("user_id").folded(merger).select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"))
+
 COUNTED = ("l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount")
 
 
@@ -453,6 +478,16 @@ def lof(spark, sf_dir):
     return anomaly.lof(anomaly.knn(t(spark, sf_dir, "embeddings"), "vec_id", "embedding")).select("id", F.round("lof", 6).alias("lof"))
 
 
+PRICES = "f AS (SELECT p_partkey AS vec_id, [p_size::DOUBLE, p_retailprice] AS embedding FROM part)"
+
+
+@query(f"WITH {PRICES}, {KNN.replace('embeddings', 'f')} SELECT id, rank, round(distance, 6) AS distance FROM knn")
+def knn_blocks(spark, sf_dir):
+    """Small blocks, so that most pairs of them are pruned at every size."""
+    p = t(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice").alias("v"))
+    return nearest(p, "p_partkey", "v", block=128)[0].select("id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT p_partkey, round(p_size / (SELECT max(p_size) FROM part), 6) AS p_size, round(p_retailprice / (SELECT max(p_retailprice) FROM part), 6) AS p_retailprice FROM part")
 def distance_norm(spark, sf_dir):
     return stats.max_normalised(t(spark, sf_dir, "part"), ["p_partkey"], ["p_size", "p_retailprice"])
@@ -547,12 +582,12 @@ def truncate_after(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT l_orderkey AS stream, l_linenumber * 3 + i AS pos, arg_max(chr(CAST(97 + (l_partkey + i) % 26 AS INTEGER)), l_partkey * 1000 + l_quantity * 10 + l_linenumber) AS c
-FROM lineitem, unnest(range(0, CAST(l_quantity AS BIGINT) % 5)) AS r(i) WHERE l_orderkey % 3 = 0 GROUP BY ALL), g AS (SELECT *, pos - row_number() OVER (PARTITION BY stream ORDER BY pos) AS run FROM b)
+FROM lineitem, unnest(range(0, CAST(l_quantity AS BIGINT) % 5)) AS r(i) GROUP BY ALL), g AS (SELECT *, pos - row_number() OVER (PARTITION BY stream ORDER BY pos) AS run FROM b)
 SELECT CAST(stream AS VARCHAR) AS stream, CAST(min(pos) AS BIGINT) AS start, string_agg(c, '' ORDER BY pos) AS data FROM g GROUP BY g.stream, run""")
 def assembled(spark, sf_dir):
     o = F.sequence(F.lit(0), (F.col("l_quantity").cast("long") % 5 - 1).cast("int"))
     data = F.array_join(F.transform(o, lambda i: F.char(97 + (F.col("l_partkey") + i) % 26)), "").cast("binary")
-    lines = t(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0 AND cast(l_quantity AS long) % 5 > 0")
+    lines = t(spark, sf_dir, "lineitem").where("cast(l_quantity AS long) % 5 > 0")
     s = lines.select("l_orderkey", (F.col("l_linenumber") * 3).alias("o"), data.alias("d"), (F.col("l_partkey") * 1000 + F.col("l_quantity") * 10 + F.col("l_linenumber")).alias("a"))
     return segments.assemble(s, "l_orderkey", "o", "d", "a").select("stream", "start", F.decode("data", "UTF-8").alias("data"))
 

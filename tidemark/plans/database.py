@@ -103,7 +103,7 @@ class Database:
         log = df.sparkSession.read.schema(df.select(id_).schema).parquet(*self._log).groupBy(id_).agg(F.count("*").alias("_query_count"))
         return df.join(log, id_, "left").withColumn("_query_count", F.coalesce("_query_count", F.lit(0)))
 
-    def set_prune(self, condition: Expr) -> None:
+    def set_prune(self, condition: Expr | Callable[[dict], bool]) -> None:
         self.store = self.store.set_prune(condition)
 
     def sweep(self) -> DataFrame:

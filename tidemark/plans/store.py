@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import scans
+from tidemark.operators import mergers, scans
 
 Expr = Column | str
 
@@ -43,7 +43,7 @@ def tested(df: DataFrame, test: Callable[[dict], bool]) -> Column:
 class Store:
     df: DataFrame
     row_id: str
-    prune: Column | None = None
+    prune: Column | Callable[[dict], bool] | None = None
     routed: bool = False
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -73,12 +73,14 @@ class Store:
         have = self.df if self.routed else self.df.withColumn("_routes", F.lit(None).cast("array<string>"))
         return replace(self, df=have.unionByName(rows.withColumn("_routes", to)), routed=True)
 
-    def set_prune(self, condition: Expr) -> Store:
-        return replace(self, prune=column(condition))
+    def set_prune(self, condition: Expr | Callable[[dict], bool]) -> Store:
+        """A condition, or a Python function of a row (see ``tested``)."""
+        return replace(self, prune=column(condition) if isinstance(condition, Column | str) else condition)
 
     def sweep(self) -> tuple[Store, DataFrame]:
         """(version without pruned rows, pruned rows): one scan each, and filters reach the source."""
-        p = F.coalesce(self.prune if self.prune is not None else F.lit(False), F.lit(False))
+        prune = F.lit(False) if self.prune is None else self.prune if isinstance(self.prune, Column) else tested(self.df, self.prune)
+        p = F.coalesce(prune, F.lit(False))
         return replace(self, df=self.df.where(~p)), self.df.where(p)
 
     def purge(self) -> Store:
@@ -150,6 +152,13 @@ class Index:
             return first.select("_row.*")
         return df
 
+    def folded(self, merger: Callable[[dict, dict], dict]) -> DataFrame:
+        """One row for each key: ``merger(new, kept)`` over its rows in order of arrival, from the first on.  The merger is any Python function of two rows."""
+        df = self._rows()
+        kind = df.schema.simpleString()
+        step = lambda kept, new: new if kept is None else merger(new, kept)
+        return mergers.fold(df, self.key, self.store.row_id, F.struct(*df.columns), None, step, kind).select("merged.*")
+
     def _key(self) -> Column:
         return F.col("key") if self.merge else self.key
 
@@ -276,12 +285,6 @@ class IndexGroup:
         return out.distinct() if distinct else out
 
 
-def fold(df: DataFrame, key: Expr, order: str, value: str, start: Column, step) -> DataFrame:
-    """An arbitrary merge in arrival order: step(kept, new value).  A key's values must fit into one task."""
-    kept = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    return df.groupBy(column(key).alias("key")).agg(F.aggregate(kept, start, step).alias("merged"))
-
-
 def multi_index_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(key_name, key_value, n) for several keys in one scan and one shuffle."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(k).cast("string").alias("key_value")) for k in keys])).alias("x")
