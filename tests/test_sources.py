@@ -1,7 +1,9 @@
 import io
+import os
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import packets
 from tidemark.operators import dns, flows, intervals
 from tidemark.sources import archive, captures, flow_csv
+from tidemark.streaming import conversations as talks
 from tidemark.streaming import intervals as live
 
 
@@ -144,7 +147,7 @@ def test_conversations(spark, tmp_path, way):
     if way == "batch":
         events = flows.conversations(keyed).collect()
     else:
-        events = live.drain(live.conversations(keyed.withColumn("ts", F.timestamp_micros("ts_us")), "ts"), str(tmp_path / "out")).collect()
+        events = live.drain(talks.conversations(keyed.withColumn("ts", F.timestamp_micros("ts_us")), "ts"), str(tmp_path / "out")).collect()
     assert [e.reason for e in events if e.kind == "end"] == ["FIN"] and sum(e.kind == "start" for e in events) == 1
     first = next(e.direction for e in events if e.kind == "start")
     for side in (0, 1):
@@ -152,6 +155,31 @@ def test_conversations(spark, tmp_path, way):
         assert b"".join(d for _, d in data) == text[side]
 
 
+def test_conversations_over_batches(spark, tmp_path):
+    """Packets of several conversations dealt to many micro-batches: the same events as in batch, data that waits over batches, and a timeout of what idles."""
+    whole, lost = talk(3)[0], talk(5, loss=True)[0]
+    swap = lambda p, n: p[:26] + bytes([10, 0, 0, n]) + p[30:]  # noqa: E731  another first address
+    rows = [(1_700_000_000_000_000 + i * 1000, p) for i, p in enumerate(whole)] + [(1_700_000_000_000_500 + i * 1000, swap(p, 9) if p[26:30] == A else p[:30] + bytes([10, 0, 0, 9]) + p[34:]) for i, p in enumerate(lost)]
+    rows += [(1_700_000_000_000_700, tcp(A, B, 7, 80, 5, 0, 2)), (1_700_000_060_000_000, tcp(B, A, 9, 80, 5, 0, 2))]
+    rows.sort()
+    (tmp_path / "in").mkdir()
+    for i in range(0, len(rows), 40):
+        (tmp_path / "in" / f"{i:04d}.pcap").write_bytes(captures.dump(rows[i : i + 40]))
+        os.utime(tmp_path / "in" / f"{i:04d}.pcap", (10**9 + i, 10**9 + i))  # a stream takes the oldest file first
+    batch = flows.conversations(flows.keyed(captures.read(spark, str(tmp_path / "in")).withColumn("sig", packets.parse()("packet")).withColumn("record", F.col("ts_us")))).collect()
+    keyed = flows.keyed(captures.stream(spark, str(tmp_path / "in"), files_a_trigger=1).withColumn("sig", packets.parse()("packet")).withColumn("record", F.col("ts_us")))
+    stream = live.drain(talks.conversations(keyed.withColumn("ts", F.timestamp_micros("ts_us")), "ts"), str(tmp_path / "out")).collect()
+    last = {e.conversation for e in batch if e.ts_us >= 1_700_000_060_000_000}  # begins at the end of the input: only batch says that it idles
+    plain = lambda es: sorted((e.conversation, e.ts_us, e.kind, e.offset if e.offset is not None else -1, bytes(e.data or b""), e.reason or "") for e in es if e.conversation not in last)
+    assert plain(stream) == plain(batch) and {e.reason for e in stream if e.kind == "end"} == {"FIN", "MISSING_PACKET", "TIMEOUT"}
+
+
+def test_chunks_in_order():
+    chunk = lambda *ts: pd.DataFrame({"ts_us": ts, "order": 0})
+    got = [c["ts_us"].tolist() for c in talks.in_order(iter([chunk(2, 1), chunk(), chunk(3, 5), chunk(4), chunk(9)]))]
+    assert got == [[1, 2], [3, 4, 5], [9]]
+
+
 def test_endings():
     c = flows.Conversation("x")
     assert [e[1] for e in c.packet(0, 0, 1, 0, 2, b"")] == ["start"]

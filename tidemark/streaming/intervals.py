@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import pickle
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.stats import entropy_of
-from tidemark.operators.flows import EVENTS, IDLE_US, Conversation
 
 
 def counts(df: DataFrame, ts: str, key: str, seconds: int, late: str) -> DataFrame:
@@ -39,28 +34,6 @@ def first_of_key(df: DataFrame, ts: str, keys: list[str], late: str) -> DataFram
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def conversations(packets: DataFrame, ts: str, late: str = "10 seconds") -> DataFrame:
-    """Events of ``flows.keyed`` rows with an event time ``ts``: the batch state machine, kept between micro-batches.
-
-    A conversation that idles past the timeout by event time ends with TIMEOUT and its state goes."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        talk = pickle.loads(state.get[0]) if state.exists else Conversation(key[0])
-        out = []
-        if state.hasTimedOut:
-            out = talk.expire()
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts_us", "order"], kind="stable")
-            for us, direction, seq, ack, flags, data in zip(*(rows[c] for c in ("ts_us", "direction", "seq", "ack", "flags", "data")), strict=True):
-                out += talk.packet(int(us), int(direction), int(seq), int(ack), int(flags), bytes(data))
-            state.update((pickle.dumps(talk),))
-            state.setTimeoutTimestamp(max((talk.last_us + IDLE_US) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"direction": "Int32", "offset": "Int64"})
-
-    return packets.withWatermark(ts, late).groupBy("conversation").applyInPandasWithState(run, EVENTS, "talk binary", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def retain(df: DataFrame, ts: str, seconds: int, keep: int, folder: str) -> DataStreamWriter:
     """A sink that keeps the rows of the last ``keep`` intervals of ``seconds``, by event time: start it as any stream writer.
 
