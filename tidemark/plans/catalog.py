@@ -627,6 +627,43 @@ def packet_flows(spark, sf_dir):
     return flows.keyed(s).groupBy(F.substring("conversation", 1, 8).alias("low")).agg(F.count("*").alias("n"))
 
 
+def _talks(spark, sf_dir):
+    """Packets of a TCP conversation for each customer: opening, the numbers of the orders, each acknowledged, and one of four endings; of every fourth customer the second order is lost."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("body"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("k"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
+    c, k, n = F.col("c"), F.col("k"), F.col("n")
+
+    def packet(ms, client: bool, seq, ack, flags: int, body=None):
+        ends = [F.concat(_hex(c, 8), F.lit("FF000001")), F.lit("04000050")] if client else [F.concat(F.lit("FF000001"), _hex(c, 8)), F.lit("00500400")]
+        data = F.hex(body) if body is not None else F.lit("")
+        size = (F.length(data) / 2).cast("long") + 40
+        ip = F.concat(F.lit("4500"), _hex(size, 4), F.lit("0000000040060000"), ends[0])
+        tcp = F.concat(ends[1], _hex(seq, 8), _hex(ack, 8), F.lit(f"50{flags:02X}FFFF00000000"))
+        bytes_ = F.unhex(F.concat(F.lit("0200000000010200000000020800"), ip, tcp, data))
+        return F.struct((c * 1_000_000_000 + ms * 1000).cast("long").alias("ts_us"), bytes_.alias("packet"))
+
+    zero, sent = F.lit(0), 1 + 8 * k
+    opening = F.array(packet(zero, True, zero, zero, 2), packet(F.lit(1), False, zero, F.lit(1), 18))
+    data = packet(10 * k, True, sent - 8, F.lit(1), 24, F.col("body"))
+    ack = packet(10 * k + 5, False, F.lit(1), sent, 16)
+    lost = (c % 4 == 3) & (k == 2)
+    fin = F.array(packet(10 * n + 10, True, sent, F.lit(1), 17), packet(10 * n + 11, False, F.lit(1), sent + 1, 17), packet(10 * n + 12, True, sent + 1, F.lit(2), 16))
+    none = F.array().cast("array<struct<ts_us: long, packet: binary>>")
+    ending = F.when(k < n, none).when(c % 4 == 0, fin).when(c % 4 == 1, F.array(packet(10 * n + 10, True, sent, F.lit(1), 4))).otherwise(none)
+    rows = o.select("c", F.explode(F.concat(F.when(k == 1, opening).otherwise(none), F.when(lost, F.array(ack)).otherwise(F.array(data, ack)), ending)).alias("p"))
+    return rows.select("c", "p.ts_us", F.col("p.ts_us").alias("record"), packets.parse()("p.packet").alias("sig"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT c AS customer, CAST(1 AS BIGINT) AS starts, CASE WHEN c % 4 = 3 AND n > 1 THEN 1 ELSE n END AS n_data, string_agg(body, '' ORDER BY k) FILTER (c % 4 <> 3 OR k = 1) AS data,
+  CASE WHEN c % 4 = 0 THEN 'FIN' WHEN c % 4 = 1 THEN 'RST' WHEN c % 4 = 3 AND n > 1 THEN 'MISSING_PACKET' ELSE 'TIMEOUT' END AS reason FROM o GROUP BY c, n""")
+def conversation_events(spark, sf_dir):
+    events = flows.conversations(flows.keyed(_talks(spark, sf_dir)))
+    number = F.conv(F.substring("conversation", 1, 8), 16, 10).cast("long")
+    data = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "data", F.struct("offset", F.decode("data", "UTF-8").alias("d"))))), lambda x: x["d"]), "")
+    counted = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    return events.groupBy(number.alias("customer")).agg(counted("start").alias("starts"), counted("data").alias("n_data"), data.alias("data"), F.max("reason").alias("reason"))
+
+
 def _name_packets(spark, sf_dir):
     """A datagram for each page, a minute apart: of ten, six ask for its host, two answer, one is no name query, and one goes to another port."""
     p = t(spark, sf_dir, "pages").select("page_id", stats.host("url").alias("host")).where("host != ''")
