@@ -93,6 +93,42 @@ def test_captures(spark, tmp_path):
         list(captures.packets(io.BytesIO(b"x" * 30)))
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_split_and_damaged_captures(spark, tmp_path, order, monkeypatch):
+    """A capture cut into many parts gives each record once, also where packets hold captures; damage is told and stepped over."""
+    rng = np.random.default_rng(2)
+    inner = captures.dump([(i, bytes(20)) for i in range(60)])[24:]
+    bodies = [inner[: int(rng.integers(1, len(inner)))] if rng.random() < 0.3 else bytes(rng.integers(0, 256, int(rng.integers(0, 900))).tolist()) for _ in range(400)]
+    rows = [(1_700_000_000_000_000 + i * 777, b) for i, b in enumerate(bodies)]
+    head = struct.pack(f"{order}IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 4000, 1)
+    parts = [struct.pack(f"{order}IIII", us // 10**6, us % 10**6, len(b), len(b)) + b for us, b in rows]
+    whole = head + b"".join(parts)
+    monkeypatch.setattr(captures.Bytes, "STEP", 5000)
+    want = list(captures.packets(io.BytesIO(whole)))
+    assert [(r[1], r[4]) for r in want] == rows and not list(captures.damage(io.BytesIO(whole)))
+    for n in (2, 7, 60):
+        cuts = [len(whole) * i // n for i in range(n + 1)]
+        assert [r for a, b in zip(cuts, cuts[1:]) for r in captures.packets(io.BytesIO(whole), a, b)] == want
+    starts = np.cumsum([24, *map(len, parts)])
+    bad = bytearray(whole)
+    bad[starts[50] + 8 : starts[50] + 12] = b"\xff" * 4  # a length
+    bad[starts[200] : starts[203] + 16] = b"\xee" * int(starts[203] + 16 - starts[200])  # over borders
+    bad = bytes(bad[:-7])  # cut
+    got = [(r[0], r[1]) for r in captures.packets(io.BytesIO(bad))]
+    assert got == [(int(starts[i]), rows[i][0]) for i in range(399) if i not in (50, 200, 201, 202, 203)]
+    lost = list(captures.damage(io.BytesIO(bad)))
+    assert lost == [(starts[50], len(parts[50])), (starts[200], starts[204] - starts[200]), (starts[399], len(bad) - starts[399])]
+    cuts = [len(bad) * i // 13 for i in range(14)]
+    both = [captures.packets, captures.damage]
+    assert all([r for a, b in zip(cuts, cuts[1:]) for r in f(io.BytesIO(bad), a, b)] == list(f(io.BytesIO(bad))) for f in both)
+    (tmp_path / "bad.pcap").write_bytes(bad)
+    spark.dataSource.register(captures.CaptureSource)
+    load = lambda kind: spark.read.format("capture").option("kind", kind).option("split", len(bad) // 7 + 1).load(f"file://{tmp_path}/bad.pcap")
+    assert load("packets").rdd.getNumPartitions() == 7 and sorted((r.record, r.ts_us) for r in load("packets").collect()) == got
+    assert sorted((r.offset, r.length) for r in load("damage").collect()) == lost
+    assert captures.read(spark, str(tmp_path), "damage").count() == 3
+
+
 def test_flow_export(spark, tmp_path):
     rec = struct.pack(">IIIHHIIIIHHBBBBHHBBH", 1, 2, 0, 0, 0, 9, 900, 100, 400, 40000, 53, 0, 2, 17, 0, 64500, 64501, 0, 0, 0)
     (tmp_path / "f").write_bytes((struct.pack(">HHIIIIBBH", 5, 2, 0, 1700, 0, 0, 0, 0, 0) + rec * 2) * 2)
