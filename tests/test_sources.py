@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import packets
+from tidemark.functions import filters, packets
 from tidemark.operators import dns, flows, intervals
 from tidemark.sources import archive, captures, flow_csv
 from tidemark.streaming import conversations as talks
@@ -76,6 +76,32 @@ def test_checksum():
     assert total == 0xFFFF
 
 
+def test_checksums_of_batches():
+    rng = np.random.default_rng(4)
+    good = [tcp(A, B, int(rng.integers(1, 9999)), 80, int(rng.integers(0, 2**32)), 6, 0x18, bytes(rng.integers(0, 256, int(rng.integers(0, 40))).tolist()), b"pad" * int(rng.integers(0, 2))) for _ in range(50)]
+    six = b"\2" * 12 + b"\x86\xdd" + struct.pack(">IHBB", 6 << 28, 25, 6, 64) + bytes(15) + b"\1" + bytes(15) + b"\2"
+    seg = struct.pack(">HHIIBBHHH", 1, 2, 3, 4, 5 << 4, 16, 9, 0, 0) + b"hello"
+    six += seg[:16] + struct.pack(">H", packets.tcp_checksum(bytes(15) + b"\1", bytes(15) + b"\2", seg)) + seg[18:]
+    tagged = good[0][:12] + b"\x81\0\0\x05" + good[0][12:]
+    bad = [g[:-1] + bytes([g[-1] ^ 1]) for g in (good[0][:54] + b"z", tcp(A, B, 1, 2, 3, 4, 16, b"abc"))]
+    column = pa.array([*good, six, tagged, bad[1], None, udp_dns([b"a"]), b"x", good[3]], pa.binary())
+    assert packets.checksums(column).to_pylist() == [True] * 52 + [False, None, None, None, True]
+    assert packets.checksums(column[5:9]).to_pylist() == [True] * 4 and packets.checksums(column[:0]).to_pylist() == []
+
+
+def test_filter_expressions(spark):
+    names = {"tcp": tcp(A, B, 1000, 80, 5, 6, 0x18, b"x"), "dns": udp_dns([b"a"]), "cut": b"\0" * 20, "none": None}
+    df = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in names.items()], "name string, packet binary")
+    met = lambda e: {r.name for r in filters.matching(df, e).collect()}
+    assert met("") == set(names) and met("tcp") == {"tcp"} and met("udp port 53 or host 10.0.0.2") == {"tcp", "dns"}
+    assert met("not (tcp or udp)") == {"cut", "none"} and met("src host 10.0.0.2") == set() and met("dst net 10.0.0.0/30 and src portrange 999-1001") == {"tcp"}
+    assert met("vlan") == met("vlan 5") == {"dns"} and met("vlan 6") == set() and met("less 20") == {"cut"} and met("ip and not vlan") == {"tcp"} and met("net ::/0") == set()
+    assert met(lambda f: f.port(80) & ~f.host("10.0.0.9")) == {"tcp"} and met("tcp or udp and port 99") == {"tcp"}
+    for wrong in ("host", "port 80 port 81", "(tcp", "colour red", "tcp and"):
+        with pytest.raises(ValueError):
+            filters.Filter().expression(wrong)
+
+
 def test_captures(spark, tmp_path):
     rows = [(i * 1_500_000, bytes([i]) * i) for i in range(20)]
     (tmp_path / "a.pcap").write_bytes(captures.dump(rows))

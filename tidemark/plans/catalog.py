@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions import packets, stats
+from tidemark.functions import filters, packets, stats
 from tidemark.operators import anomaly, dns, flows, intervals, mergers, segments
 from tidemark.operators.nearest import nearest
 from tidemark.plans.database import Database
@@ -627,6 +628,42 @@ def packet_flows(spark, sf_dir):
     return flows.keyed(s).groupBy(F.substring("conversation", 1, 8).alias("low")).agg(F.count("*").alias("n"))
 
 
+FILTERS = {
+    "tcp and dst port 80 and src net 0.0.0.0/27": "l_suppkey < 32",
+    "host 0.0.0.7": "l_suppkey = 7 OR l_partkey = 7",
+    "not portrange 1024-1027": "l_linenumber > 3",
+    "udp or (tcp src port 1025 and not dst net 0.0.1.0/24)": "l_linenumber = 1 AND (l_partkey < 256 OR l_partkey > 511)",
+    "!(src host 0.0.0.5 || vlan) && greater 64": "l_suppkey <> 5 AND length(CAST(l_orderkey AS VARCHAR)) >= 4",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS filter, l_orderkey, l_linenumber, 'order ' || l_orderkey AS payload FROM lineitem WHERE {w}" for f, w in FILTERS.items()))
+def packet_filters(spark, sf_dir):
+    parts = [filters.matching(_packets(spark, sf_dir), f).select(F.lit(f).alias("filter"), "l_orderkey", "l_linenumber", F.decode("sig.rest", "UTF-8").alias("payload")) for f in FILTERS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query("""WITH w AS (SELECT *, 'order ' || l_orderkey AS body, 20 + length('order ' || l_orderkey) AS size FROM lineitem),
+b AS (SELECT *, list_transform(string_split(body || CASE WHEN length(body) % 2 = 1 THEN chr(1) ELSE '' END, ''), lambda x: CASE WHEN x = chr(1) THEN 0 ELSE ascii(x) END) AS bytes FROM w),
+s AS (SELECT *, (l_suppkey >> 16) + (l_suppkey & 65535) + (l_partkey >> 16) + (l_partkey & 65535) + 6 + size + 1024 + l_linenumber + 80 + (l_orderkey >> 16) + (l_orderkey & 65535) + l_linenumber + 20504 + 65535
+  + CAST(list_sum(list_transform(bytes, lambda x, i: x * CASE WHEN i % 2 = 1 THEN 256 ELSE 1 END)) AS BIGINT) AS total FROM b),
+f AS (SELECT *, (total & 65535) + (total >> 16) AS once FROM s)
+SELECT l_orderkey, l_linenumber, (once & 65535) + (once >> 16) = 65535 AS right_as_sent, (65535 - ((once & 65535) + (once >> 16))) % 65535 AS short_by FROM f""")
+def packet_checksums(spark, sf_dir):
+    """Packets whose checksum field is 0: whether that is right, and what it should be."""
+    s = _packets(spark, sf_dir).withColumn("sig", packets.parse()("packet"))
+    right = s.withColumn("ok", packets.checksum_right("packet"))
+
+    @F.pandas_udf("long")
+    def due(src: pd.Series, dst: pd.Series, packet: pd.Series) -> pd.Series:
+        return pd.Series([packets.tcp_checksum(a, b, p[34:]) for a, b, p in zip(src, dst, packet, strict=True)])
+
+    return right.select("l_orderkey", "l_linenumber", F.col("ok").alias("right_as_sent"), (due("sig.src", "sig.dst", "packet") % 65535).alias("short_by"))
+
+
 def _talks(spark, sf_dir):
     """Packets of a TCP conversation for each customer: opening, the numbers of the orders, each acknowledged, and one of four endings; of every fourth customer the second order is lost."""
     o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("body"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("k"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
