@@ -13,6 +13,7 @@ from tidemark.operators import dns, flows, intervals
 from tidemark.sources import archive, captures, flow_csv
 from tidemark.streaming import conversations as talks
 from tidemark.streaming import intervals as live
+from tidemark.streaming import late as lates
 
 
 def tcp(a, b, sport, dport, seq, ack, flags, data=b"", pad=b""):
@@ -304,6 +305,24 @@ def test_flow_records(spark, tmp_path):
     assert got.agg(F.sum("length")).first()[0] == 490
 
 
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    """Late rows are counted and kept; what was read of closed intervals stays, also where a batch is repeated."""
+    batches = [[(1, 100), (2, 3700), (3, 3500)], [(4, 7300), (5, 3590), (6, 3000), (7, None)], [(8, 200), (9, 7100), (10, 15_000)], [(11, 7250), (12, 14_500), (13, 14_999)]]
+    schema = spark.createDataFrame([], "id int, ts timestamp").schema
+    at, seen = str(tmp_path / "out"), []
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "id int, s long").select("id", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        for _ in range(2):  # the second run finds nothing new
+            lates.apart(stream, "ts", 3600, 300, at).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        seen.append({r.id: r.interval for r in lates.closed(spark, at, schema, 3600, 300).collect()})
+    assert seen == [{}, {1: 0, 3: 0, 5: 0}, {1: 0, 3: 0, 5: 0, 2: 1, 9: 1, 4: 2}, {1: 0, 3: 0, 5: 0, 2: 1, 9: 1, 4: 2}]
+    found = lates.late(spark, at, schema)
+    assert {r.id: r.interval for r in found.collect()} == {6: 0, 8: 0, 11: 2, 12: 4} and {r["interval"]: r["count"] for r in found.groupBy("interval").count().collect()} == {0: 2, 2: 1, 4: 1}
+    assert set(seen[-1]) == {1, 2, 3, 4, 5, 9}
+
+
 def test_retention(spark, tmp_path):
     """Rows arrive in three batches; only the last three hours stay, whichever batch brought them."""
     schema = "id int, ts timestamp"
