@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import filters, packets
 from tidemark.operators import dns, flows, intervals
-from tidemark.sources import archive, captures, flow_csv
+from tidemark.sources import archive, captures, flow_csv, synthetic
 from tidemark.streaming import conversations as talks
 from tidemark.streaming import intervals as live
 from tidemark.streaming import late as lates
@@ -305,6 +305,16 @@ def test_flow_records(spark, tmp_path):
     assert got.agg(F.sum("length")).first()[0] == 490
 
 
+def test_carried_numbers(spark):
+    x, want = 99, []
+    for _ in range(500):
+        x = 0xFFFFDA61 * (x & 0xFFFFFFFF) + (x >> 32)
+        want.append(struct.unpack("<i", struct.pack("<I", x & 0xFFFFFFFF))[0])
+    df = spark.createDataFrame([(n,) for n in [*range(500), 3, None, -1]], "n long").repartition(3)
+    assert all(r.v == (want[r.n] if r.n is not None and r.n >= 0 else None) for r in df.select("n", synthetic.carried(F.col("n"), 99).alias("v")).collect())
+    assert synthetic.numbers(spark, 50).count() == 50
+
+
 def test_late_rows_are_kept_apart(spark, tmp_path):
     """Late rows are counted and kept; what was read of closed intervals stays, also where a batch is repeated."""
     batches = [[(1, 100), (2, 3700), (3, 3500)], [(4, 7300), (5, 3590), (6, 3000), (7, None)], [(8, 200), (9, 7100), (10, 15_000)], [(11, 7250), (12, 14_500), (13, 14_999)]]

@@ -314,9 +314,16 @@ def duration_key(spark, sf_dir):
     return Store(spans, "user_id").index(F.col("last") - F.col("first")).gt(86_400_000_000, ordered=False).select("user_id", (F.col("last") - F.col("first")).alias("duration_us"), "n")
 
 
-@query("WITH a AS (SELECT range AS id, ((range * 1103515245 + 7 * 12345) % 2147483648 * 1103515245 + 12345) % 2147483648 AS x FROM range(5000)) SELECT id, (x >> 8) % 1000 AS value FROM a")
+@query("WITH a AS (SELECT event_id, ((event_id * 1103515245 + 7 * 12345) % 2147483648 * 1103515245 + 12345) % 2147483648 AS x FROM events) SELECT event_id, (x >> 8) % 1000 AS value FROM a")
 def synthetic_numbers(spark, sf_dir):
-    return synthetic.numbers(spark, 5000, 7)
+    return t(spark, sf_dir, "events").select("event_id", synthetic.number(F.col("event_id"), 7).alias("value"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT CAST(-1 AS BIGINT) AS i, CAST(4711 AS HUGEINT) AS x UNION ALL SELECT i + 1, CAST(4294957665 AS HUGEINT) * (x % 4294967296) + x // 4294967296 FROM r WHERE i < (SELECT max(user_id) FROM events))
+SELECT event_id, CAST(CASE WHEN x % 4294967296 >= 2147483648 THEN x % 4294967296 - 4294967296 ELSE x % 4294967296 END AS INTEGER) AS value FROM events JOIN r ON r.i = user_id""")
+def carried_numbers(spark, sf_dir):
+    """The number of each event's user in a sequence from a seed."""
+    return t(spark, sf_dir, "events").select("event_id", synthetic.carried(F.col("user_id"), 4711).alias("value"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE NOT coalesce(event_type = 'error', false)")
