@@ -10,8 +10,8 @@
    captures, or with captures that look the same, is spread.  The shuffle gives a range its runs one after the other, each in its order;
    a loser tree with one cursor in each run merges them.  The result is globally ordered across partitions.
 
-Defined cases: a null payload is empty; a null url has an empty key; a null id comes first among captures of one time; repeated rows are written once each, and of equal
-ids one is the response and the others refer to the same id; captures that are equal in key, time and id are in the order of their place in the
+Defined cases: a null payload is empty; a null url has an empty key; a null id comes first among captures of one time, and is
+a revisit where an equal payload has an id (without any, all are responses); repeated rows are written once each, and rows that repeat the largest id are responses all; captures that are equal in key, time and id are in the order of their place in the
 archives; an empty table gives an empty index; columns other than the named ones are not read.
 """
 
@@ -68,7 +68,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     html = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), when.alias("ts"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     newest = pages.select(F.col(id_col).cast("long").alias("id"), html.alias("html")).where(F.octet_length("html") >= least_bytes).groupBy(F.sha1(F.col("html").cast("binary")).alias("digest")).agg(F.max("id").alias("top"), F.count("*").alias("k")).where("k > 1").select("digest", "top")
-    told = spread_join(rows, newest, ["digest"], ["id", "url"]).select("id", "url", "ts", "html", "digest", F.when(F.col("top") != F.col("id"), F.col("top")).alias("refers"))
+    told = spread_join(rows, newest, ["digest"], ["id", "url"]).select("id", "url", "ts", "html", "digest", F.when(~F.col("top").eqNullSafe(F.col("id")), F.col("top")).alias("refers"))
     told.mapInArrow(_records, "value string").write.option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
