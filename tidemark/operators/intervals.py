@@ -150,12 +150,20 @@ def rebase(df: DataFrame, file: str, ts: str, order: str, gap_seconds: int = 1)
     return df.join(start, F.col(file).eqNullSafe(F.col("_file"))).select(*df.columns, (micros(ts) - F.col("_lo") + F.col("_start")).alias("offset_us"))
 
 
+def _sources(parts: Sequence[DataFrame]) -> DataFrame:
+    if not parts:
+        raise ValueError("nothing to merge")
+    out = parts[0].withColumn("source", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.withColumn("source", F.lit(i)))
+    return out
+
+
 def merge_sorted(parts: Sequence[DataFrame], ts: str, order: str) -> DataFrame:
     """An ordered merge of sources: by time, then by the number of the source, then in each source's own order.  One range shuffle."""
-    out = None
-    for i, p in enumerate(parts):
-        part = p.withColumn("source", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("nothing to merge")
-    return out.orderBy(ts, "source", order)
+    return _sources(parts).orderBy(ts, "source", order)
+
+
+def merge_positions(parts: Sequence[DataFrame], ts: str, order: str) -> DataFrame:
+    """The rows of ``merge_sorted``, in no order, with their ``position`` in it from 1 on."""
+    return running(_sources(parts), [ts, "source", order], {"position": F.lit(1).cast("long")})

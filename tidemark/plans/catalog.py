@@ -16,8 +16,9 @@ from tidemark.operators.nearest import nearest
 from tidemark.plans.database import Database
 from tidemark.plans.session import shared_dir
 from tidemark.plans.store import IndexGroup, Store, lookup_join, multi_index_count
-from tidemark.sources import archive, interval_files, synthetic
+from tidemark.sources import archive, captures, flow_csv, interval_files, synthetic
 from tidemark.streaming import intervals as live
+from tidemark.streaming import late
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,6 +266,50 @@ def merge_first(spark, sf_dir):
     return _first(intervals.merge_sorted([e.where(F.col("event_type") == k) for k in ("error", "signup")], "ts", "event_id"), 100, "event_id", "event_type", "ts")
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY value NULLS FIRST, event_id) AS position FROM events")
+def order_positions(spark, sf_dir):
+    """Every row's place in index order."""
+    return events(spark, sf_dir).index("value").positions().select("event_id", "position")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END, event_id) AS position FROM events WHERE event_type IN ('error', 'signup', 'view')")
+def merge_positions(spark, sf_dir):
+    """Every row's place in the merge of three sources by time."""
+    e = t(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return intervals.merge_positions([e.where(F.col("event_type") == k) for k in ("error", "signup", "view")], "ts", "event_id").select("event_id", "position")
+
+
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY event_id DESC) AS position FROM events QUALIFY position <= 100")
+def scan_newest_first(spark, sf_dir):
+    return _first(events(spark, sf_dir).scan(newest_first=True), 100, "event_id", "event_type")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_id IN (0, 17, 411)")
+def get_at(spark, sf_dir):
+    s = events(spark, sf_dir)
+    return s.get_at(0).union(s.get_at(17)).union(s.get_at(411)).select("event_id", "event_type", "value")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_id >= 300 AND value > 20 GROUP BY event_type")
+def index_of_later_rows(spark, sf_dir):
+    """An index that does not take what was there before it."""
+    e = t(spark, sf_dir, "events")
+    d = Database(Store(e.where("event_id < 300"), "event_id"))
+    d.create_index("later", "value", populate=False)
+    d.add(e.where("event_id >= 300"))
+    return d.gt("later", 20).store.df.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT event_id, event_type FROM events WHERE value > 60")
+def group_tree_distinct(spark, sf_dir):
+    """A group in a group, one member deleted, each row once."""
+    s = events(spark, sf_dir)
+    by_value, by_time, by_type = s.index("value"), s.index("ts"), s.index("event_type")
+    g = IndexGroup(by_value, IndexGroup(by_time, by_type))
+    g.delete(by_type.luid)
+    return g.query("value > 60", distinct=True).select("event_id", "event_type")
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_type LIKE 'si%' OR event_type LIKE 'p%'")
 def query_prefix(spark, sf_dir):
     i = events(spark, sf_dir).index("event_type")
@@ -708,6 +753,44 @@ def conversation_events(spark, sf_dir):
     return events.groupBy(number.alias("customer")).agg(counted("start").alias("starts"), counted("data").alias("n_data"), data.alias("data"), F.max("reason").alias("reason"))
 
 
+@query("""WITH o AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT c, CASE WHEN c % 4 = 3 AND n > 1 THEN 1 ELSE n END AS n_data, CASE WHEN c % 4 = 0 THEN 256 WHEN c % 4 = 1 THEN 257 WHEN c % 4 = 3 AND n > 1 THEN 259 ELSE 258 END AS code FROM o)
+SELECT 4 AS code, count(*) AS n, CAST(NULL AS BIGINT) AS bytes FROM e UNION ALL SELECT 1, CAST(sum(n_data) AS BIGINT), CAST(8 * sum(n_data) AS BIGINT) FROM e UNION ALL SELECT code, count(*), NULL FROM e GROUP BY code""")
+def flow_records(spark, sf_dir):
+    """Typed records of starts, data and ends, written and read back."""
+    folder = f"{shared_dir(spark)}/flows-{uuid.uuid4().hex}"
+    flows.write(flows.conversations(flows.keyed(_talks(spark, sf_dir))), folder)
+    return spark.read.parquet(folder).groupBy("code").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1)
+SELECT c AS customer, CAST(2 AS BIGINT) AS syn, CAST(CASE WHEN c % 4 = 0 THEN 2 ELSE 0 END AS BIGINT) AS fin, CAST(CASE WHEN c % 4 = 1 THEN 1 ELSE 0 END AS BIGINT) AS rst,
+  CAST(1 + 2 * n - CASE WHEN c % 4 = 3 AND n > 1 THEN 1 ELSE 0 END + CASE WHEN c % 4 = 0 THEN 3 ELSE 0 END AS BIGINT) AS ack FROM o""")
+def packet_flags(spark, sf_dir):
+    counted = lambda name: F.count(F.when(packets.has_flag(F.col("sig.flags"), name), 1)).alias(name.lower())
+    return _talks(spark, sf_dir).groupBy(F.col("c").alias("customer")).agg(*map(counted, ("SYN", "FIN", "RST", "ACK")))
+
+
+@query("SELECT l_orderkey AS seq, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines, CAST(count(*) * length('order ' || l_orderkey) AS BIGINT) AS bytes, min(l_orderkey * 1000 + l_linenumber) AS first_us FROM lineitem GROUP BY l_orderkey")
+def capture_round_trip(spark, sf_dir):
+    """Packets written as captures and read back."""
+    folder = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    captures.write(_packets(spark, sf_dir).withColumn("ts_us", F.col("l_orderkey") * 1000 + F.col("l_linenumber")), folder)
+    s = captures.read(spark, folder).withColumn("sig", packets.parse()("packet"))
+    return s.groupBy(F.col("sig.seq").alias("seq")).agg(F.count("*").alias("n"), F.sum(F.col("sig.sport") - 1024).alias("lines"), F.sum(F.octet_length("sig.rest")).alias("bytes"), F.min("ts_us").alias("first_us"))
+
+
+@query("""SELECT o_orderkey AS conn, CASE WHEN o_custkey % 7 < 4 THEN CAST(167772160 + o_custkey % 256 AS BIGINT) END AS a_addr, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS bytes_a2b, CASE WHEN o_orderkey % 5 <> 0 THEN 3 END AS syns_a2b, o_orderkey % 5 <> 0 AS valid FROM orders""")
+def flow_csv_round_trip(spark, sf_dir):
+    """Lines of flow statistics, some of them cut or with bad addresses, written and parsed."""
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    address = F.concat(F.when(c % 7 < 4, "10").otherwise("310"), F.lit(".0.0."), (c % 256).cast("string"))
+    head = F.concat_ws(",", o, address, F.lit("10.0.0.1,80,81,1.5,2.5"), *[F.lit(str(i)) for i in range(7, 12)])
+    rest = F.concat_ws(",", *[c.cast("string") if i == 25 else F.lit(str(i)) for i in range(12, 39)], F.lit("3/1"), F.lit("2/2"))
+    t(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 5 == 0, head).otherwise(F.concat_ws(",", head, rest)).alias("value")).write.text(folder)
+    return flow_csv.read(spark, folder).select("conn", "a_addr", "bytes_a2b", "syns_a2b", "valid")
+
+
 def _name_packets(spark, sf_dir):
     """A datagram for each page, a minute apart: of ten, six ask for its host, two answer, one is no name query, and one goes to another port."""
     p = t(spark, sf_dir, "pages").select("page_id", stats.host("url").alias("host")).where("host != ''")
@@ -779,3 +862,24 @@ def stream_sessions(spark, sf_dir):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_of_key(spark, sf_dir):
     return live.drain(live.first_of_key(_live(spark, sf_dir), "ts", ["user_id", "event_type"], "40 days").select("user_id", "event_type"), shared_dir(spark))
+
+
+DAY = "epoch_us(ts) // 86400000000"
+
+
+@query(f"SELECT {DAY} AS interval, count(*) AS n FROM events WHERE {DAY} > (SELECT max({DAY}) FROM events) - 5 GROUP BY 1")
+def stream_retained(spark, sf_dir):
+    """A sink that keeps the last five days."""
+    at = f"{shared_dir(spark)}/retained-{uuid.uuid4().hex}"
+    df = _live(spark, sf_dir)
+    live.retain(df, "ts", 86_400, 5, f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return live.retained(spark, f"{at}/rows", df.schema).groupBy("interval").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {DAY} AS interval, count(*) AS n FROM events WHERE ({DAY} + 1) * 86400000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000 GROUP BY 1")
+def stream_closed(spark, sf_dir):
+    """Rows of the days that the watermark has closed; late rows would be apart."""
+    at = f"{shared_dir(spark)}/closed-{uuid.uuid4().hex}"
+    df = _live(spark, sf_dir)
+    late.apart(df, "ts", 86_400, 3600, f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return late.closed(spark, f"{at}/rows", df.schema, 86_400, 3600).groupBy("interval").agg(F.count("*").alias("n"))

@@ -169,6 +169,13 @@ class Index:
     def ordered(self, reverse: bool = False) -> DataFrame:
         return self.rows().orderBy(*self._order(self.descending != reverse))
 
+    def positions(self) -> DataFrame:
+        """All rows with their ``position`` in index order, from 1 on; every row's, without a task that sees all."""
+        if self.merge or self.newest_first or self.descending:
+            raise ValueError("positions are those of rows in ascending order")
+        found = scans.running(self.rows().withColumn("_key", self.key), ["_key", self.store.row_id], {"position": F.lit(1).cast("long")})
+        return found.drop("_key")
+
     def _found(self, condition: Column, down: bool, ordered: bool) -> DataFrame:
         df = self.rows().where(condition)
         return df.orderBy(*self._order(down)) if ordered else df

@@ -51,6 +51,10 @@ def retain(df: DataFrame, ts: str, seconds: int, keep: int, folder: str) -> Data
         for p, i in number_of.items():
             if i <= max(number_of.values()) - keep:
                 store.delete(found[p], True)
+        # Batches that have no interval left go too, so that later batches do not list them.
+        for b in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*")):
+            if not store.globStatus(jvm.org.apache.hadoop.fs.Path(b.getPath(), "interval=*")):
+                store.delete(b.getPath(), True)
 
     return df.writeStream.foreachBatch(step)
 
