@@ -13,12 +13,12 @@ from pyspark.sql.window import Window
 
 
 def contiguous_prefix(df: DataFrame, stream: str, offset: str, length: str) -> DataFrame:
-    """(stream, start, prefix_end, n_segments): how far each stream reaches from its first offset without a gap."""
+    """(stream, start, prefix_end, n_segments): how far each stream reaches from its first offset without a gap.  Segments that start at one offset lie on the same side of it."""
     w = Window.partitionBy(stream).orderBy(offset, length)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     s = df.select(stream, F.col(offset).alias("_o"), (F.col(offset) + F.col(length)).alias("_e"), F.max(F.col(offset) + F.col(length)).over(before).alias("_m"))
     gap = F.when(F.col("_m").isNull() | (F.col("_o") <= F.col("_m")), 0).otherwise(1)
-    s = s.withColumn("_gaps", F.sum(gap).over(Window.partitionBy(stream).orderBy("_o", "_e").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    s = s.withColumn("_gaps", F.sum(gap).over(Window.partitionBy(stream).orderBy("_o").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return s.where("_gaps = 0").groupBy(stream).agg(F.min("_o").alias("start"), F.max("_e").alias("prefix_end"), F.count("*").alias("n_segments"))
 
 

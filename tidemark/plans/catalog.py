@@ -623,7 +623,7 @@ def _segments(spark, sf_dir):
 
 
 @query(f"""WITH {SEGMENTS}, m AS (SELECT *, o + n AS e, max(o + n) OVER (PARTITION BY stream ORDER BY o, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM seg),
-g AS (SELECT *, sum(CASE WHEN m IS NULL OR o <= m THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY o, e ROWS UNBOUNDED PRECEDING) AS gaps FROM m)
+g AS (SELECT *, sum(CASE WHEN m IS NULL OR o <= m THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY o RANGE UNBOUNDED PRECEDING) AS gaps FROM m)
 SELECT stream, CAST(min(o) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS prefix_end, count(*) AS n_segments FROM g WHERE gaps = 0 GROUP BY stream""")
 def contiguous_prefix(spark, sf_dir):
     return segments.contiguous_prefix(_segments(spark, sf_dir), "stream", "o", "n")
