@@ -343,3 +343,15 @@ def test_retention(spark, tmp_path):
         live.retain(stream, "ts", 3600, 3, str(tmp_path / "kept")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     got = live.retained(spark, str(tmp_path / "kept"), spark.createDataFrame([], schema).schema)
     assert sorted((r.id, r.interval) for r in got.collect()) == [(13, 3), (25, 5)]
+
+
+def test_written_captures_have_bounded_sizes(spark, tmp_path):
+    """However much a partition holds, its captures are of about ``roll`` bytes, in order of their names."""
+    rows = [(1_700_000_000_000_000 + i * 1000, bytes([i % 251]) * (i % 40)) for i in range(500)]
+    df = spark.createDataFrame(rows, "ts_us long, packet binary").repartition(1).sortWithinPartitions("ts_us")
+    assert captures.write(df, str(tmp_path / "out"), roll=1000) == 500
+    files = sorted((tmp_path / "out").glob("*.pcap"))
+    assert len(files) > 10 and max(f.stat().st_size for f in files) <= 24 + 1000 + 16 + 40
+    assert [(us, p) for f in files for _, us, _, _, p in captures.packets(io.BytesIO(f.read_bytes()))] == rows
+    assert sorted((r.ts_us, bytes(r.packet)) for r in captures.read(spark, str(tmp_path / "out"), glob="*.pcap").collect()) == rows
+    assert captures.write(df.limit(0), str(tmp_path / "none")) == 0 and not list((tmp_path / "none").glob("*.part"))

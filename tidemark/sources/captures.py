@@ -25,6 +25,8 @@ ROWS = 4096
 #: No capture holds a longer packet; a larger length means damage.
 LONGEST = 1 << 26
 SPLIT = 128 << 20
+#: Bytes of a written capture, but for its last record: ``read`` holds one file in memory.
+ROLL = 16 << 20
 
 # Fixed values of the capture format: magic number -> (byte order, ticks a second).
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
@@ -247,8 +249,8 @@ def _packed(us: int, p: bytes) -> bytes:
 HEADER = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
 
 
-def write(df: DataFrame, folder: str, ts_us: str = "ts_us", packet: str = "packet") -> int:
-    """Write captures, one for each partition, each in order of time if the partition is; returns the number of packets.  Null packets are left out.
+def write(df: DataFrame, folder: str, ts_us: str = "ts_us", packet: str = "packet", roll: int = ROLL) -> int:
+    """Write captures, for each partition one after another of about ``roll`` bytes, in order of time if the partition is; returns the number of packets.  Null packets are left out.
 
     ``df.orderBy(ts_us)`` gives files that follow each other in time when sorted by name.  A file gets its name when its task is known to have
     ended; what lost or repeated tasks leave ends in ``.part`` and is never read as a capture.  The folder must be one that all executors and Arrow's file systems reach."""
@@ -260,18 +262,29 @@ def write(df: DataFrame, folder: str, ts_us: str = "ts_us", packet: str = "packe
 
         store, at = fs.FileSystem.from_uri(uri)
         store.create_dir(at)
-        name, n = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}", 0
-        with store.open_output_stream(f"{at}/{name}.part") as f:
-            f.write(HEADER)
-            for b in batches:
-                for us, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    f.write(_packed(us, p))
-                n += b.num_rows
-        yield pa.RecordBatch.from_pydict({"name": [name], "n": [n]})
+        part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
+        packets_ = ((us, p) for b in batches for us, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        names, counts, left = [], [], True
+        while left:  # a partition without packets has a capture without any
+            names.append(f"{part:08d}-{len(names):08d}-{own}")
+            size = n = 0
+            with store.open_output_stream(f"{at}/{names[-1]}.part") as f:
+                f.write(HEADER)
+                left = False
+                for us, p in packets_:
+                    record = _packed(us, p)
+                    f.write(record)
+                    size += len(record)
+                    n += 1
+                    if size >= roll:
+                        left = True
+                        break
+            counts.append(n)
+        yield pa.RecordBatch.from_pydict({"name": names, "n": counts})
 
     from pyarrow import fs
 
-    done = df.where(f"{packet} IS NOT NULL").select(ts_us, packet).mapInArrow(run, "name string, n long").collect()  # one row for each partition
+    done = df.where(f"{packet} IS NOT NULL").select(ts_us, packet).mapInArrow(run, "name string, n long").collect()  # one row for each file
     store, at = fs.FileSystem.from_uri(uri)
     for r in done:
         store.move(f"{at}/{r['name']}.part", f"{at}/{r['name']}.pcap")
