@@ -66,3 +66,20 @@ def test_asof_of_times_and_empty_tables(spark):
     assert [q.row for q in scans.asof(p, r.limit(0), "t", ["row"]).collect()] == [None, None] and scans.asof(p.limit(0), r, "t", ["row"]).count() == 0
     with pytest.raises(ValueError):
         scans.asof(p, r, "t", ["row"], direction="sideways")
+
+
+def test_ranges_do_not_grow_with_the_table(spark, monkeypatch):
+    """Unless told how many ranges there are, none holds many more than ROWS rows, and scans over them give the same."""
+    monkeypatch.setattr(scans, "ROWS", 100)
+    df = spark.range(3000).select("id", (F.col("id") * 7919 % 1000).alias("k"))
+    largest = [scans.in_ranges(df.limit(n), ["k", "id"]).groupBy("_range").count().agg(F.max("count")).first()[0] for n in (500, 3000)]
+    assert max(largest) < 300, largest
+    got = {r.id: (r.n, r.prev_id) for r in scans.neighbours(scans.running(df, ["k", "id"], {"n": F.lit(1)}), ["k", "id"], ["id"]).collect()}
+    order = [i for _, i in sorted((i * 7919 % 1000, i) for i in range(3000))]
+    assert got == {i: (n + 1, order[n - 1] if n else None) for n, i in enumerate(order)}
+    near = scans.asof(df, df.where("k % 10 = 0").withColumn("row", F.col("id")), "k", ["row"], direction="nearest", strict=False, tolerance=4, tie="id")
+    at = {}
+    for i in sorted(order, reverse=True):
+        at[i * 7919 % 1000] = i
+    want = {i: next((at[p] for p in sorted(range(0, 1000, 10), key=lambda p: (abs(p - k), p)) if abs(p - k) <= 4), None) for i, k in ((i, i * 7919 % 1000) for i in order)}
+    assert {r.id: r.row for r in near.collect()} == want

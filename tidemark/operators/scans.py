@@ -20,16 +20,28 @@ from tidemark.plans.session import stored
 
 #: Sampled rows for each range, and the most ranges: together what one task sees of the order.
 SAMPLED, MOST = 64, 4096
+#: Rows of a range: a table has as many ranges as shuffle partitions, and more where these would be larger.
+ROWS = 1 << 20
 
 
 def in_ranges(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
-    """``df`` with ``_range`` (int), which follows the order: about ``parts`` ranges of equal size, as many as shuffle partitions unless told.
+    """``df`` with ``_range`` (int), which follows the order: about ``parts`` ranges of equal size; unless told, as many as shuffle partitions, and no fewer than leave ``ROWS`` rows to each.
 
     The bounds are written to the shared folder, so every use of the result has the same ranges."""
-    parts = min(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST)
+    return _in_ranges(df, order, parts)[0]
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with their ranges dealt to tasks for a scan: where ranges outnumber shuffle partitions, to more tasks, so that none sorts many ranges at once."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(2 * parts, "_range") if parts > usual else rows
+
+
+def _in_ranges(df: DataFrame, order: Sequence[str], parts: int | None) -> tuple[DataFrame, int]:
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     keys = df.select(key.alias("k"))
     n = keys.count()
+    parts = min(parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS)), MOST)
     few = keys if n <= 2 * parts * SAMPLED else keys.sample(parts * SAMPLED / n, seed=7)
     places = F.sequence(F.lit(1), F.lit(max(parts - 1, 1)))
     at = lambda i: F.get("s", (i * F.size("s") / parts).cast("int"))
@@ -37,7 +49,7 @@ def in_ranges(df: DataFrame, order: Sequence[str], parts: int | None = None) ->
     # The number of bounds that are not above the row, by halving steps.
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(parts.bit_length()))])
     step = lambda lo, k: F.when((lo + k <= F.size("_bounds")) & (F.get("_bounds", lo + k - 1) <= key), lo + k).otherwise(lo)
-    return df.join(F.broadcast(stored(bounds, "bounds"))).withColumn("_range", F.aggregate(steps, F.lit(0), step)).drop("_bounds")  # one row of at most MOST bounds
+    return df.join(F.broadcast(stored(bounds, "bounds"))).withColumn("_range", F.aggregate(steps, F.lit(0), step)).drop("_bounds"), parts  # one row of at most MOST bounds
 
 
 #: Windows over one row for each range: at most MOST rows.
@@ -48,22 +60,22 @@ AFTER = lambda: Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPre
 def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column | str], parts: int | None = None) -> DataFrame:
     """``df`` with running sums in ``order``, each row's own value included.  Rows of equal order come in any order among them."""
     values = {f"_v{i}": F.expr(c) if isinstance(c, str) else c for i, c in enumerate(sums.values())}
-    rows = in_ranges(df.withColumns(values), order, parts)
+    rows, parts = _in_ranges(df.withColumns(values), order, parts)
     carry = rows.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values]).select("_range", *[F.sum(v).over(BEFORE()).alias(f"_c{v}") for v in values])
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = rows.withColumns({f"_s{v}": F.sum(v).over(w) for v in values}).join(F.broadcast(carry), "_range", "left")  # a row for each range
+    scanned = dealt(rows, parts).withColumns({f"_s{v}": F.sum(v).over(w) for v in values}).join(F.broadcast(carry), "_range", "left")  # a row for each range
     total = lambda v: F.coalesce(F.col(f"_c{v}"), F.lit(0)) + F.coalesce(F.col(f"_s{v}"), F.lit(0))
     return scanned.select(*df.columns, *[total(v).alias(n) for v, n in zip(values, sums, strict=True)])
 
 
 def neighbours(df: DataFrame, order: Sequence[str], columns: Sequence[str], parts: int | None = None) -> DataFrame:
     """``df`` with ``prev_c`` and ``next_c`` of each of ``columns``: those of the rows before and after in ``order``, null at the ends."""
-    rows = in_ranges(df, order, parts)
+    rows, parts = _in_ranges(df, order, parts)
     value, key = F.struct(*columns), F.struct(*order)
     one = Window.orderBy("_range")  # a row for each range
     carry = rows.groupBy("_range").agg(F.min_by(value, key).alias("first"), F.max_by(value, key).alias("last")).select("_range", F.lag("last").over(one).alias("_p"), F.lead("first").over(one).alias("_n"))
     w = Window.partitionBy("_range").orderBy(*order)
-    scanned = rows.withColumns({"_prev": F.lag(value).over(w), "_next": F.lead(value).over(w)}).join(F.broadcast(carry), "_range", "left")
+    scanned = dealt(rows, parts).withColumns({"_prev": F.lag(value).over(w), "_next": F.lead(value).over(w)}).join(F.broadcast(carry), "_range", "left")
     found = {"prev": F.coalesce("_prev", "_p"), "next": F.coalesce("_next", "_n")}
     return scanned.select(*df.columns, *[v[c].alias(f"{n}_{c}") for c in columns for n, v in found.items()])
 
@@ -88,13 +100,14 @@ def asof(probes: DataFrame, rows: DataFrame, on: str, values: Sequence[str], by:
     order = [*by, on, "_kind", "_id"]
     key = F.struct(*order)
     hits = {look: F.when(F.col("_kind") == side[look], F.struct(*by, F.col(on).alias("_at"), "_m")) for look in looks}
-    dealt = in_ranges(both, order, parts).withColumns({f"_h_{look}": h for look, h in hits.items()})
+    placed, parts = _in_ranges(both, order, parts)
+    held = lambda rows: rows.withColumns({f"_h_{look}": h for look, h in hits.items()})
     ends = {"back": F.max_by("_h_back", F.when(F.col("_h_back").isNotNull(), key)), "ahead": F.min_by("_h_ahead", F.when(F.col("_h_ahead").isNotNull(), key))} if len(looks) == 2 else {looks[0]: (F.max_by if looks[0] == "back" else F.min_by)(f"_h_{looks[0]}", F.when(F.col(f"_h_{looks[0]}").isNotNull(), key))}
-    carry = dealt.groupBy("_range").agg(*[e.alias(look) for look, e in ends.items()])
+    carry = held(placed).groupBy("_range").agg(*[e.alias(look) for look, e in ends.items()])
     carry = carry.select("_range", *[F.last(look, True).over(BEFORE() if look == "back" else AFTER()).alias(f"_c_{look}") for look in looks])
     orders = {"back": order, "ahead": [F.desc(c) for c in order]}
     seen = {look: F.last(f"_h_{look}", True).over(Window.partitionBy("_range").orderBy(*orders[look]).rowsBetween(Window.unboundedPreceding, -1)) for look in looks}
-    scanned = dealt.withColumns({f"_s_{look}": s for look, s in seen.items()}).where("_kind = 1").join(F.broadcast(carry), "_range", "left")  # a row for each range
+    scanned = held(dealt(placed, parts)).withColumns({f"_s_{look}": s for look, s in seen.items()}).where("_kind = 1").join(F.broadcast(carry), "_range", "left")  # a row for each range
     kind = dict(probes.dtypes)[on]
 
     def away(a: Column, b: Column) -> Column:
