@@ -9,6 +9,11 @@ a whole word at least, are those that the left chunk has there, its last tokens
 more words are taken; where that fails too, or where the repairs of two cuts would meet, the chunks are joined into one and encoded as such,
 until every cut agrees.  A text without white space ends as one chunk.
 
+Most of the library's time goes into normalising and splitting, not into merges.  For tokenizers that do both as ``NORMALIZER`` and ``SPLIT``
+say, a plain chunk (characters below U+0300 that no composition, control or change of length touches, and no added token) is lower-cased
+and split by Python, and its words' ids are put together; the library encodes each word once and a bounded dictionary keeps it for the
+task.  Other chunks, and all chunks of other tokenizers, are encoded by the library as they are.
+
 Limits of caches and of tokens looked at near a cut change time alone.  Chunks are shared inside a task: to share them between tasks
 would shuffle all texts and ids.
 
@@ -18,10 +23,14 @@ rows are kept as they are; an empty table gives an empty result; columns named l
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +46,29 @@ CHUNK_BITS, LEAST = 10, 256
 MAX_CHUNKS = 8_000
 #: Bytes of text encoded at a time, tokens looked at on each side of a cut, and how many words a repair takes on each side.
 PART, NEAR, WORDS = 1 << 20, 24, (1, 4)
+#: Words remembered in a task, and the longest of them in characters.
+MAX_WORDS, LONGEST_WORD = 250_000, 64
 U = np.uint64
 
+#: What a tokenizer must do with texts before its merges, so that plain texts are split here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Below U+0300 nothing composes.  U+001C to U+001F are spaces to Python alone, and U+0130 becomes two characters in lower case.
+NOT_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\u012f\u0131-\u02ff]")
+
+
+def _split() -> re.Pattern:
+    """``SPLIT`` over plain texts in lower case."""
+    lower = {chr(c).lower() for c in range(0x300) if not NOT_PLAIN.match(chr(c))}
+    letter, number = ("".join(sorted(x for x in lower if unicodedata.category(x)[0] == k)) for k in "LN")
+    return re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^\\t-\\r \x85\xa0{letter}{number}]+")
+
 
 @dataclass
 class Chunk:
@@ -73,11 +103,24 @@ class Chunk:
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
+        self.split: re.Pattern | None = None
+        with open(path, encoding="utf-8") as f:
+            conf = json.load(f)
+        self.added = [x["content"].lower() for x in conf["added_tokens"]]
+        if conf["normalizer"] == NORMALIZER and conf["pre_tokenizer"] == SPLIT and not conf["post_processor"] and not conf["model"].get("dropout") and not any(x["normalized"] for x in conf["added_tokens"]):
+            self.split = _split()
+            self.single = Tokenizer.from_file(path)  # for words in lower case with a space between
+            self.single.no_truncation()
+            self.single.no_padding()
+            self.single.normalizer = None
+            self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.chunks: dict[str, Chunk] = {}
         self.names: list[str] | None = None
         self.encoded = self.repaired = self.joined = 0
@@ -88,8 +131,8 @@ class Encoder:
         up, down = powers(1, n)
         total = np.zeros(n + 1, U)
         np.cumsum((data.astype(U) + U(1)) * up[:n], out=total[1:])
-        at = np.arange(16, n)
-        at = at[mix((total[at] - total[at - 16]) * down[at - 16]) >> U(64 - CHUNK_BITS) == 0]
+        m = max(n - 16, 0)
+        at = np.flatnonzero(mix((total[16:n] - total[:m]) * down[:m]) >> U(64 - CHUNK_BITS) == 0) + 16
         return at[data[at] & 0xC0 != 0x80]
 
     @staticmethod
@@ -106,14 +149,53 @@ class Encoder:
                 last = c
         return np.unique(np.r_[offs, np.array(out, np.int64)])
 
+    def _apart(self, texts: list[str]) -> tuple[list[str], list[str]]:
+        """Plain texts, and those that the library has to normalise and split."""
+        good = [self.split is not None and not NOT_PLAIN.search(x) and not any(a in x.lower() for a in self.added) for x in texts]
+        return [x for x, g in zip(texts, good, strict=True) if g], [x for x, g in zip(texts, good, strict=True) if not g]
+
+    def _put(self, texts: list[str]) -> list[array]:
+        """Ids of plain texts from those of their words.  Long words are forgotten by the next call."""
+        for w in self.long:
+            del self.words[w]
+        if len(self.words) > MAX_WORDS:
+            self.words = {}
+        parts = [self.split.findall(x.lower()) for x in texts]
+        fresh = list(set(chain.from_iterable(parts)).difference(self.words))
+        for i in range(0, len(fresh), 512):
+            part = fresh[i : i + 512]
+            e = self.single.encode(" ".join(part), add_special_tokens=False)
+            ids, at = array("I", e.ids).tobytes(), (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            self.words |= {w: ids[a:b] for w, a, b in zip(part, at[:-1], at[1:], strict=True)}
+        self.long = [w for w in fresh if len(w) > LONGEST_WORD]
+        return [array("I", b"".join(map(self.words.__getitem__, p))) for p in parts]
+
+    def _near(self, low: str) -> tuple[tuple[array, array], tuple[array, array]]:
+        """Where the tokens of a plain text's first and last words start and end, after ``_put``; each has its whole word's place."""
+        n = max(WORDS) + 2
+        first, last = low.split(None, n), low.rsplit(None, n)
+        to, from_ = len(low) - len(first[-1]) if len(first) > n else len(low), len(last[0]) if len(last) > n else 0
+        out = []
+        for a, b in ((0, to), (from_, len(low))):
+            starts, ends = [], []
+            for w in self.split.finditer(low, a, b):
+                k = len(self.words[w[0]]) // 4
+                starts += [w.start()] * k
+                ends += [w.end()] * k
+            out.append((array("I", starts), array("I", ends)))
+        return out[0], out[1]
+
     def learn(self, texts: list[str]) -> dict[str, Chunk]:
         """Chunks of texts: those that are known, and the others encoded."""
         out = {x: self.chunks[x] for x in texts if x in self.chunks}
         fresh = list({x for x in texts if x not in out})
         if len(self.chunks) > MAX_CHUNKS:
             self.chunks = {}
-        for i in range(0, len(fresh), 256):
-            part = fresh[i : i + 256]
+        plain, rest = self._apart(fresh)
+        for x, ids in zip(plain, self._put(plain), strict=True):
+            out[x] = Chunk(x, ids, *self._near(x.lower()))
+        for i in range(0, len(rest), 256):
+            part = rest[i : i + 256]
             for x, e in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True):
                 n = len(e)
                 ends = [[e.token_to_chars(k) for k in r] for r in (range(min(n, NEAR)), range(max(n - NEAR, 0), n))]
@@ -134,15 +216,16 @@ class Encoder:
             good = kept is not None and next_ is not None and (a > 0 or first) and (b < len(right.text) or last)
             ends.append((a, b, kept, next_) if good else None)
         asked = [left.text[e[0] :] + right.text[: e[1]] for (left, right, _, _), e in zip(cuts, ends, strict=True) if e]
-        got = iter(self.t.encode_batch(asked, add_special_tokens=False))
+        plain, rest = self._apart(asked)
+        got = dict(zip(plain, self._put(plain), strict=True)) | {x: array("I", e.ids) for x, e in zip(rest, self.t.encode_batch(rest, add_special_tokens=False), strict=True)}
         out: list[tuple[int, int, array] | None] = []
         for (left, right, _, _), e in zip(cuts, ends, strict=True):
             if e is None:
                 out.append(None)
                 continue
             a, b, kept, next_ = e
-            new = next(got)
-            ids, cut, n = array("I", new.ids), len(left.text) - a, len(new)
+            ids, cut = got[left.text[a:] + right.text[:b]], len(left.text) - a
+            n = len(ids)
             # The tokens of whole words on either side of the cut must come out as they are in the chunks.
             word = len(left.text[a:].split(None, 1)[0]) + len(left.text[a:]) - len(left.text[a:].lstrip()) if a else 0
             m = sum(s < a + word for s in left.tail[0][kept - (len(left.ids) - len(left.tail[0])) :]) if a else 0
@@ -199,7 +282,7 @@ class Encoder:
 
     def forget(self) -> None:
         """At a task's end: workers outlive it, and other operators' tasks need the memory."""
-        self.chunks = {}
+        self.chunks, self.words, self.long = {}, {}, []
         trim()
 
     def decode(self, ids: bytes) -> str:
